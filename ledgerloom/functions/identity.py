@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -13,7 +14,7 @@ from ledgerloom.functions import labels
 def normal_club_name(name: Column) -> Column:
     cleaned = F.lower(F.trim(name))
     for prefix in C.CLUB_PREFIXES:
-        cleaned = F.when(cleaned.startswith(prefix), F.substr(cleaned, F.lit(len(prefix) + 1))).otherwise(cleaned)
+        cleaned = F.regexp_replace(cleaned, "^" + re.escape(prefix), "")
     return F.when(name != "", cleaned)
 
 

@@ -113,11 +113,9 @@ def best_match(candidates: DataFrame, ledger: DataFrame, hot_rows: int = 10_000)
     prints = _collapsed(ledger)
     hot = F.broadcast(hot_keys(prints, ["player_id"], hot_rows))
     cands = fingerprints(candidates, derive_season=True)
-    ours = cands.join(hot, "player_id", "left")
-    theirs = prints.join(hot, "player_id", "left")
-    cold = F.col("_hot").isNull()
-    best = _direct(ours.filter(cold), theirs.filter(cold)).unionByName(
-        _by_agreement(ours.filter("_hot"), theirs.filter("_hot")))
+    # inner joins on the hot side: with no hot player that branch is dropped unread
+    best = _direct(cands, prints.join(hot, "player_id", "left_anti")).unionByName(
+        _by_agreement(cands.join(hot, "player_id").drop("_hot"), prints.join(hot, "player_id").drop("_hot")))
     none = F.array().cast("array<string>")
     return cands.join(best, "candidate_id", "left").withColumns({
         "best_score": F.round(F.coalesce("score", F.lit(0.0)), 3),

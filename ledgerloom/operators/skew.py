@@ -24,12 +24,6 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     )
 
 
-def mark_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``_hot``. Broadcasting is safe: the list is bounded by rows / hot_rows."""
-    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
-    return marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-
-
 def chain(df: DataFrame, key: str, order: list[str], previous: dict[str, str], chunk: Column,
           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``seq`` (1-based per ``key``) and, per ``previous`` item, the prior row's value.
@@ -37,16 +31,18 @@ def chain(df: DataFrame, key: str, order: list[str], previous: dict[str, str], c
     ``chunk`` must grow with ``order``. It is used for hot keys only; other keys keep a
     NULL chunk and need no stitching.
     """
-    marked = mark_hot(df, [key], hot_rows).withColumn("_chunk", F.when(F.col("_hot"), chunk)).drop("_hot")
+    # broadcasting is safe: there are at most rows / hot_rows hot keys
+    hot = F.broadcast(hot_keys(df, [key], hot_rows))
+    marked = df.join(hot, key, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk)).drop("_hot")
     spread = marked.repartition(key, "_chunk")
     within = Window.partitionBy(key, "_chunk").orderBy(*order)
     numbered = spread.withColumn("_rn", F.row_number().over(within)).withColumns(
         {out: F.lag(col).over(within) for out, col in previous.items()}
     )
-    # one row per hot chunk: its size and its last values
+    # one row per hot chunk: its size and its last values; an inner join, so that the
+    # adaptive planner drops this branch unread when no key is hot
     tails = (
-        marked.filter(F.col("_chunk").isNotNull())
-        .groupBy(key, "_chunk")
+        df.join(hot, key).withColumn("_chunk", chunk).groupBy(key, "_chunk")
         .agg(F.count(F.lit(1)).alias("_size"),
              F.max_by(F.struct(*previous.values()), F.struct(*order)).alias("_last"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators import gems, pairs
@@ -18,6 +19,7 @@ POSITIONS = [
 CITIZENSHIPS = ["Brazil", "France, Senegal", "Japan", "England", "Atlantis", None, "Nigeria", " Argentina,Italy"]
 FEET = ["left", "Right", "both", None]
 ID_SPAN = 100_000_000
+SCHEMAS: dict[str, StructType] = {}
 WINDOWS = (1996, 1998, 2000)
 MIN_DEALS = 3
 TRAINING_CUTOFF = "1999-01-01"
@@ -50,7 +52,11 @@ class DriverTables:
         self.spark, self.folder, self.hot_rows = spark, folder, hot_rows
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One driver table; its schema is read from the file footer once per process."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
     @cached_property
     def transfers(self) -> DataFrame:

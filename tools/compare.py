@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from datetime import date, datetime
 from pathlib import Path
@@ -15,6 +17,7 @@ import duckdb  # noqa: E402
 from ledgerloom.registry import QUERIES, SQL  # noqa: E402
 from ledgerloom.session import local_session  # noqa: E402
 
+LIMIT = float(os.environ.get("COMPARE_LIMIT", "60"))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -72,17 +75,20 @@ def compare(spark, con, folder: str, name: str) -> tuple[bool, str]:
 def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(QUERIES)
-    spark = local_session("8")
+    spark = local_session("8", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     bad = []
     for name in names:
+        guard = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+        guard.start()
         try:
             good, note = compare(spark, con, folder, name)
         except Exception as error:  # noqa: BLE001 - report and go on
             good, note = False, f"{type(error).__name__}: {str(error)[:700]}"
+        guard.cancel()
         if not good:
             bad.append(name)
         print(f"{'    ' if good else 'BAD '}{name}: {note}", flush=True)
