@@ -108,8 +108,8 @@ def format_euro(amount: Column) -> Column:
         return F.concat(sign, F.lit("€"), F.format_string("%.1f", shown), F.lit(suffix))
 
     whole = F.concat(sign, F.lit("€"), F.format_string("%.0f", F.floor(size + 0.5).cast("double")))
-    text = F.when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M"))
-    return F.coalesce(text.when(size >= 1e3, short(1e3, "K")).otherwise(whole), F.lit(""))
+    text = F.when(amount.isNull(), "").when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M"))
+    return text.when(size >= 1e3, short(1e3, "K")).otherwise(whole)
 
 
 def is_status_marker(name: Column) -> Column:

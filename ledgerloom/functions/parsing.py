@@ -58,7 +58,7 @@ def parse_height_cm(text: Column) -> Column:
 
 
 def join_citizenship(names: Column) -> Column:
-    kept = F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != ""))
+    kept = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.isNotNull() & (n != ""))
     return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
 
 

@@ -146,16 +146,16 @@ def agent_clusters(players: DataFrame, top: int = 10) -> DataFrame:
 
 def distribution(pair_rows: DataFrame) -> DataFrame:
     """Row counts by gem tier, eligibility and confidence, as (category, key, rows)."""
-    flags = F.array(
-        F.struct(F.lit("gem_tier").alias("category"), F.col("gem_tier").cast("string").alias("key")),
-        F.struct(F.lit("training_eligible"), F.col("is_training_eligible").cast("string")),
-        F.struct(F.lit("training_class"),
-                 F.when(F.col("is_training_eligible") == 1, F.col("is_gem").cast("string"))),
-        F.struct(F.lit("confidence"),
-                 F.when(F.col("confidence_score") >= 0.99, "high")
-                 .when(F.col("confidence_score") >= 0.90, "medium").otherwise("low")),
-        F.struct(F.lit("roi_above_5000"), F.when(F.col("roi_pct") > 5000, "yes")),
-    )
+    eligible = F.col("is_training_eligible")
+    band = F.when(F.col("confidence_score") >= 0.99, "high").when(F.col("confidence_score") >= 0.90, "medium").otherwise("low")
+    keys = {
+        "gem_tier": F.col("gem_tier").cast("string"),
+        "training_eligible": eligible.cast("string"),
+        "training_class": F.when(eligible == 1, F.col("is_gem").cast("string")),
+        "confidence": band,
+        "roi_above_5000": F.when(F.col("roi_pct") > 5000, "yes"),
+    }
+    flags = F.array(*[F.struct(F.lit(c).alias("category"), k.alias("key")) for c, k in keys.items()])
     return (
         pair_rows.select(F.inline(flags)).filter(F.col("key").isNotNull())
         .groupBy("category", "key").agg(F.count(F.lit(1)).alias("rows"))

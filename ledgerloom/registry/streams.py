@@ -15,7 +15,7 @@ def line_stream(t, files_per_batch=None):
     lines = ingest.read_files(t.spark, t.folder, schema, "lineitem.parquet", files_per_batch)
     return lines.select(F.col("l_partkey").alias("player_id"), F.col("l_linenumber").cast("bigint").alias("from_club_id"),
                         F.col("l_suppkey").alias("to_club_id"), F.col("l_shipdate").cast("date").alias("transfer_date"),
-                        F.col("l_shipdate").alias("moved_at"))
+                        F.col("l_shipdate").cast("timestamp").alias("moved_at"))
 
 
 DISTINCT_MOVES = """

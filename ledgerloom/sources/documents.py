@@ -39,7 +39,7 @@ def _filled(text: Column) -> Column:
 def parse_profiles(payloads: DataFrame) -> DataFrame:
     """(player_id, json) to one column per profile field; empty values are NULL."""
     p = payloads.withColumn("p", F.from_json("json", PROFILE))
-    others = F.filter(F.transform("p.position.other", F.trim), lambda x: x != "")
+    others = F.filter(F.transform("p.position.other", lambda x: F.trim(x)), lambda x: x != "")
     return p.select(
         "player_id", _filled(F.col("p.position.main")).alias("position"),
         F.when(F.size(others) > 0, F.array_join(others, ", ")).alias("sub_position"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.operators.sets import new_rows
 
@@ -19,7 +19,8 @@ def read_target(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     exists = java_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(java_path)
     if not exists:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema.add(LOAD, "long", True) if LOAD not in schema.names else schema).parquet(path)
+    stored = StructType([*schema.fields, StructField(LOAD, LongType(), True)])
+    return spark.read.schema(stored).parquet(path)
 
 
 def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
