@@ -93,13 +93,17 @@ def appearance_window(base: DataFrame, appearances: DataFrame, days: int = 730,
         "player_id", F.col("player_club_id").alias("selling_club_id"), F.col("at").alias("transfer_date"), *columns)
 
 
-def appearance_features(base: DataFrame, appearances: DataFrame, full_season: int = 900) -> DataFrame:
-    keys = ["player_id", "selling_club_id", "transfer_date"]
-    joined = base.select("pair_id", *keys).join(appearance_window(base, appearances), keys, "left")
-    filled = joined.fillna(0, [*STATS, "last", "prev", "games"])
+APPEARANCE_KEYS = ["player_id", "selling_club_id", "transfer_date"]
+
+
+def with_appearances(base: DataFrame, appearances: DataFrame) -> DataFrame:
+    joined = base.join(appearance_window(base, appearances), APPEARANCE_KEYS, "left")
+    return joined.fillna(0, [*STATS, "last", "prev", "games"])
+
+
+def appearance_columns(full_season: int = 900) -> list[Column]:
     minutes = F.col("minutes")
-    return filled.select(
-        "pair_id",
+    return [
         returns.per_90(F.col("goals"), minutes).alias("goals_per_90"),
         returns.per_90(F.col("assists"), minutes).alias("assists_per_90"),
         returns.per_90(F.col("goals") + F.col("assists"), minutes).alias("g_plus_a_per_90"),
@@ -107,7 +111,12 @@ def appearance_features(base: DataFrame, appearances: DataFrame, full_season: in
         F.when(F.col("prev") > 0, F.try_divide("last", "prev")).alias("minutes_trend"),
         F.col("games").alias("games_played"),
         returns.per_90(F.col("yellow") + F.col("red") * 2, minutes).alias("cards_per_90"),
-        F.when(minutes >= full_season, 1).otherwise(0).alias("has_appearance_data"))
+        F.when(minutes >= full_season, 1).otherwise(0).alias("has_appearance_data"),
+    ]
+
+
+def appearance_features(base: DataFrame, appearances: DataFrame) -> DataFrame:
+    return with_appearances(base, appearances).select("pair_id", *appearance_columns())
 
 
 def valuation_points(base: DataFrame, valuations: DataFrame, buffer: int = 30, target: int = 365) -> DataFrame:
@@ -143,16 +152,23 @@ def valuation_points(base: DataFrame, valuations: DataFrame, buffer: int = 30, t
                        F.when(later, usable["value"]).otherwise(F.col("before.value")).alias("nearest"))
 
 
-def market_value_features(base: DataFrame, valuations: DataFrame) -> DataFrame:
+def with_valuations(base: DataFrame, valuations: DataFrame) -> DataFrame:
+    return base.join(valuation_points(base, valuations), ["player_id", "transfer_date"], "left")
+
+
+def market_value_columns() -> list[Column]:
     """``mv_at_transfer`` and the peak are the same quantity by definition."""
-    joined = base.select("pair_id", "player_id", "transfer_date", "buy_fee").join(
-        valuation_points(base, valuations), ["player_id", "transfer_date"], "left")
     at, year_ago, fee = F.col("peak"), F.col("nearest"), F.col("buy_fee")
-    return joined.select(
-        "pair_id", at.alias("mv_at_transfer"), year_ago.alias("mv_12mo_before"),
+    return [
+        at.alias("mv_at_transfer"), year_ago.alias("mv_12mo_before"),
         F.when(year_ago > 0, F.try_divide(at - year_ago, year_ago)).alias("mv_trend"),
         F.when((at > 0) & (fee > 0), F.try_divide(fee, at)).alias("fee_vs_mv"),
-        F.when((at > 0) & (fee > 0), F.try_divide(at, fee)).alias("peak_mv_to_fee"))
+        F.when((at > 0) & (fee > 0), F.try_divide(at, fee)).alias("peak_mv_to_fee"),
+    ]
+
+
+def market_value_features(base: DataFrame, valuations: DataFrame) -> DataFrame:
+    return with_valuations(base, valuations).select("pair_id", *market_value_columns())
 
 
 def one_hot(value: Column, prefix: str, vocabulary: tuple[str, ...], other: str) -> list[Column]:
@@ -162,25 +178,35 @@ def one_hot(value: Column, prefix: str, vocabulary: tuple[str, ...], other: str)
     return [F.when(known == w, 1).otherwise(0).alias(f"{prefix}_{w}") for w in words]
 
 
-def profile_features(base: DataFrame) -> DataFrame:
+def profile_columns() -> list[Column]:
     bucket = F.col("position_bucket")
     is_other = F.when(bucket.isin(*[p for p in C.POSITION_VOCAB if p != "Other"]), 0).otherwise(1)
-    return base.select(
-        "pair_id", "age_at_buy", "height_in_cm", F.lit(0).alias("is_international"),
+    return [
+        F.col("age_at_buy"), F.col("height_in_cm"), F.lit(0).alias("is_international"),
         is_other.alias("is_other_position"),
         *one_hot(bucket, "pos", C.POSITION_VOCAB, "Other"),
         *one_hot(F.initcap("foot"), "foot", C.FOOT_VOCAB, "Unknown"),
         *one_hot(F.col("citizenship_region"), "region", C.REGION_VOCAB, "Unknown"),
-        *one_hot(F.col("agent_cluster"), "agent", C.AGENT_VOCAB, "Unknown"))
+        *one_hot(F.col("agent_cluster"), "agent", C.AGENT_VOCAB, "Unknown"),
+    ]
 
 
-def context_features(base: DataFrame) -> DataFrame:
+def profile_features(base: DataFrame) -> DataFrame:
+    return base.select("pair_id", *profile_columns())
+
+
+def context_columns() -> list[Column]:
     seller, buyer = F.coalesce("selling_league_tier", F.lit(0)), F.coalesce("buying_league_tier", F.lit(0))
-    return base.select(
-        "pair_id", seller.alias("selling_league_tier"), buyer.alias("buying_league_tier"),
+    return [
+        seller.alias("selling_league_tier"), buyer.alias("buying_league_tier"),
         returns.log_fee(F.col("buy_fee")).alias("log_buy_fee"), (buyer - seller).alias("league_jump"),
         F.when(F.lower("transfer_window") == "winter", 1).otherwise(0).alias("is_january_window"),
-        F.lit(None).cast("double").alias("contract_years_remaining"))
+        F.lit(None).cast("double").alias("contract_years_remaining"),
+    ]
+
+
+def context_features(base: DataFrame) -> DataFrame:
+    return base.select("pair_id", *context_columns())
 
 
 def season_xg(player_xg: DataFrame) -> DataFrame:
@@ -190,30 +216,37 @@ def season_xg(player_xg: DataFrame) -> DataFrame:
     return played.groupBy("player_id", "season").agg(ranked.alias("x")).select("player_id", "season", "x.*")
 
 
+def with_xg(base: DataFrame, player_xg: DataFrame) -> DataFrame:
+    one = season_xg(player_xg).select("player_id", F.col("season").alias("_season"), F.col("xg").alias("_xg"),
+                                      F.col("xa").alias("_xa"), F.col("minutes").alias("_xg_minutes"),
+                                      F.col("goals").alias("_xg_goals"))
+    return base.withColumn("_season", labels.xg_season(F.col("transfer_date"))).join(one, ["player_id", "_season"], "left")
+
+
+def xg_columns() -> list[Column]:
+    minutes = F.col("_xg_minutes")
+    xg = returns.per_90(F.coalesce("_xg", F.lit(0.0)), minutes)
+    return [
+        xg.alias("xg_per_90"), returns.per_90(F.coalesce("_xa", F.lit(0.0)), minutes).alias("xa_per_90"),
+        (returns.per_90(F.coalesce("_xg_goals", F.lit(0)), minutes) - xg).alias("goals_vs_xg"),
+        F.when(minutes > 0, 1).otherwise(0).alias("has_xg_data"),
+    ]
+
+
 def xg_features(base: DataFrame, player_xg: DataFrame) -> DataFrame:
-    rows = base.select("pair_id", "player_id", labels.xg_season(F.col("transfer_date")).alias("season"))
-    joined = rows.join(season_xg(player_xg), ["player_id", "season"], "left")
-    minutes = F.col("minutes")
-    xg = returns.per_90(F.coalesce("xg", F.lit(0.0)), minutes)
-    return joined.select(
-        "pair_id", xg.alias("xg_per_90"),
-        returns.per_90(F.coalesce("xa", F.lit(0.0)), minutes).alias("xa_per_90"),
-        (returns.per_90(F.coalesce("goals", F.lit(0)), minutes) - xg).alias("goals_vs_xg"),
-        F.when(minutes > 0, 1).otherwise(0).alias("has_xg_data"))
+    return with_xg(base, player_xg).select("pair_id", *xg_columns())
 
 
 TARGETS = ["pair_id", "player_id", "player_name", "transfer_date", "is_gem", "gem_tier", "roi_pct", "buy_fee", "sell_fee"]
 
 
 def feature_matrix(base: DataFrame, appearances: DataFrame, valuations: DataFrame, player_xg: DataFrame) -> DataFrame:
-    """Targets first, then every feature. Row-wise sections need no join of their own."""
-    texts = base.select(*TARGETS, "selling_club_name", "buying_club_name", "selling_league", "buying_league",
-                        F.col("agent_name").alias("agent_name_raw"), F.col("position").alias("position_raw"))
-    out = texts
-    for section in (appearance_features(base, appearances), market_value_features(base, valuations),
-                    profile_features(base), context_features(base), xg_features(base, player_xg)):
-        out = out.join(section, "pair_id", "left")
-    return out
+    """Targets first, then every feature. Each source joins the buys once, on its own key."""
+    rows = with_xg(with_valuations(with_appearances(base, appearances), valuations), player_xg)
+    return rows.select(
+        *TARGETS, "selling_club_name", "buying_club_name", "selling_league", "buying_league",
+        F.col("agent_name").alias("agent_name_raw"), F.col("position").alias("position_raw"),
+        *appearance_columns(), *market_value_columns(), *profile_columns(), *context_columns(), *xg_columns())
 
 
 def coverage(features: DataFrame) -> DataFrame:

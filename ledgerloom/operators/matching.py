@@ -32,16 +32,22 @@ def _collapsed(ledger: DataFrame) -> DataFrame:
 
 def _best(scored: DataFrame) -> DataFrame:
     """Highest score per candidate; equal scores go to the lowest ledger id."""
-    pick = F.max_by(F.struct("score", "reasons", "ledger_id"), F.struct("score", -F.col("ledger_id")))
-    return scored.groupBy("candidate_id").agg(pick.alias("m")).select("candidate_id", "m.*")
+    top = F.max(F.struct("score", (-F.col("ledger_id")).alias("neg_id"))).alias("m")
+    return scored.groupBy("candidate_id").agg(top).select(
+        "candidate_id", "m.score", (-F.col("m.neg_id")).alias("ledger_id"))
+
+
+def _prefixed(ledger: DataFrame, *keys: str) -> DataFrame:
+    return ledger.select(*keys, *[F.col(f).alias(f"l_{f}") for f in FIELDS])
+
+
+def _evidence() -> list[identity.Evidence]:
+    return identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
 
 
 def _direct(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    theirs = ledger.select("player_id", "ledger_id", *[F.col(f).alias(f"l_{f}") for f in FIELDS])
-    both = candidates.select("candidate_id", "player_id", *FIELDS).join(theirs, "player_id")
-    evidence = identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
-    return _best(both.select("candidate_id", "ledger_id", identity.score_of(evidence).alias("score"),
-                             identity.reasons_of(evidence).alias("reasons")))
+    both = candidates.select("candidate_id", "player_id", *FIELDS).join(_prefixed(ledger, "player_id", "ledger_id"), "player_id")
+    return _best(both.select("candidate_id", "ledger_id", identity.score_of(_evidence()).alias("score")))
 
 
 def _variants(by_id: str, by_name: str) -> Column:
@@ -80,28 +86,22 @@ def _by_agreement(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     theirs = _agreement_keys(ledger.withColumns({f"l_{k}": v for k, v in has.items()})) \
         .groupBy(*key, *[f"l_{k}" for k in has]).agg(F.min("ledger_id").alias("ledger_id"))
     mine = _agreement_keys(candidates.withColumns({f"c_{k}": v for k, v in has.items()})) \
-        .select("candidate_id", "bucket", *key, *[f"c_{k}" for k in has])
+        .select("candidate_id", *key, *[f"c_{k}" for k in has])
     hits = mine.join(theirs, key)
 
-    def side(name: str, kind: Column, i: str, n: str) -> tuple[Column, Column, Column, Column]:
+    def side(kind: Column, i: str, n: str) -> tuple[Column, Column, Column]:
         ids = F.col(f"c_{i}") & F.col(f"l_{i}")
         names = F.col(f"c_{n}") & F.col(f"l_{n}")
         usable = (kind == "-") | ((kind == "id") & ids) | ((kind == "name") & ~ids)
         available = F.when(ids, 35).when(names, 25).otherwise(0)
-        earned = F.when(kind == "id", 35).when(kind == "name", 25).otherwise(0)
-        reason = F.when(kind == "id", f"{name}_club_id_match").when(kind == "name", f"{name}_club_name_match")
-        return usable, available, earned, reason
-
-    f_ok, f_av, f_pt, f_why = side("from", F.col("f.kind"), "fi", "fn")
-    t_ok, t_av, t_pt, t_why = side("to", F.col("t.kind"), "ti", "tn")
-    s_av = F.when(F.col("c_se") & F.col("l_se"), 15).otherwise(0)
-    s_pt = F.when(F.col("s") != "", 15).otherwise(0)
-    b_pt = F.when(F.col("b") != "", 15).otherwise(0)
-    score = (f_pt + t_pt + s_pt + b_pt) / (f_av + t_av + s_av + F.lit(15))
-    why = F.filter(F.array(f_why, t_why, F.when(s_pt > 0, "season_match"),
-                           F.when(b_pt > 0, F.concat(F.lit("fee_bucket_match:"), F.col("bucket")))),
-                   lambda r: r.isNotNull())
-    return _best(hits.filter(f_ok & t_ok).select("candidate_id", "ledger_id", score.alias("score"), why.alias("reasons")))
+        return usable, available, F.when(kind == "id", 35).when(kind == "name", 25).otherwise(0)
+
+    from_ok, from_available, from_earned = side(F.col("f.kind"), "fi", "fn")
+    to_ok, to_available, to_earned = side(F.col("t.kind"), "ti", "tn")
+    season_available = F.when(F.col("c_se") & F.col("l_se"), 15).otherwise(0)
+    rest = F.when(F.col("s") != "", 15).otherwise(0) + F.when(F.col("b") != "", 15).otherwise(0)
+    score = (from_earned + to_earned + rest) / (from_available + to_available + season_available + F.lit(15))
+    return _best(hits.filter(from_ok & to_ok).select("candidate_id", "ledger_id", score.alias("score")))
 
 
 def best_match(candidates: DataFrame, ledger: DataFrame, hot_rows: int = 10_000) -> DataFrame:
@@ -116,11 +116,12 @@ def best_match(candidates: DataFrame, ledger: DataFrame, hot_rows: int = 10_000)
     # inner joins on the hot side: with no hot player that branch is dropped unread
     best = _direct(cands, prints.join(hot, "player_id", "left_anti")).unionByName(
         _by_agreement(cands.join(hot, "player_id").drop("_hot"), prints.join(hot, "player_id").drop("_hot")))
-    none = F.array().cast("array<string>")
-    return cands.join(best, "candidate_id", "left").withColumns({
+    # reasons are worked out once per candidate, for the winning row only
+    joined = cands.join(best, "candidate_id", "left").join(_prefixed(prints, "ledger_id"), "ledger_id", "left")
+    return joined.withColumns({
         "best_score": F.round(F.coalesce("score", F.lit(0.0)), 3),
-        "best_reasons": F.when(F.col("score") > 0, F.col("reasons")).otherwise(none),
-    }).drop("score", "reasons")
+        "best_reasons": F.when(F.col("score") > 0, identity.reasons_of(_evidence())).otherwise(F.array().cast("array<string>")),
+    }).drop("score", *[f"l_{f}" for f in FIELDS])
 
 
 def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.operators import features, fuzzy, gems, matching, metrics, pairs, sets
+from ledgerloom.session import checkpointed
 
 
 def all_pairs(transfers: DataFrame, valuations: DataFrame, players: DataFrame,
@@ -50,7 +51,8 @@ def league_tiers(paired: DataFrame, clubs: DataFrame, cuts: tuple[float, float,
 
 def feature_table(paired: DataFrame, players: DataFrame, tiered_clubs: DataFrame, appearances: DataFrame,
                   valuations: DataFrame, player_xg: DataFrame) -> DataFrame:
-    base = features.training_base(paired, players, tiered_clubs)
+    """The buys are written to the shared folder once; three sections look facts up by them."""
+    base = checkpointed(features.training_base(paired, players, tiered_clubs), "feature-base")
     return features.feature_matrix(base, appearances, valuations, player_xg)
 
 

@@ -158,7 +158,7 @@ def event_rows(t):
         F.when(line != 2, F.array(half, half * 2)).alias("location"),
         F.struct(F.col("l_discount").alias("statsbomb_xg"), named.alias("outcome"), named.alias("type"), named.alias("body_part"),
                  named.alias("technique"), F.array(half).alias("end_location")).alias("shot"),
-        F.col("l_orderkey").alias("match_id"), F.lit(16).cast("bigint").alias("competition_id"), F.lit("Cup").alias("competition_name"),
+        F.col("l_suppkey").alias("team_number"), F.col("l_orderkey").alias("match_id"), F.lit(16).cast("bigint").alias("competition_id"), F.lit("Cup").alias("competition_name"),
         F.lit(1).cast("bigint").alias("season_id"), F.lit("1998").alias("season_name"), F.lit("1998-01-01").alias("match_date"))
 
 
@@ -174,6 +174,28 @@ def _(t):
         "end_location_x", "end_location_y")
 
 
+@query("src_json_events", """
+    SELECT l_suppkey AS match_id, l_suppkey % 3 AS competition_id, 'Season ' || l_suppkey % 2 AS season_name, l_partkey AS source_player_id,
+           'Team ' || l_suppkey % 2 AS team_name, 'Team ' || (1 - l_suppkey % 2) AS opponent_name, CAST(l_linenumber AS BIGINT) AS minute, l_discount AS xg
+    FROM lineitem WHERE l_linenumber <> 7 AND l_suppkey % 3 <> 2""")
+def _(t):
+    """Competitions, matches and events written as JSON folders, one match per supplier, and read back."""
+    root = new_folder(t.spark, "events")
+    match = F.col("s_suppkey")
+    matches = t.raw("supplier").select(
+        match.alias("match_id"), F.lit("1998-01-01").alias("match_date"), (match % 3).alias("competition"), (match % 2).alias("season"),
+        F.struct(F.lit("Team 0").alias("home_team_name")).alias("home_team"), F.struct(F.lit("Team 1").alias("away_team_name")).alias("away_team"))
+    seasons = matches.select(
+        F.col("competition").alias("competition_id"), F.lit("Cup").alias("competition_name"), F.col("season").alias("season_id"),
+        F.concat(F.lit("Season "), F.col("season").cast("string")).alias("season_name")).distinct()
+    events = event_rows(t).select(F.col("team_number").alias("match"), "type", "player", "team", "minute", "location", "shot")
+    seasons.write.json(f"{root}/competitions.json")
+    matches.write.partitionBy("competition", "season").json(f"{root}/matches")
+    events.write.partitionBy("match").json(f"{root}/events")
+    shots = documents.shots(documents.read_shot_events(t.spark, root, (0, 1), arrays=False))
+    return shots.select("match_id", "competition_id", "season_name", "source_player_id", "team_name", "opponent_name", "minute", "xg")
+
+
 @query("sink_replace_partition", """
     SELECT part, count(*) AS moves, sum(CASE WHEN part = 2 THEN 1 ELSE fee END) AS fees
     FROM (SELECT CAST(transfer_id % 5 AS INTEGER) AS part, coalesce(transfer_fee, 0) AS fee FROM transfers0) GROUP BY 1""")

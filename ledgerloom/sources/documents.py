@@ -135,21 +135,25 @@ def _numbers_in_path(pattern: str) -> Column:
     return F.regexp_extract(F.input_file_name(), pattern, 1).cast("bigint")
 
 
-def read_shot_events(spark: SparkSession, root: str, competitions: tuple[int, ...] | None = None) -> DataFrame:
+def read_shot_events(spark: SparkSession, root: str, competitions: tuple[int, ...] | None = None,
+                     arrays: bool = True) -> DataFrame:
     """competitions.json, matches/<competition>/<season>.json and events/<match>.json.
 
-    Each file is one JSON array, so files are the unit of parallelism.
+    Ids come from the paths; partition folders (``match=12``) work as well. With ``arrays``
+    each file holds one JSON array and files are the unit of parallelism; otherwise files
+    hold JSON lines and split freely.
     """
     def read(path: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).option("multiLine", True).json(f"{root}/{path}")
+        reader = spark.read.schema(schema).option("multiLine", arrays).option("recursiveFileLookup", True)
+        return reader.json(f"{root}/{path}")
 
     seasons = read("competitions.json", COMPETITION)
     if competitions:
         seasons = seasons.filter(F.col("competition_id").isin(*competitions))
-    matches = read("matches/*/*.json", MATCH).withColumns({
-        "competition_id": _numbers_in_path(r"matches/(\d+)/\d+\.json"),
-        "season_id": _numbers_in_path(r"matches/\d+/(\d+)\.json")})
-    events = read("events/*.json", EVENT).withColumn("match_id", _numbers_in_path(r"events/(\d+)\.json"))
+    matches = read("matches", MATCH).withColumns({
+        "competition_id": _numbers_in_path(r"matches/(?:competition=)?(\d+)/"),
+        "season_id": _numbers_in_path(r"matches/[^/]+/(?:season=)?(\d+)")})
+    events = read("events", EVENT).withColumn("match_id", _numbers_in_path(r"events/(?:match=)?(\d+)"))
     return events.join(matches, "match_id").join(seasons, ["competition_id", "season_id"])
 
 
