@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom import constants as C
 from ledgerloom.functions import identity, labels, returns
 from ledgerloom.operators.skew import hot_keys
+from ledgerloom.session import checkpointed
 
 FIELDS = ["from_id", "to_id", "from_name", "to_name", "season", "bucket"]
 
@@ -110,9 +111,10 @@ def best_match(candidates: DataFrame, ledger: DataFrame, hot_rows: int = 10_000)
     Players with up to ``hot_rows`` distinct ledger fingerprints are compared row by row;
     the others take the agreement-key route, which gives the same answer.
     """
-    prints = _collapsed(ledger)
+    # both are read several times below, so they are written to the shared folder first
+    prints = checkpointed(_collapsed(ledger), "fingerprints")
     hot = F.broadcast(hot_keys(prints, ["player_id"], hot_rows))
-    cands = fingerprints(candidates, derive_season=True)
+    cands = checkpointed(fingerprints(candidates, derive_season=True), "candidates")
     # inner joins on the hot side: with no hot player that branch is dropped unread
     best = _direct(cands, prints.join(hot, "player_id", "left_anti")).unionByName(
         _by_agreement(cands.join(hot, "player_id").drop("_hot"), prints.join(hot, "player_id").drop("_hot")))

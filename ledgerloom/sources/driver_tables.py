@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators import gems, pairs
 from ledgerloom.operators.skew import HOT_ROWS, chain
+from ledgerloom.session import checkpointed
 
 POSITIONS = [
     "Centre-Forward", "Second Striker", "Attack", "Left Winger", "Left Midfield", "Right Winger",
@@ -20,6 +22,7 @@ CITIZENSHIPS = ["Brazil", "France, Senegal", "Japan", "England", "Atlantis", Non
 FEET = ["left", "Right", "both", None]
 ID_SPAN = 100_000_000
 SCHEMAS: dict[str, StructType] = {}
+STORED: dict[tuple[str, str, str], DataFrame] = {}
 WINDOWS = (1996, 1998, 2000)
 MIN_DEALS = 3
 TRAINING_CUTOFF = "1999-01-01"
@@ -58,8 +61,22 @@ class DriverTables:
             SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written to the shared folder once per application and folder.
+
+        Queries then scan it like any stored ledger: pruned columns, pushed filters, short
+        plans.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in STORED:
+            STORED[key] = checkpointed(build(), name)
+        return STORED[key]
+
     @cached_property
     def transfers(self) -> DataFrame:
+        return self.stored("transfers", self.build_transfers)
+
+    def build_transfers(self) -> DataFrame:
         lines = self.raw("lineitem").select(
             "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag",
             "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate"))
@@ -155,6 +172,9 @@ class DriverTables:
 
     @cached_property
     def paired(self) -> DataFrame:
+        return self.stored("paired", self.build_paired)
+
+    def build_paired(self) -> DataFrame:
         """The ledger with pair columns, gem columns and training eligibility."""
         rows = pairs.on_transfers(self.ledger, self.pairs)
         roi = F.col("roi_pct")
