@@ -49,23 +49,25 @@ def composite(metrics: DataFrame, partition: str | None = None,
               weights: dict[str, float] = C.COMPOSITE_WEIGHTS) -> DataFrame:
     """Weighted sum of min-max scaled metrics; a constant metric scores 0.5 everywhere.
 
-    The bounds are one row per window, joined on the window key.
+    The bounds are one row per window, joined on the window key; without windows they are
+    a scalar subquery, so nothing is cross-joined.
     """
-    key = partition or "_all"
-    rows = metrics if partition else metrics.withColumn("_all", F.lit(1))
     values = {m: F.coalesce(m, F.lit(0.0)) if m == "annualized_roi" else F.col(m) for m in weights}
-    bounds = rows.groupBy(key).agg(*[
-        f(v).alias(f"_{side}_{m}") for m, v in values.items() for side, f in (("lo", F.min), ("hi", F.max))
-    ])
+    ends = [f(v).alias(f"_{side}_{m}") for m, v in values.items() for side, f in (("lo", F.min), ("hi", F.max))]
+    if partition:
+        rows = metrics.join(metrics.groupBy(partition).agg(*ends), partition)
+        bound = F.col
+    else:
+        rows = metrics
+        bounds = metrics.agg(*ends).select(F.struct("*").alias("bounds")).scalar()
+        bound = bounds.getField
 
     def scaled(m: str, v: Column) -> Column:
-        lo, hi = F.col(f"_lo_{m}"), F.col(f"_hi_{m}")
+        lo, hi = bound(f"_lo_{m}"), bound(f"_hi_{m}")
         return F.when(hi == lo, 0.5).otherwise(F.try_divide(v - lo, hi - lo))
 
     score = reduce(add, [F.lit(w) * scaled(m, values[m]) for m, w in weights.items()])
-    out = rows.join(bounds, key).withColumn("composite_score", score)
-    kept = metrics.columns + ["composite_score"]
-    return out.select(*kept)
+    return rows.select(*metrics.columns, score.alias("composite_score"))
 
 
 def onto_clubs(clubs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -97,14 +99,12 @@ def league_spending(clubs: DataFrame, min_transfers: int = C.MIN_TRANSFERS,
 
 def profit_scale(leagues: DataFrame) -> DataFrame:
     """Profit placed in [0, 1] between the smallest and largest, zero always inside."""
-    keyed = leagues.withColumn("_all", F.lit(1))
-    ends = keyed.groupBy("_all").agg(
-        F.least(F.min("total_profit"), F.lit(0.0)).alias("_lo"),
-        F.greatest(F.max("total_profit"), F.lit(0.0)).alias("_hi"),
-    )
-    span = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
-    return keyed.join(ends, "_all").withColumn("ratio", (F.col("total_profit") - F.col("_lo")) / span) \
-        .drop("_all", "_lo", "_hi")
+    ends = leagues.agg(F.struct(
+        F.least(F.min("total_profit"), F.lit(0.0)).alias("lo"),
+        F.greatest(F.max("total_profit"), F.lit(0.0)).alias("hi")).alias("ends")).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
+    span = F.when(hi == lo, 1.0).otherwise(hi - lo)
+    return leagues.withColumn("ratio", (F.col("total_profit") - lo) / span)
 
 
 def stack_totals(parts: dict[str, DataFrame]) -> DataFrame:

@@ -18,13 +18,18 @@ def all_pairs(transfers: DataFrame, valuations: DataFrame, players: DataFrame,
 
 
 def club_scores(pair_rows: DataFrame, min_deals: int = C.MIN_TRANSFERS) -> DataFrame:
-    return metrics.composite(metrics.club_metrics(pair_rows, min_deals=min_deals))
+    """The metrics (one row per club) are stored before scaling, which reads them twice."""
+    return metrics.composite(checkpointed(metrics.club_metrics(pair_rows, min_deals=min_deals), "club-metrics"))
 
 
 def window_scores(pair_rows: DataFrame, windows: tuple[int, ...] = C.ANALYTICS_WINDOWS,
                   min_deals: int = C.MIN_TRANSFERS) -> DataFrame:
-    rows = metrics.in_windows(pair_rows, windows)
-    return metrics.composite(metrics.club_metrics(rows, ("window_key", "club_id"), min_deals), "window_key")
+    return _scored_windows(metrics.in_windows(pair_rows, windows), min_deals)
+
+
+def _scored_windows(rows: DataFrame, min_deals: int) -> DataFrame:
+    stored = checkpointed(metrics.club_metrics(rows, ("window_key", "club_id"), min_deals), "window-metrics")
+    return metrics.composite(stored, "window_key")
 
 
 def full_analytics(transfers: DataFrame, valuations: DataFrame, players: DataFrame,
@@ -42,7 +47,7 @@ def scores_by_period(pair_rows: DataFrame, windows: tuple[int, ...] = C.ANALYTIC
     year = F.year("buy_date")
     keys: list[Column] = [F.lit("all"), *[F.when(year >= w, F.lit(str(w))) for w in windows]]
     rows = pair_rows.withColumn("window_key", F.explode(F.array_compact(F.array(*keys))))
-    return metrics.composite(metrics.club_metrics(rows, ("window_key", "club_id"), min_deals), "window_key")
+    return _scored_windows(rows, min_deals)
 
 
 def league_tiers(paired: DataFrame, clubs: DataFrame, cuts: tuple[float, float, float] = (3.0, 6.0, 10.0)) -> DataFrame:
