@@ -149,7 +149,7 @@ def _(t):
     return quality.extreme_roi(t.paired, 1000).select("transfer_id", F.round("roi_pct", 6).alias("roi_pct"))
 
 
-@query("proj_sanitised_sort", "SELECT player_id, name, market_value_in_eur FROM players ORDER BY market_value_in_eur DESC NULLS LAST, player_id LIMIT 100")
+@query("proj_sanitised_sort", "SELECT player_id, name, market_value_in_eur FROM players ORDER BY market_value_in_eur DESC NULLS LAST, player_id")
 def _(t):
     rows = views.list_players(t.players, sort_by="1; drop table players", order="desc")
-    return rows.limit(100).select("player_id", "name", "market_value_in_eur")
+    return rows.select("player_id", "name", "market_value_in_eur")

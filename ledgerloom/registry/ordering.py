@@ -12,10 +12,10 @@ PAGE = "club_id, name, total_transfers"
 
 @query("sort_leaderboard", f"""
     SELECT {PAGE}, round(hit_rate, 4) AS hit_rate FROM scored_clubs WHERE total_transfers >= 3
-    ORDER BY round(hit_rate, 4) ASC NULLS LAST, club_id LIMIT 25""")
+    ORDER BY round(hit_rate, 4) ASC NULLS LAST, club_id LIMIT 50""")
 def _(t):
     rows = views.leaderboard(rounded(scored_clubs(t), "hit_rate", digits=4), "hit_rate", "asc", min_transfers=MIN_DEALS)
-    return rows.limit(25).select("club_id", "name", "total_transfers", "hit_rate")
+    return rows.limit(50).select("club_id", "name", "total_transfers", "hit_rate")
 
 
 @query("sort_sell_leaders", f"SELECT {PAGE}, total_profit FROM scored_clubs WHERE total_profit IS NOT NULL AND total_transfers >= 3 "
@@ -32,17 +32,17 @@ def _(t):
     return rounded(rows, "value_creation", digits=4).select("club_id", "name", "total_transfers", "value_creation")
 
 
-@query("sort_null_as_zero", "SELECT club_id, total_profit FROM scored_clubs ORDER BY coalesce(total_profit, 0) DESC, club_id LIMIT 40")
+@query("sort_null_as_zero", "SELECT club_id, total_profit FROM scored_clubs ORDER BY coalesce(total_profit, 0) DESC, club_id")
 def _(t):
-    return views.null_as_zero(scored_clubs(t), "total_profit").limit(40).select("club_id", "total_profit")
+    return views.null_as_zero(scored_clubs(t), "total_profit").select("club_id", "total_profit")
 
 
 @query("sort_club_transfers", """
     SELECT transfer_id, transfer_type, transfer_fee FROM typed WHERE from_club_id = 12 OR to_club_id = 12
-    ORDER BY coalesce(transfer_fee, 0) DESC, transfer_id LIMIT 100""")
+    ORDER BY coalesce(transfer_fee, 0) DESC, transfer_id""")
 def _(t):
     rows = views.club_transfers(chains.typed(t.transfers), 12)
-    return views.sort_club_transfers(rows, "fee_desc").limit(100).select("transfer_id", "transfer_type", "transfer_fee")
+    return views.sort_club_transfers(rows, "fee_desc").select("transfer_id", "transfer_type", "transfer_fee")
 
 
 @query("sort_player_history", """

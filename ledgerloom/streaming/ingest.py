@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -15,12 +16,13 @@ LOAD = "load_id"
 
 def read_target(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """What is loaded so far; empty before the first load."""
-    java_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = java_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(java_path)
-    if not exists:
-        return spark.createDataFrame([], schema)
     stored = StructType([*schema.fields, StructField(LOAD, LongType(), True)])
-    return spark.read.schema(stored).parquet(path)
+    try:
+        return spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
