@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators import gems, pairs
 from ledgerloom.operators.skew import HOT_ROWS, chain
-from ledgerloom.session import checkpointed
+from ledgerloom.session import new_folder, shared_folder
 
 POSITIONS = [
     "Centre-Forward", "Second Striker", "Attack", "Left Winger", "Left Midfield", "Right Winger",
@@ -22,7 +22,7 @@ CITIZENSHIPS = ["Brazil", "France, Senegal", "Japan", "England", "Atlantis", Non
 FEET = ["left", "Right", "both", None]
 ID_SPAN = 100_000_000
 SCHEMAS: dict[str, StructType] = {}
-STORED: dict[tuple[str, str, str], DataFrame] = {}
+STORED: dict[tuple[str, str, str, str], tuple[str, StructType]] = {}
 WINDOWS = (1996, 1998, 2000)
 MIN_DEALS = 3
 TRAINING_CUTOFF = "1999-01-01"
@@ -67,10 +67,13 @@ class DriverTables:
         Queries then scan it like any stored ledger: pruned columns, pushed filters, short
         plans.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.folder, name)
         if key not in STORED:
-            STORED[key] = checkpointed(build(), name)
-        return STORED[key]
+            path, rows = new_folder(self.spark, name), build()
+            rows.write.parquet(path)
+            STORED[key] = path, rows.schema
+        path, schema = STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def transfers(self) -> DataFrame:
