@@ -150,8 +150,8 @@ REGIONS = {
     ),
 }
 
-# --- fixed values: competition display names -----------------------------------------------------
-LEAGUE_NAMES = {
+# --- fixed values: display names of domestic leagues ----------------------------------------------
+DOMESTIC_LEAGUE_NAMES = {
     "GB1": "English Premier League", "ES1": "LaLiga", "IT1": "Serie A",
     "FR1": "Ligue 1", "L1": "Swiss Super League", "BE1": "Belgian Pro League",
     "NL1": "Eredivisie", "PO1": "Primeira Liga",
@@ -164,6 +164,10 @@ LEAGUE_NAMES = {
     "SER1": "Serbian SuperLiga", "UKR1": "Ukrainian Premier League",
     "MEX1": "Liga MX", "MLS1": "Major League Soccer", "JAP1": "J1 League",
     "KRS1": "K League 1", "SA1": "Saudi Pro League", "COL1": "Liga BetPlay",
+}
+
+# --- fixed values: display names of cups and international competitions -----------------------------
+CUP_NAMES = {
     "CL": "UEFA Champions League", "EL": "UEFA Europa League",
     "ECLQ": "UEFA Conference League Qualifying", "ELQ": "UEFA Europa League Qualifying",
     "CLQ": "UEFA Champions League Qualifying", "FAC": "FA Cup", "CGB": "EFL Cup",
@@ -180,9 +184,11 @@ LEAGUE_NAMES = {
     "UKRS": "Ukrainian Super Cup",
 }
 
-# --- fixed values: names that the league spending report shows differently ------------------------
+LEAGUE_NAMES = {**DOMESTIC_LEAGUE_NAMES, **CUP_NAMES}
+
+# --- fixed values: two leagues that the spending report names differently ---------------------------
 SPENDING_LEAGUE_NAMES = {
-    **{code: LEAGUE_NAMES[code] for code in list(LEAGUE_NAMES)[:31]},
+    **DOMESTIC_LEAGUE_NAMES,
     "GB1": "Premier League",
     "BRA1": "Brasileirão Série A",
 }

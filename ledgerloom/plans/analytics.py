@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import constants as C
+from ledgerloom.functions import labels
 from ledgerloom.operators import features, fuzzy, gems, matching, metrics, pairs, sets
 from ledgerloom.session import checkpointed
 
@@ -80,6 +81,11 @@ XG_NUMBERS = {"xg": "double", "xa": "double", "npxg": "double", "shots": "bigint
               "games": "bigint", "goals": "bigint", "assists": "bigint", "xg_chain": "double", "xg_buildup": "double"}
 
 
+def xg_competition(league: Column) -> Column:
+    """Competition id of an xG source league; unknown leagues keep their name."""
+    return F.coalesce(labels.lookup(league, C.XG_LEAGUES), league)
+
+
 def linked_xg(rows: DataFrame, players: DataFrame, min_minutes: int = 90) -> DataFrame:
     """Season xG rows (text numbers) with the linked player, one per (player, season, competition).
 

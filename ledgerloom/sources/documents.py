@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom import constants as C
 from ledgerloom.functions import parsing
 
 PROFILE = """
@@ -131,6 +132,13 @@ EVENT = """
 """
 
 
+def shot_competitions(priority: str = "high") -> tuple[int, ...]:
+    """Competition ids to load: high, medium, low or all."""
+    if priority == "all":
+        return tuple(i for ids in C.SHOT_COMPETITIONS.values() for i in ids)
+    return C.SHOT_COMPETITIONS[priority]
+
+
 def _numbers_in_path(pattern: str) -> Column:
     return F.regexp_extract(F.input_file_name(), pattern, 1).cast("bigint")
 

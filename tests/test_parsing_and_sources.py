@@ -86,7 +86,7 @@ def test_shot_files(spark, tmp_path):
         (tmp_path / "events" / f"{match}.json").write_text(json.dumps([
             {"type": {"name": "Shot"}, "player": {"id": 5, "name": "Zé"}, "team": {"name": "H"}, "minute": 3, "location": [1.0, 2.0],
              "shot": {"statsbomb_xg": 0.5, "outcome": {"name": "Goal"}, "end_location": [9.0]}}, {"type": {"name": "Pass"}}]))
-    got = documents.shots(documents.read_shot_events(spark, str(tmp_path), (16,)))
+    got = documents.shots(documents.read_shot_events(spark, str(tmp_path), documents.shot_competitions("high")))
     assert rows(got, "match_id", "season_name", "opponent_name", "xg", "location_y", "end_location_y") == [(71, "18/19", "A", 0.5, 2.0, None)]
 
 
@@ -106,6 +106,16 @@ def test_search_escapes_wildcards(spark):
     assert rows(sets.search(clubs, players, "0%"), "type", "id") == [("club", 1), ("player", 7)]
 
 
+def test_league_names(spark):
+    from ledgerloom import constants as C
+    from ledgerloom.plans.analytics import xg_competition
+    assert len(C.DOMESTIC_LEAGUE_NAMES) == 31
+    assert apply(spark, labels.league_name, ["GB1", "DFB", "NATION_1"]) == ["English Premier League", "DFB-Pokal", None]
+    assert C.SPENDING_LEAGUE_NAMES["GB1"] == "Premier League" and "DFB" not in C.SPENDING_LEAGUE_NAMES
+    assert apply(spark, xg_competition, ["EPL", "Elsewhere"]) == ["GB1", "Elsewhere"]
+    assert len(documents.shot_competitions("all")) == 11
+
+
 def test_page_bounds(spark):
     df = spark.range(10)
     assert rows(views.page(df, [F.col("id").asc()], 2, 3)) == [(3,), (4,), (5,)]
