@@ -41,3 +41,44 @@ def counted_words(docs: DataFrame, key, lower: bool) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), key.cast("string").alias("key"))
     counts = rows.mapInArrow(_counter(lower), "key string, hash long, word string, n long")
     return counts.groupBy("key", "hash", "word").agg(F.sum("n").alias("n"))
+
+
+GATHERED_ROWS = 200_000
+
+
+def gathered(batches, rows: int = GATHERED_ROWS):
+    """Joins small batches, so that equal keys fold better."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' characters as one stream, each word between two spaces; the stream's word and place in the word."""
+    text = words.to_pylist()
+    points = np.frombuffer((" " + "  ".join(text) + " ").encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in text], np.int64)
+    owner = np.repeat(np.arange(len(text)), size)
+    return points, owner, np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def char_grams(words: pa.ChunkedArray | pa.Array, n: np.ndarray, sizes):
+    """For each size the different n-grams of the spaced words that end after the first space, and their summed counts."""
+    if not len(words):
+        return
+    points, owner, place = spelled(words)
+    for size in sizes:
+        ends = np.flatnonzero(place >= max(1, size - 1))
+        keys = combine([points[ends - size + 1 + k] for k in range(size)])
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, which, n[owner[ends]])
+        chosen = ends[first][:, None] + np.arange(1 - size, 1)[None, :]
+        flat = points[chosen].astype("<u4").tobytes().decode("utf-32-le")
+        yield [flat[k:k + size] for k in range(0, len(flat), size)], sums
