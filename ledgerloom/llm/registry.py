@@ -6,21 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.block_labeller import extract_main_text
+from ledgerloom.llm.credential_automata import scan_secrets
+from ledgerloom.llm.hilbert_packing import pack_along_curve
 from ledgerloom.llm.hyperminhash import near_duplicates
 from ledgerloom.llm.kneser_ney import quality_rules
+from ledgerloom.llm.language_backoff import identify_language
+from ledgerloom.llm.line_templates import drop_recurring_lines
+from ledgerloom.llm.pseudonyms import pseudonymize
+from ledgerloom.llm.spaced_seeds import decontaminate
+from ledgerloom.llm.suffix_tree import suffix_tree_scores
 from ledgerloom.llm.tables import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_near_duplicates": op2_near_duplicates,
-    "op6_quality_rules": op6_quality_rules,
+    f.__name__: f for f in (
+        op1_main_text, op2_near_duplicates, op3_pseudonyms, op4_decontamination, op5_suffix_tree, op6_quality_rules,
+        op7_line_templates, op8_secrets, op9_curve_packing, op10_language)
 }
 SQL: dict[str, str] = {}
