@@ -8,9 +8,12 @@ shingle sets decide.
 At the threshold of 0.75 a link escapes all 42 bands with probability (1 - 0.75^3)^42, about 1e-10, and the thinning (five
 standard deviations) with less than 1e-6.
 
-Groups of any size: documents with one shingle set are one class. A band's members are first compared with the smallest member
-only; components of those links are formed, and then members of a band whose components still differ are compared, those outside
-the band's largest-known component with all others. So no link between components is left out, and pairs inside one are not listed.
+Groups of any size: documents with one shingle set are one class. A band's members are compared with one of them only, its hub: the member
+that shares most with others. If two members are linked to their hub they are in one component. Otherwise one of them, say r, is not linked
+to the hub c, and then a document l can be linked to r only if the differences of r and l from c share elements, at least
+(|r - c| + |l - c| - (|r| + |l|) / 7) / 2 of them and one at least (|x - y|: symmetric difference). Such pairs are found by a prefix
+filter over difference elements, the rarest first, with size and position bounds, and then verified. So no link between components is
+left out, and the pairs inside a group are never listed.
 
 Null, empty and blank texts have an empty set and no links. Repeated rows of one id count as one document when their text is the
 same (the smallest text wins otherwise). An empty table gives an empty result. Other columns are ignored.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -104,11 +107,11 @@ def _likely(batches):
         if batch.num_rows:
             a, b = (_rows(batch.column(c)) for c in ("ra", "rb"))
             good = corrected_jaccard(a, b, np.asarray(batch.column("na")), np.asarray(batch.column("nb"))) >= ESTIMATE_FLOOR
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], ["a", "b", "likely"])
 
 
-def _verified(batches):
-    """Keeps pairs whose full shingle sets meet the threshold."""
+def _compared(batches):
+    """Whether full shingle sets meet the threshold, and the elements in which b differs from a (removed ones with their last bit turned)."""
     for batch in batches:
         for low in range(0, batch.num_rows, 64):
             part, sets = batch.slice(low, 64), {}
@@ -118,25 +121,62 @@ def _verified(batches):
                     data = LOWER[block.data]
                     words = find_words(data, block.offsets)
                     sets[side] += shingle_sets(words, hash_slices(data, words.start, words.end), SHINGLE_WORDS)
-            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets["a"], sets["b"], strict=True)]
+            apart = [np.concatenate([np.setdiff1d(y, x, True), np.setdiff1d(x, y, True) ^ np.uint64(1)]) for x, y in zip(sets["a"], sets["b"], strict=True)]
+            shared = [(len(x) + len(y) - len(d)) // 2 for x, y, d in zip(sets["a"], sets["b"], apart, strict=True)]
             good = [100 * s >= PER_CENT * (len(x) + len(y) - s) for s, x, y in zip(shared, sets["a"], sets["b"], strict=True)]
-            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            linked = [g and maybe for g, maybe in zip(good, part.column("likely").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array([len(y) for y in sets["b"]], pa.int64()),
+                pa.array([d.view(np.int64) for d in apart], pa.list_(pa.int64()))], ["a", "b", "linked", "size", "apart"])
 
 
 def _side(frame: DataFrame, key: str, **names: str) -> DataFrame:
     return frame.select(F.col("doc_id").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs ``a, b`` of class representatives that are links."""
+def _estimated(pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
     known = pairs.join(_side(reps, "a", registers="ra", n_shingles="na"), "a").join(_side(reps, "b", registers="rb", n_shingles="nb"), "b")
-    likely = stored(known.mapInArrow(_likely, "a long, b long"), f"{name}-likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    if 2 * likely.count() <= SENT_IDS:
+    return stored(known.mapInArrow(_likely, "a long, b long, likely boolean"), f"{name}-likely")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """``a, b, linked, size, apart`` of the pairs of class representatives ``a, b, likely``."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     wanted = stored(texts.join(ids, "doc_id", "left_semi"), f"{name}-texts")
-    both = likely.join(_side(wanted, "b", text="text_b"), "b").join(_side(wanted, "a", text="text_a"), "a")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    both = pairs.join(_side(wanted, "b", text="text_b"), "b").join(_side(wanted, "a", text="text_a"), "a")
+    return stored(both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(
+        _compared, "a long, b long, linked boolean, size long, apart array<long>"), f"{name}-compared")
+
+
+def _hub_pairs(bands: DataFrame) -> DataFrame:
+    """``a, b``: each band's hub and its other members."""
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"))
+    scores = stored(bands.join(sizes, "band").groupBy("doc").agg(F.sum("n").alias("score")), "scores")
+    hubs = bands.join(scores, "doc").groupBy("band").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("a"))
+    return bands.join(hubs, "band").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
+
+
+def _cross_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``a, b``: pairs of documents of different components that can be links, of which one at least is not linked to their common hub."""
+    rows = compared.select("a", "b", "linked", "size", F.size("apart").alias("n"), F.explode("apart").alias("element"))
+    common = rows.groupBy("a", "element").agg(F.count("*").alias("times"), F.bool_and("linked").alias("all")).where("times > 1 and not all")
+    # an element that no other document has can match nothing, but it takes one of the first places
+    rows = rows.join(common.select("a", "element", "times"), ["a", "element"])
+    own = Window.partitionBy("a", "b")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "element")) - 1
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.floor(F.col("size") / 3))
+    rows = rows.join(groups.withColumnRenamed("node", "b"), "b", "left").withColumn("group", F.coalesce("component", "b"))
+    rows = stored(rows.select("a", "element", "b", "linked", "size", "n", "place", "group"), "cells")
+    r, l = rows.where("not linked").alias("r"), rows.alias("l")  # noqa: E741
+    spare = (F.col("r.size") + F.col("l.size")) / 7
+    least = F.greatest(F.lit(1.0), (F.col("r.n") + F.col("l.n") - spare) / 2)
+    pairs = r.join(l, (F.col("r.a") == F.col("l.a")) & (F.col("r.element") == F.col("l.element")) & (F.col("r.group") != F.col("l.group"))
+                   & (F.col("l.linked") | (F.col("r.b") < F.col("l.b"))) & (F.abs(F.col("r.n") - F.col("l.n")) <= spare)
+                   & (4 * F.least("r.size", "l.size") >= 3 * F.greatest("r.size", "l.size"))
+                   & (F.least(F.col("r.n") - F.col("r.place"), F.col("l.n") - F.col("l.place")) >= least))
+    return pairs.select(F.least("r.b", "l.b").alias("a"), F.greatest("r.b", "l.b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -151,19 +191,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                                  F.when(F.col("rep") == F.col("doc_id"), F.col("registers")).alias("registers")), "members")
     reps = members.where("registers is not null")
     bands = reps.select("rep", "registers").mapInArrow(_band_keys, "band long, doc long")
-    shared = bands.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("band", "a")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     bands = stored(bands.join(shared, "band"), "bands")
 
-    links = _links(bands.where("doc != a").select("a", F.col("doc").alias("b")).distinct(), reps, docs, "first")
-    groups = stored(components(links), "groups")
-    labelled = stored(bands.join(groups, bands.doc == groups.node, "left").select(
-        "band", "doc", F.coalesce("component", "doc").alias("group")), "labelled")
-    sizes = labelled.groupBy("band", "group").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.count("*").alias("groups"), F.max_by("group", F.struct("n", "group")).alias("main")).where("groups > 1")
-    apart = labelled.join(sizes.select("band", "main"), "band").where("group != main").select("band", F.col("doc").alias("r"), F.col("group").alias("r_group"))
-    cross = labelled.join(apart, "band").where("group != r_group")
-    cross = cross.select(F.least("doc", "r").alias("a"), F.greatest("doc", "r").alias("b")).distinct()
-    more = _links(cross, reps, docs, "cross")
+    compared = _verified(_estimated(_hub_pairs(bands), reps, "hub"), docs, "hub")
+    links = compared.where("linked").select("a", "b")
+    cross = _estimated(_cross_pairs(compared, stored(components(links), "groups")), reps, "cross")
+    more = _verified(cross.where("likely"), docs, "cross").where("linked").select("a", "b")
     final = components(links.unionAll(more))
     out = members.join(final, members.rep == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
