@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased. A seed is a window of ``SPAN`` words of which a fixed mask ignores some, so that a
-substituted word spoils only the masks that look at it. Seeds of all documents are joined with those of the benchmark by hash. Around
-each hit, document and item are laid side by side and equal words are counted from ``REACH`` words before the window to ``REACH`` after
-it; a hit is verified if ``MIN_EQUAL`` words are equal, or ``SHORT_SHARE`` of an item that is shorter than ``SHORT_WORDS``.
+substituted word spoils only the masks that look at it. Seeds of all documents are joined with those of the benchmark by hash; a document's
+words stay one array while its windows are hashed, and only hits leave the join. Documents with hits are read again: around each hit,
+document and item are laid side by side and equal words are counted from ``REACH`` words before the window to ``REACH`` after it; a hit
+is verified if ``MIN_EQUAL`` words are equal, or ``SHORT_SHARE`` of an item that is shorter than ``SHORT_WORDS``.
 
-A document is taken in overlapping pieces of ``PIECE`` words, so an array never grows with the text. The benchmark's seeds are sent to
-every task up to ``SENT_SEEDS`` of them; more are joined by a shuffle, with the same result.
+The benchmark's seeds, its items and the ids of documents with hits are sent to every task up to ``SENT_SEEDS``, ``SENT_SEEDS`` and
+``SENT_IDS`` of them; more are joined by a shuffle, with the same result.
 
 Null and empty texts, and items of fewer than ``SPAN`` words, have no seeds and match nothing. Repeated rows of an id count together.
 Empty tables give no matches. Other columns are ignored.
@@ -17,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.tables import stored
+
 #: Positions that count, of windows of 11 words.
 MASKS = ((0, 1, 3, 4, 6, 9, 10), (0, 2, 3, 5, 7, 8, 10), (0, 1, 2, 5, 6, 8, 10))
 SPAN, REACH = 11, 8
 MIN_EQUAL = 13
 SHORT_WORDS, SHORT_SHARE = 16, 0.8
-PIECE = 4096
-SENT_SEEDS = 500_000
+SENT_SEEDS, SENT_IDS = 500_000, 2_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -32,40 +34,45 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """Adds ``piece``: overlapping slices of ``words``."""
-    step = PIECE - SPAN - 2 * REACH
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SPAN, F.lit(0)), F.lit(step))
-    return rows.where(F.size("words") >= SPAN).withColumn("from", F.explode(starts)).withColumn(
-        "piece", F.slice("words", F.col("from") + 1, F.lit(PIECE))).drop("words", "from").where(F.size("piece") >= SPAN)
+def _seeds(rows: DataFrame, words: str, *keep: str) -> DataFrame:
+    """``seed`` and ``at`` (0-based) for every window and mask of an array of word hashes."""
+    # a filter on the size would be pushed below the words and have them hashed twice
+    windows = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
+    starts = rows.withColumn("at", F.explode(windows))
+    seeds = [F.xxhash64(F.lit(m), *[F.get(words, F.col("at") + k) for k in mask]) for m, mask in enumerate(MASKS)]
+    return starts.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def _seeds(rows: DataFrame, sequence: str, *keep: str) -> DataFrame:
-    """``seed`` and ``at`` (0-based) for every window and mask of an array of word hashes."""
-    windows = F.size(sequence) - SPAN + 1
-    # named_struct's fields come from slices of one length, so zipping them lays a window's words in one row
-    shifted = [F.slice(sequence, k + 1, windows).alias(f"w{k}") for k in range(SPAN)]
-    zipped = F.arrays_zip(F.sequence(F.lit(0), windows - 1).alias("at"), *shifted)
-    flat = rows.select(*keep, F.inline(zipped)).toDF(*keep, "at", *[f"w{k}" for k in range(SPAN)])
-    seeds = F.array(*[F.xxhash64(F.lit(m), *[f"w{k}" for k in mask]) for m, mask in enumerate(MASKS)])
-    return flat.select(*keep, "at", F.explode(seeds).alias("seed"))
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def seed_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, equal``: verified overlaps, ``equal`` the most equal words around a hit."""
     items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SPAN)
-    seeds = _seeds(items, "item", "item_id", "item").select("seed", "item_id", "item", F.col("at").alias("item_at")).dropDuplicates(["seed", "item_id", "item_at"])
-    if seeds.count() <= SENT_SEEDS:
-        seeds = F.broadcast(seeds)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("words"))
-    hits = _seeds(_pieces(texts), "piece", "doc_id", "piece").join(seeds, "seed")
-    before = F.least("at", "item_at", F.lit(REACH))
-    after = F.least(F.size("piece") - F.col("at"), F.size("item") - F.col("item_at"), F.lit(SPAN + REACH))
-    side = lambda array, at: F.slice(array, F.col(at) - before + 1, before + after)
-    same = F.size(F.filter(F.zip_with(side("piece", "at"), side("item", "item_at"), lambda a, b: a == b), lambda x: x))
+    seeds = _seeds(items, "item", "item_id").select("seed", "item_id", F.col("at").alias("item_at")).distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
+    hits = _seeds(texts, "words", "doc_id").join(_sent(seeds, SENT_SEEDS), "seed").select("doc_id", "item_id", "at", "item_at")
+    # one row for each way an item lies in a document; it has at most as many hits as the item has words
+    lying = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
+    lying = stored(lying, "seed-hits")
+
+    ids = _sent(lying.select("doc_id").distinct(), SENT_IDS)
+    found = docs.join(ids, "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
+    both = lying.join(found, "doc_id").join(_sent(items, SENT_SEEDS), "item_id")
+    words, item, shift = F.col("words"), F.col("item"), F.col("shift")
+
+    def equal(at: Column) -> Column:
+        before = F.least(at, at - shift, F.lit(REACH))
+        after = F.least(F.size(words) - at, F.size(item) - at + shift, F.lit(SPAN + REACH))
+        sides = [F.slice(array, start - before + 1, F.greatest(before + after, F.lit(0))) for array, start in ((words, at), (item, at - shift))]
+        return F.size(F.filter(F.zip_with(*sides, lambda a, b: a == b), lambda same: same))
+
     enough = F.when(F.size("item") < SHORT_WORDS, F.ceil(F.size("item") * SHORT_SHARE)).otherwise(MIN_EQUAL)
-    found = hits.select("doc_id", "item_id", same.cast("long").alias("equal"), enough.alias("enough")).where("equal >= enough")
-    return found.groupBy("doc_id", "item_id").agg(F.max("equal").alias("equal"))
+    inside = F.filter("ats", lambda at: (at < F.size(words)) & (at >= shift))
+    rated = both.select("doc_id", "item_id", F.array_max(F.transform(inside, equal)).cast("long").alias("equal"), enough.alias("enough"))
+    return rated.where("equal >= enough").groupBy("doc_id", "item_id").agg(F.max("equal").alias("equal"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
