@@ -23,6 +23,8 @@ LEADING = 3
 SIMILAR = 0.7
 MIN_DOCS = 5
 MIN_WORDS = 3
+#: Line numbers that are sent to every task (8 MB); more are joined by a shuffle, with the same result.
+SENT_LINES = 2_000_000
 FIELD = "<*>"
 
 
@@ -33,10 +35,19 @@ def masked_words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, words, leaf, line`` of the lines that may be dropped; leaf and line are hashes."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", masked_words(F.col("raw")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    return lines.select("doc_id", "line_no", "words", F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"))
+    """``doc_id, line_no, raw`` of every line."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "raw"))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """``doc_id, line_no, n, leaf, line`` of the lines that may be dropped: number of words, and hashes of leaf and masked line.
+
+    Stored before it is filtered: a filter on the words would be pushed below them and have each line masked twice.
+    """
+    words = lines.select("doc_id", "line_no", masked_words(F.col("raw")).alias("words"))
+    rows = words.select("doc_id", "line_no", F.size("words").alias("n"),
+                        F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"))
+    return stored(rows, "lines").where(F.col("n") >= MIN_WORDS)
 
 
 def _documents(rows: DataFrame, key: str) -> DataFrame:
@@ -44,15 +55,30 @@ def _documents(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "doc_id").distinct().groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select(key)
 
 
+def _with_lines(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataFrame:
+    """Joins to each document the numbers of its ``lines``, sent to every task if there are at most ``SENT_LINES``."""
+    own = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias(name)), name)
+    small = own.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0] <= SENT_LINES
+    own = own.withColumnRenamed("doc_id", "own_id")
+    return docs.join(F.broadcast(own) if small else own, docs["doc_id"].cast("long") == F.col("own_id"), how)
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of every line that goes."""
-    every = _lines(docs)
-    narrow = stored(every.select("doc_id", "line_no", "leaf", "line"), "lines")
+    docs = docs.select("doc_id", "text")
+    narrow = _placed(_lines(docs))
 
     # leaves of several masked lines in enough documents: most frequent word at each place
     mixed = narrow.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("leaf")
-    mixed = stored(_documents(narrow.join(mixed, "leaf", "left_semi"), "leaf"), "leaves")
-    words = stored(every.join(mixed, "leaf", "left_semi").select("leaf", "line", "doc_id", "line_no", F.posexplode("words").alias("place", "word")), "leaf-words")
+    mixed = _documents(narrow.join(mixed, "leaf", "left_semi"), "leaf")
+    members = stored(narrow.join(mixed, "leaf", "left_semi").select("doc_id", "line_no", "leaf", "line"), "members")
+    held = _with_lines(docs, members.select("doc_id", "line_no"), "leaf_lines", "inner")
+    split = held.select("own_id", "leaf_lines", F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    raw = split.select(F.col("own_id").alias("doc_id"), F.inline(F.transform("leaf_lines", lambda k: F.struct(
+        k.alias("line_no"), masked_words(F.get("lines", k)).alias("words")))))
+    words = raw.select("doc_id", "line_no", F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"),
+                       F.posexplode("words").alias("place", "word"))
+    words = stored(words, "leaf-words")
     modes = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n")).groupBy("leaf", "place").agg(
         F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("mode"))
     near = words.join(modes, ["leaf", "place"]).groupBy("leaf", "line", "doc_id", "line_no").agg(
@@ -70,13 +96,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, with the dropped lines out of ``text``, and ``n_lines`` and ``n_dropped``."""
-    gone = dropped_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines")).withColumnRenamed("doc_id", "gone_id")
-    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left")
-    lines = F.split(docs["text"].cast("string"), "\n", -1)
-    numbered = F.transform(lines, lambda line, k: F.struct(k.alias("k"), line.alias("line")))
-    left = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains("gone_lines", x["k"])), lambda x: x["line"]), "\n")
-    text = F.when(F.col("gone_lines").isNull(), docs["text"].cast("string")).otherwise(left)
-    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-                       F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-                       F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).alias("n_dropped"))
+    """All rows and columns of ``docs``, with the dropped lines out of ``text``, and ``n_lines`` and ``n_dropped`` (in place of such columns)."""
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    text = F.col("text").cast("string")
+    rows = _with_lines(whole, dropped_lines(docs), "gone_lines", "left").withColumn(
+        "text_lines", F.when(F.col("gone_lines").isNotNull(), F.split(text, "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("text_lines") - 1), F.col("gone_lines"))
+    left = F.array_join(F.transform(kept, lambda k: F.get(F.col("text_lines"), k)), "\n")
+    breaks = F.length(text) - F.length(F.translate(text, "\n", ""))
+    return rows.select(*[F.coalesce(left, text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in others],
+                       F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).alias("n_dropped"))
