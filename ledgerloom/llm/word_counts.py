@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import LOWER, combine, find_words, hash_slices, strings, text_blocks
+from ledgerloom.llm.words import BLOCK_BYTES, LOWER, combine, find_words, hash_slices, strings, text_blocks
+
+#: Larger blocks fold more repeated words.
+COUNTED_BYTES = 2 * BLOCK_BYTES
 
 
 def key_codes(column: pa.Array) -> tuple[np.ndarray, list]:
@@ -18,7 +21,7 @@ def key_codes(column: pa.Array) -> tuple[np.ndarray, list]:
 
 def _counter(lower: bool):
     def count(batches):
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=COUNTED_BYTES):
             data = LOWER[block.data] if lower else block.data
             words = find_words(data, block.offsets)
             if not len(words.start):
