@@ -5,7 +5,7 @@ falls back to its character n-grams of four, then three, two, one characters, sp
 at least one n-gram is known counts, by the mean log frequency of those known. A text's language has the largest sum over its words.
 
 The model holds the words and n-grams that make up at least ``LEAST_SHARE`` of a language's counts, so at most 1 / ``LEAST_SHARE`` of a
-kind in a language; counts cover all training documents. A frequency of an item that a language lacks is half a count.
+kind in a language; counts cover all training documents. Every item of a kind has ``SMALLEST`` more counts in each language.
 
 Training documents have a text and a language, and crc32(id as text) mod 4 other than 2. Null texts and texts without a letter are
 ``und`` with score 0, and so is every text if nothing was learned. Ties go to the language first in order. ``score`` is the softmax of
@@ -31,6 +31,7 @@ from ledgerloom.llm.words import Texts, combine, hash_slices, take_slices, text_
 FOLDS = 4
 SIZES = (4, 3, 2, 1)
 LEAST_SHARE = 1e-5
+SMALLEST = 0.5
 FIRM_WORDS = 30
 UNKNOWN = "und"
 
@@ -108,10 +109,10 @@ def frequency_tables(rows) -> tuple[list[str], dict[int, tuple[np.ndarray, np.nd
     for size, own in rows.groupby("size"):
         items = sorted(own["item"].unique())
         place = {item: k for k, item in enumerate(items)}
-        table = np.full((len(items), len(languages)), 0.5)
+        table = np.full((len(items), len(languages)), SMALLEST)
         totals = dict(zip(own.lang, own.total, strict=True))
-        table[own["item"].map(place), own.lang.map({x: k for k, x in enumerate(languages)})] = own.n
-        logs = np.log(table / np.array([totals.get(x, 1) for x in languages]))
+        table[own["item"].map(place), own.lang.map({x: k for k, x in enumerate(languages)})] += own.n
+        logs = np.log(table / (np.array([totals.get(x, 0) for x in languages]) + SMALLEST * len(items)))
         points = np.frombuffer("".join(items).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(i) for i in items])
         starts = ends - np.array([len(i) for i in items])
