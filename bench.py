@@ -12,13 +12,14 @@ import sys
 import time
 
 from ledgerloom.registry import QUERIES
-from ledgerloom.session import local_session
+from ledgerloom.session import drop_intermediates, local_session
 from ledgerloom.sources.driver_tables import DriverTables
 
 HEADLINE = [
     "join_buy_sell", "pipe_pairs", "pipe_club_scores", "pipe_full_analytics", "pipe_league_tiers", "join_asof_club_profit",
     "join_self_swapped_loans", "win_lag_breaks", "agg_health_score", "pipe_consistency", "pipe_features", "pipe_reconcile_once",
     "set_incremental_transfers", "agg_gem_leagues", "fn_classify_transfer", "src_csv_transfers", "stream_ingest",
+    "stream_dedup", "stream_reconcile", "join_fuzzy_player", "pipe_shots", "pipe_xg",
 ]
 
 
@@ -31,7 +32,8 @@ def timed(build) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), **{"spark.ui.showConsoleProgress": "false"})
+    shared = os.environ.get("BENCH_SHARED_DIR", os.path.join(os.getcwd(), "spark-warehouse", "shared"))
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     tables = DriverTables(spark, folder)
     tables.raw("region").count()
@@ -43,6 +45,7 @@ def main() -> None:
     scale = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                       "sf": float(scale.group(1)) if scale else folder}), flush=True)
+    drop_intermediates(spark)
     spark.stop()
 
 

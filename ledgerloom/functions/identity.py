@@ -8,14 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import constants as C
-from ledgerloom.functions import labels
 
 
 def normal_club_name(name: Column) -> Column:
-    cleaned = F.lower(F.trim(name))
-    for prefix in C.CLUB_PREFIXES:
-        cleaned = F.regexp_replace(cleaned, "^" + re.escape(prefix), "")
-    return F.when(name != "", cleaned)
+    """Lower case, and each known prefix taken off in turn: one anchored pass."""
+    prefixes = "".join(f"(?:{re.escape(p)})?" for p in C.CLUB_PREFIXES)
+    return F.when(name != "", F.regexp_replace(F.lower(F.trim(name)), "^" + prefixes, ""))
 
 
 def fingerprint_hash(player: Column, source_id: Column, from_id: Column, to_id: Column,
@@ -65,6 +63,14 @@ def match_evidence(a, b) -> list[Evidence]:
     ]
 
 
+SAME_SOURCE = "exact_transfermarkt_id"
+
+
+def same_source(a: Column, b: Column) -> Column:
+    """Two records with one source id are the same transfer, whatever else they say."""
+    return F.coalesce((a != "") & (a == b), F.lit(False))
+
+
 def score_of(evidence: list[Evidence]) -> Column:
     earned = sum((e.earned for e in evidence[1:]), evidence[0].earned)
     available = sum((e.available for e in evidence[1:]), evidence[0].available)
@@ -122,6 +128,3 @@ def confidence(c, best_score: Column, best_reasons: Column, is_academy: Column)
         F.when(duplicate, "reject").when(has_source, "safe").otherwise(decision).alias("decision"),
     )
 
-
-def ledger_bucket(fee: Column) -> Column:
-    return labels.fee_bucket(fee)

@@ -123,19 +123,19 @@ def missing_first_origin(transfers: DataFrame) -> DataFrame:
     return first.agg(F.coalesce(F.sum("first.lost"), F.lit(0)).alias("missing"))
 
 
-def swapped_loans(transfers: DataFrame, max_days: int = 730) -> DataFrame:
-    """Fee-free moves with a fee-free counter-move (clubs swapped) within ``max_days``.
+def with_loans(transfers: DataFrame, max_days: int = 730) -> DataFrame:
+    """Adds ``is_loan``: a fee-free move with a fee-free counter-move (clubs swapped) within ``max_days``.
 
-    Moves collapse to distinct days per (player, club pair, direction); the nearest
-    opposite day before and after decides, so no two moves are ever paired up.
+    A negative fee counts as free, but not on both sides. Moves collapse to distinct days per
+    (player, club pair, direction); the nearest opposite day before and after decides, so no
+    two moves are ever paired up and the ledger is joined once, with those days.
     """
-    free = transfers.filter(
-        (F.col("from_club_id") != 0) & (F.col("to_club_id") != 0) & F.col("transfer_date").isNotNull()
-        & F.coalesce(F.col("transfer_fee") <= 0, F.lit(True)))
     low, high = F.least("from_club_id", "to_club_id"), F.greatest("from_club_id", "to_club_id")
-    keyed = free.withColumns({"_lo": low, "_hi": high, "_out": F.col("from_club_id") == low})
+    free = ((F.col("from_club_id") != 0) & (F.col("to_club_id") != 0) & F.col("transfer_date").isNotNull()
+            & F.coalesce(F.col("transfer_fee") <= 0, F.lit(True)))
+    keyed = transfers.withColumns({"_free": F.coalesce(free, F.lit(False)), "_lo": low, "_hi": high, "_out": F.col("from_club_id") == low})
     day = F.col("transfer_date")
-    days = keyed.groupBy("player_id", "_lo", "_hi", "transfer_date").agg(
+    days = keyed.filter("_free").groupBy("player_id", "_lo", "_hi", "transfer_date").agg(
         F.count_if("_out").alias("_n_out"), F.count_if(~F.col("_out")).alias("_n_back"),
         F.count_if(F.col("_out") & _zero_fee()).alias("_z_out"),
         F.count_if(~F.col("_out") & _zero_fee()).alias("_z_back"))
@@ -150,21 +150,24 @@ def swapped_loans(transfers: DataFrame, max_days: int = 730) -> DataFrame:
         gap_after = F.datediff(F.last(seen, True).over(after), day)
         return F.coalesce(F.least(gap_before, gap_after) <= max_days, F.lit(False))
 
-    flagged = days.withColumns({"_near_out": near("_z_out"), "_near_back": near("_z_back")})
-    joined = keyed.join(flagged, ["player_id", "_lo", "_hi", "transfer_date"])
-    same_club = F.col("_lo") == F.col("_hi")
-    # a move between a club and itself is its own opposite, so it needs a second such move
-    own = F.when(_zero_fee(), 1).otherwise(0)
-    loan = (
-        F.when(same_club, (F.col("_z_out") > own) | F.col("_near_out"))
-        .when(F.col("_out"), (F.col("_z_back") > 0) | F.col("_near_back"))
-        .otherwise((F.col("_z_out") > 0) | F.col("_near_out"))
-    )
-    return joined.filter(loan).select(*transfers.columns)
+    flagged = days.withColumns({f"_near{c}": near(c) for c in ("_n_out", "_n_back", "_z_out", "_z_back")})
+    joined = keyed.join(flagged, ["player_id", "_lo", "_hi", "transfer_date"], "left")
+
+    def partner(kind: str) -> Column:
+        # a move between a club and itself is its own opposite, so it needs a second such move
+        out, back, own = F.col(f"{kind}_out"), F.col(f"{kind}_back"), F.when(_zero_fee() | (F.lit(kind) == "_n"), 1).otherwise(0)
+        return (F.when(F.col("_lo") == F.col("_hi"), (out > own) | F.col(f"_near{kind}_out"))
+                .when(F.col("_out"), (back > 0) | F.col(f"_near{kind}_back")).otherwise((out > 0) | F.col(f"_near{kind}_out")))
+
+    loan = F.col("_free") & F.when(_zero_fee(), partner("_n")).otherwise(partner("_z"))
+    return joined.select(*[keyed[c] for c in transfers.columns], F.coalesce(loan, F.lit(False)).alias("is_loan"))
+
+
+def swapped_loans(transfers: DataFrame, max_days: int = 730) -> DataFrame:
+    return with_loans(transfers, max_days).filter("is_loan").drop("is_loan")
 
 
 def _zero_fee() -> Column:
-    """A counter-move must be free; a negative fee does not count as free."""
     return F.coalesce(F.col("transfer_fee") == 0, F.lit(True))
 
 
@@ -186,12 +189,10 @@ def loan_with_option(transfers: DataFrame, max_days: int = 548) -> DataFrame:
 
 
 def typed(transfers: DataFrame) -> DataFrame:
-    """Adds transfer_type, loans found over the whole ledger."""
-    loans = swapped_loans(transfers).select("transfer_id", F.lit(True).alias("_loan"))
+    """Adds transfer_type. A swap touches the same two clubs and one player, so the rows of a
+    club or of a player may be picked before."""
     base = labels.movement_type(F.col("transfer_fee"), F.col("from_club_name"), F.col("to_club_name"))
-    joined = transfers.join(loans, "transfer_id", "left")
-    return joined.withColumn(
-        "transfer_type", labels.with_loan_override(base, F.coalesce("_loan", F.lit(False)))).drop("_loan")
+    return with_loans(transfers).withColumn("transfer_type", labels.with_loan_override(base, F.col("is_loan"))).drop("is_loan")
 
 
 def _club_days(transfers: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def sold_before_bought_players(transfers: DataFrame, min_fee: float = 100_000) -
 
 def sold_before_bought(transfers: DataFrame, players: DataFrame, clubs: DataFrame, min_fee: float = 100_000,
                        top: int = 20) -> DataFrame:
-    """The ``top`` impossible sale/purchase pairs by summed fee.
+    """The ``top`` (a report's length) impossible sale/purchase pairs by summed fee.
 
     A pair among the best ``top`` has a sale among the ``top`` sales ranked by their best
     partner, and that rank needs only the greatest later purchase fee per sale day. Those

@@ -63,7 +63,12 @@ STATS = ["minutes", "goals", "assists", "yellow", "red"]
 def appearance_window(base: DataFrame, appearances: DataFrame, days: int = 730, recent: int = 365) -> DataFrame:
     """Sums over [buy - days, buy) at the selling club, per (player, club, buy day)."""
     keys = ["player_id", "player_club_id"]
-    played = appearances.filter((F.col("minutes_played") > 0) & F.col("date").isNotNull())
+    buys = base.filter(F.col("selling_club_id").isNotNull() & F.col("transfer_date").isNotNull()).select(
+        "player_id", F.col("selling_club_id").alias("player_club_id"), F.col("transfer_date").alias("at")).distinct()
+    # only facts of players and clubs in the buys, between the first look-back and the last buy
+    ends = buys.agg(F.struct(F.date_sub(F.min("at"), days).alias("first"), F.max("at").alias("last")).alias("ends")).scalar()
+    played = appearances.filter((F.col("minutes_played") > 0) & (F.col("date") >= ends.getField("first")) & (F.col("date") < ends.getField("last"))) \
+        .join(buys.select(*keys).distinct(), keys, "left_semi")
     daily = played.groupBy(*keys, F.col("date").alias(DAY)).agg(
         F.sum("minutes_played").alias("minutes"), F.sum(F.coalesce("goals", F.lit(0))).alias("goals"),
         F.sum(F.coalesce("assists", F.lit(0))).alias("assists"),
@@ -78,9 +83,7 @@ def appearance_window(base: DataFrame, appearances: DataFrame, days: int = 730,
                  F.lit(0).cast("bigint").alias("last"), (-F.col("minutes")).alias("prev")))
     changes = daily.select(*keys, F.inline(spans))
     games = games_in_window(played, keys, days)
-    wanted = base.filter(F.col("selling_club_id").isNotNull() & F.col("transfer_date").isNotNull()).select(
-        "player_id", F.col("selling_club_id").alias("player_club_id"), F.col("transfer_date").alias("at")
-    ).distinct().withColumn("_probe", F.lit(True))
+    wanted = buys.withColumn("_probe", F.lit(True))
     columns = [*STATS, "last", "prev", "games"]
     timeline = (
         changes.unionByName(games, allowMissingColumns=True).unionByName(wanted, allowMissingColumns=True)
@@ -125,11 +128,11 @@ def valuation_points(base: DataFrame, valuations: DataFrame, buffer: int = 30, t
     The nearest value is the last one up to the target or the first one after it (and not
     past the buffer); equal distances go to the earlier date, equal dates to the lower value.
     """
+    days = base.select("player_id", "transfer_date").filter(F.col("transfer_date").isNotNull()).distinct()
     facts = valuations.filter(F.col("market_value_in_eur").isNotNull() & F.col("date").isNotNull()) \
-        .groupBy("player_id", F.col("date").alias("at")).agg(
+        .join(days.select("player_id").distinct(), "player_id", "left_semi").groupBy("player_id", F.col("date").alias("at")).agg(
             F.max("market_value_in_eur").alias("peak"), F.min("market_value_in_eur").alias("value"))
     facts = facts.withColumn("_fact", F.struct(F.col("at").alias("on"), "value"))
-    days = base.select("player_id", "transfer_date").filter(F.col("transfer_date").isNotNull()).distinct()
     probes = days.select("player_id", F.explode(F.array(
         F.date_sub("transfer_date", buffer), F.date_sub("transfer_date", target))).alias("at")).distinct()
     timeline = facts.unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True) \
@@ -217,10 +220,12 @@ def season_xg(player_xg: DataFrame) -> DataFrame:
 
 
 def with_xg(base: DataFrame, player_xg: DataFrame) -> DataFrame:
-    one = season_xg(player_xg).select("player_id", F.col("season").alias("_season"), F.col("xg").alias("_xg"),
+    rows = base.withColumn("_season", labels.xg_season(F.col("transfer_date")))
+    wanted = rows.select("player_id", F.col("_season").alias("season")).distinct()
+    one = season_xg(player_xg.join(wanted, ["player_id", "season"], "left_semi")).select("player_id", F.col("season").alias("_season"), F.col("xg").alias("_xg"),
                                       F.col("xa").alias("_xa"), F.col("minutes").alias("_xg_minutes"),
                                       F.col("goals").alias("_xg_goals"))
-    return base.withColumn("_season", labels.xg_season(F.col("transfer_date"))).join(one, ["player_id", "_season"], "left")
+    return rows.join(one, ["player_id", "_season"], "left")
 
 
 def xg_columns() -> list[Column]:

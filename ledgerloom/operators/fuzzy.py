@@ -1,14 +1,17 @@
 """Fuzzy name linkage without comparing every name to every other.
 
 Two texts of lengths m and n with Indel ratio t or more share at least
-(1.5 t - 1)(m + n) + 1 of their bigrams once a start and an end mark are added. So each
-distinct text looks up only its rarest bigrams, as many as that bound requires, and no
-pair above the ratio is missed.
+c = (1.5 t - 1)(m + n) + 1 of their bigrams once a start and an end mark are added. So of its
+bigrams, the rarest first, each text needs only the first (size - c + k): two such texts share at
+least k of these, and they meet under a key of k bigrams together. Keys of three (two below a
+ratio of 0.8) are rare even where single bigrams are not. Texts too short to promise k shared
+bigrams meet all texts of feasible length under single bigrams; there are few of them.
+No pair at or above the ratio is missed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.similarity import fold_accents, sequence_ratio, sorted_ratio, sorted_tokens
 
@@ -33,19 +36,58 @@ def _required(length: Column, ratio: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(1.5 * ratio - 1) * (length + shortest) + 1 - F.lit(1e-6)))
 
 
-def _lookups(texts: DataFrame, block: list[str], ratio: float, frequency: DataFrame) -> DataFrame:
-    grams = texts.select(*block, "text", F.explode(_bigrams(F.col("text"))).alias("gram"))
-    rare_first = Window.partitionBy(*block, "text").orderBy("df", "gram")
-    size = F.length("text")
-    return (
-        grams.join(frequency, "gram").withColumn("_rn", F.row_number().over(rare_first))
-        .filter(F.col("_rn") <= size + 2 - _required(size, ratio))
-        .select(*block, "text", "gram")
-    )
+def _together(ratio: float) -> int:
+    """How many bigrams make a key."""
+    return 3 if ratio >= 0.8 else 2
+
+
+def _keys(grams: Column, together: int) -> Column:
+    """Every way to take ``together`` (2 or 3) bigrams out of an ordered list, as hashes."""
+    spots = lambda start: F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: i > start)
+    pick = lambda i: F.element_at(grams, i.cast("int"))
+    if together == 2:
+        every = F.transform(spots(F.lit(0)), lambda i: F.transform(spots(i), lambda j: F.xxhash64(pick(i), pick(j))))
+        return F.flatten(every)
+    every = F.transform(spots(F.lit(0)), lambda i: F.transform(spots(i), lambda j: F.transform(
+        spots(j), lambda k: F.xxhash64(pick(i), pick(j), pick(k)))))
+    return F.flatten(F.flatten(every))
+
+
+def _signed(texts: DataFrame, block: list[str], ratio: float, frequency: DataFrame) -> DataFrame:
+    """Adds ``grams``: the rarest bigrams, as many as the bound requires for the text's key size, and ``short``."""
+    grams = texts.select(*block, "text", F.explode(_bigrams(F.col("text"))).alias("gram")).join(frequency, "gram")
+    ordered = grams.groupBy(*block, "text").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("_all"))
+    size, required = F.length("text"), _required(F.length("text"), ratio)
+    short = required < _together(ratio)
+    first = size + 1 - required + F.when(short, 1).otherwise(_together(ratio))
+    named = F.transform("_all", lambda g: g["gram"])
+    return ordered.select(*block, "text", short.alias("short"), F.slice(named, F.lit(1), first.cast("int")).alias("grams"),
+                          F.slice(named, F.lit(1), (size + 2 - required).cast("int")).alias("single"))
+
+
+def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: float) -> DataFrame:
+    """Pairs (left, right) that share a key and have feasible lengths."""
+    m, n = F.length("left"), F.length("right")
+    feasible = F.least(m, n) * 2 >= (m + n) * F.lit(ratio) - F.lit(1e-6)
+
+    def met(a: DataFrame, b: DataFrame, keys: Column) -> DataFrame:
+        left = a.select(*block, F.col("text").alias("left"), F.explode(keys).alias("key"))
+        right = b.select(*block, F.col("text").alias("right"), F.explode(keys).alias("key"))
+        return left.join(right, [*block, "key"]).filter(feasible & (F.col("left") != F.col("right"))).select(*block, "left", "right")
+
+    def reachable(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Texts that can be similar to a short one of the other side."""
+        longest = others.filter("short").agg(F.max(F.length("text")).alias("n")).scalar()
+        return rows.filter(F.length("text") <= longest * F.lit((2 - ratio) / ratio) + 1)
+
+    many, single = _keys(F.col("grams"), _together(ratio)), F.col("single")
+    pairs = met(ours.filter("not short"), theirs.filter("not short"), many)
+    pairs = pairs.unionByName(met(ours.filter("short"), reachable(theirs, ours), single))
+    return pairs.unionByName(met(reachable(ours, theirs), theirs.filter("short"), single)).distinct()
 
 
 def similar_texts(left: DataFrame, right: DataFrame, ratio: float, block: list[str] | None = None) -> DataFrame:
-    """All (left, right, score) of distinct ``text`` values with Indel ratio >= ``ratio``.
+    """All (left, right, score) of distinct ``text`` values with Indel ratio >= ``ratio`` (two thirds at least).
 
     ``block`` columns must be equal on both sides.
     """
@@ -56,16 +98,12 @@ def similar_texts(left: DataFrame, right: DataFrame, ratio: float, block: list[s
         a.select("text").unionByName(b.select("text"))
         .select(F.explode(_bigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     )
-    ours = _lookups(a, block, ratio, frequency).withColumnRenamed("text", "left")
-    theirs = _lookups(b, block, ratio, frequency).withColumnRenamed("text", "right")
-    m, n = F.length("left"), F.length("right")
-    candidates = (
-        ours.join(theirs, [*block, "gram"])
-        .filter(F.least(m, n) * 2 >= (m + n) * F.lit(ratio) - F.lit(1e-6))
-        .select(*block, "left", "right").distinct()
-    )
-    scored = candidates.withColumn("score", sorted_ratio("left", "right"))
-    return scored.filter(F.col("score") >= 100 * ratio - 1e-9)
+    equal = a.join(b, [*block, "text"]).select(*block, F.col("text").alias("left"), F.col("text").alias("right"), F.lit(100.0).alias("score"))
+    near = _candidates(_signed(a, block, ratio, frequency), _signed(b, block, ratio, frequency), block, ratio)
+    # two texts may meet in many blocks, but are compared once
+    scored = near.select("left", "right").distinct().withColumn("score", sorted_ratio("left", "right")) \
+        .filter(F.col("score") >= 100 * ratio - 1e-9)
+    return equal.unionByName(near.join(scored, ["left", "right"]).select(*block, "left", "right", "score") if block else scored)
 
 
 def link_players(external: DataFrame, players: DataFrame, threshold: float = 85.0, borderline: float = 70.0,

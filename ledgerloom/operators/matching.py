@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.functions import identity, labels, returns
-from ledgerloom.operators.skew import hot_keys
 from ledgerloom.session import checkpointed
 
-FIELDS = ["from_id", "to_id", "from_name", "to_name", "season", "bucket"]
+FIELDS = ["from_id", "to_id", "from_name", "to_name", "season", "bucket", "source_id"]
 
 
 def fingerprints(transfers: DataFrame, derive_season: bool) -> DataFrame:
@@ -22,6 +21,7 @@ def fingerprints(transfers: DataFrame, derive_season: bool) -> DataFrame:
         "from_name": identity.normal_club_name(F.col("from_club_name")),
         "to_name": identity.normal_club_name(F.col("to_club_name")),
         "season": season, "bucket": labels.fee_bucket(F.col("transfer_fee")),
+        "source_id": F.col("source_id") if "source_id" in transfers.columns else F.lit(None).cast("string"),
     })
 
 
@@ -46,11 +46,6 @@ def _evidence() -> list[identity.Evidence]:
     return identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
 
 
-def _direct(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    both = candidates.select("candidate_id", "player_id", *FIELDS).join(_prefixed(ledger, "player_id", "ledger_id"), "player_id")
-    return _best(both.select("candidate_id", "ledger_id", identity.score_of(_evidence()).alias("score")))
-
-
 def _variants(by_id: str, by_name: str) -> Column:
     """How one club side may be compared: not at all, by id, by name."""
     def entry(kind: str, value: Column) -> Column:
@@ -74,7 +69,7 @@ def _agreement_keys(rows: DataFrame) -> DataFrame:
 
 
 def _by_agreement(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The same best match without pairing rows: for players with very many fingerprints.
+    """Best match per candidate without pairing rows, however many a player has.
 
     Ledger rows are summarised per (agreement key, which fields are present). A candidate
     looks its own keys up; a hit scores at least what the key says, and the true best row
@@ -105,31 +100,30 @@ def _by_agreement(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     return _best(hits.filter(from_ok & to_ok).select("candidate_id", "ledger_id", score.alias("score")))
 
 
-def best_match(candidates: DataFrame, ledger: DataFrame, hot_rows: int = 10_000) -> DataFrame:
-    """Per candidate the best match score (3 places), its reasons and the ledger row.
+def _by_source(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The player's ledger row with the candidate's own source id, if there is one."""
+    theirs = ledger.filter("source_id <> ''").groupBy("player_id", "source_id").agg(F.min("ledger_id").alias("ledger_id"))
+    return candidates.join(theirs, ["player_id", "source_id"]).select("candidate_id", "ledger_id", F.lit(1.0).alias("score"))
 
-    Players with up to ``hot_rows`` distinct ledger fingerprints are compared row by row;
-    the others take the agreement-key route, which gives the same answer.
-    """
+
+def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per candidate the best match score (3 places), its reasons and the ledger row."""
     # both are read several times below, so they are written to the shared folder first
     prints = checkpointed(_collapsed(ledger), "fingerprints")
-    hot = F.broadcast(hot_keys(prints, ["player_id"], hot_rows))
     cands = checkpointed(fingerprints(candidates, derive_season=True), "candidates")
-    # inner joins on the hot side: with no hot player that branch is dropped unread
-    best = _direct(cands, prints.join(hot, "player_id", "left_anti")).unionByName(
-        _by_agreement(cands.join(hot, "player_id").drop("_hot"), prints.join(hot, "player_id").drop("_hot")))
+    best = _best(_by_agreement(cands, prints).select("candidate_id", "ledger_id", "score").unionByName(_by_source(cands, prints)))
     # reasons are worked out once per candidate, for the winning row only
     joined = cands.join(best, "candidate_id", "left").join(_prefixed(prints, "ledger_id"), "ledger_id", "left")
+    reasons = F.when(identity.same_source(F.col("source_id"), F.col("l_source_id")), F.array(F.lit(identity.SAME_SOURCE))) \
+        .when(F.col("score") > 0, identity.reasons_of(_evidence())).otherwise(F.array().cast("array<string>"))
     return joined.withColumns({
-        "best_score": F.round(F.coalesce("score", F.lit(0.0)), 3),
-        "best_reasons": F.when(F.col("score") > 0, identity.reasons_of(_evidence())).otherwise(F.array().cast("array<string>")),
+        "best_score": F.round(F.coalesce("score", F.lit(0.0)), 3), "best_reasons": reasons,
     }).drop("score", *[f"l_{f}" for f in FIELDS])
 
 
-def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None,
-           hot_rows: int = 10_000) -> DataFrame:
+def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None) -> DataFrame:
     """Candidates with score, reasons, decision and fingerprint hash."""
-    rows = best_match(candidates, ledger, hot_rows)
+    rows = best_match(candidates, ledger)
     is_academy = F.lit(False)
     if academy is not None:
         rows = rows.join(academy.select("player_id").distinct().withColumn("_academy", F.lit(True)), "player_id", "left")
@@ -145,7 +139,7 @@ def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None =
 
 
 def to_insert(scored_rows: DataFrame, players: DataFrame, threshold: float = C.INSERT_THRESHOLD,
-              min_year: int = C.MIN_YEAR) -> DataFrame:
+              min_year: int = C.MIN_YEAR, max_reasons: int | None = 5) -> DataFrame:
     """Candidates to append: not rejected, confident enough, one per fingerprint and player."""
     kept = scored_rows.filter(
         (F.col("decision") == "safe") | ((F.col("decision") == "review") & (F.col("score") >= threshold))
@@ -155,9 +149,12 @@ def to_insert(scored_rows: DataFrame, players: DataFrame, threshold: float = C.I
         F.min_by(F.struct(*rest), "candidate_id").alias("_row")).select("player_id", "fingerprint_hash", "_row.*")
     info = players.select("player_id", F.col("name").alias("player_name"), "date_of_birth")
     named = single.join(info, "player_id", "left")
+    value = F.col("market_value_in_eur") if "market_value_in_eur" in named.columns else F.lit(None)
+    reasons = F.col("reasons") if max_reasons is None else F.slice("reasons", 1, max_reasons)
     return named.select(
         "candidate_id", "player_id", "player_name", "from_club_id", "to_club_id", "from_club_name", "to_club_name",
         "transfer_date", F.col("season").alias("transfer_season"), "transfer_fee",
+        value.cast("double").alias("market_value_in_eur"), "source_id",
         returns.age_years(F.col("date_of_birth"), F.col("transfer_date")).alias("age_at_transfer"),
         F.col("score").alias("confidence_score"), "fingerprint_hash",
-        F.slice("reasons", 1, 5).alias("confidence_reasons"))
+        reasons.alias("confidence_reasons"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom import constants as C
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators.skew import exact_medians
+from ledgerloom.session import checkpointed
 
 METRICS = ["total_transfers", "median_roi", "total_profit", "hit_rate", "value_creation",
            "annualized_roi", "profit_per_deal", "buying_club_premium"]
@@ -30,7 +31,9 @@ def club_metrics(pairs: DataFrame, keys: tuple[str, ...] = ("club_id",), min_dea
         "annualized_roi": F.col("annualized_roi_pct"),
         "buying_club_premium": returns.buying_premium_pct(F.col("sell_fee"), F.col("peak_value")),
     }
-    out = exact_medians(pairs, list(keys), medians, totals).select(*keys, *METRICS)
+    # the medians read their rows three times: the few columns they need are stored once
+    rows = checkpointed(pairs.select(*keys, "profit", "roi_pct", "value_creation_pct", "annualized_roi_pct", "sell_fee", "peak_value"), "pair-metrics")
+    out = exact_medians(rows, list(keys), medians, totals).select(*keys, *METRICS)
     return out if min_deals is None else having_min_deals(out, min_deals)
 
 
@@ -108,16 +111,21 @@ def profit_scale(leagues: DataFrame) -> DataFrame:
 
 
 def stack_totals(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row (metric, value) per named one-row aggregate, in one job."""
-    rows = [df.select(F.lit(name).alias("metric"), F.col(df.columns[0]).cast("double").alias("value"))
-            for name, df in parts.items()]
+    """One row (metric, value) per total of the named one-row aggregates, in one job.
+
+    A frame of several totals has their names joined by ", ", in the order of its columns.
+    """
+    rows = []
+    for names, df in parts.items():
+        entries = [F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in zip(names.split(", "), df.columns)]
+        rows.append(df.select(F.inline(F.array(*entries))))
     return reduce(DataFrame.unionByName, rows)
 
 
 def one_row(parts: dict[str, DataFrame]) -> DataFrame:
     """The same totals as columns of a single row."""
     return stack_totals(parts).groupBy().agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in parts]
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for names in parts for m in names.split(", ")]
     )
 
 

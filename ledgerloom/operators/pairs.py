@@ -98,8 +98,8 @@ def _filled(sales: DataFrame, wants: Column, source: str, columns: list[str]) ->
 
 def propagate_profit_asof(ledger: DataFrame, columns: list[str] = PAIR_COLUMNS) -> DataFrame:
     """Paid sales without a profit of their own take the pair columns of the club's latest
-    earlier buy of that player that has a profit."""
-    buys = ledger.filter((F.col("transfer_fee") > 0) & F.col("profit").isNotNull() & F.col("to_club_id").isNotNull())
+    earlier buy of that player that has a profit. Club id 0 means no club."""
+    buys = ledger.filter((F.col("transfer_fee") > 0) & F.col("profit").isNotNull() & (F.col("to_club_id") != 0))
     points = buys.select("player_id", F.col("to_club_id").alias("from_club_id"),
                          F.col("transfer_date").alias("buy_day"), "transfer_id", *columns)
     found = asof_by_day(ledger, points, ["player_id", "from_club_id"], "transfer_date", "buy_day",

@@ -57,24 +57,42 @@ def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("value"))
 
 
+def _known(rows: DataFrame, column: str, parent: DataFrame, key: str, *more: str) -> DataFrame:
+    """Adds ``_known``: ``column`` has a parent row; and the parent's columns ``more``. Keys are unique in ``parent``."""
+    found = parent.select(F.col(key).alias(column), F.lit(True).alias("_known"), *more)
+    return rows.join(found, column, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
+def _unpivoted(totals: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row of totals as (category, check, count) rows."""
+    entries = [F.struct(F.lit(category).alias("category"), F.lit(check).alias("check"), F.col(c).cast("bigint").alias("count"))
+               for c, (category, check) in names.items()]
+    return totals.select(F.inline(F.array(*entries)))
+
+
 def consistency_counts(transfers: DataFrame, players: DataFrame, clubs: DataFrame, valuations: DataFrame,
                        paired: DataFrame, today: Column) -> DataFrame:
-    """Ten checks as (category, check, severity, count), in one job."""
-    checks = {
-        ("Referential", "orphaned_transfers"): _count(missing_keys(transfers, "player_id", players, "player_id")),
-        ("Referential", "orphaned_valuations"): _count(missing_keys(valuations, "player_id", players, "player_id")),
-        ("Referential", "missing_player_clubs"): missing_keys(players, "current_club_id", clubs, "club_id").agg(
-            F.count_distinct("current_club_id").alias("value")),
-        ("Temporal", "future_transfers"): _count(future_dated(transfers, today)),
-        ("Temporal", "underage_transfers"): _count(underage(transfers, players)),
-        ("Numerical", "fees_above_cap"): _count(above(transfers, "transfer_fee", C.MAX_FEE_EUR)),
-        ("Numerical", "market_values_above_cap"): _count(above(players, "market_value_in_eur", C.MAX_MARKET_VALUE_EUR)),
-        ("Numerical", "roi_above_cap"): _count(extreme_roi(paired)),
-        ("Dedup", "duplicate_transfers"): _count(duplicate_transfers(transfers)),
-        ("Dedup", "duplicate_valuations"): _count(duplicate_valuations(valuations)),
-    }
-    rows = [df.select(F.lit(cat).alias("category"), F.lit(name).alias("check"), F.col("value").alias("count"))
-            for (cat, name), df in checks.items()]
+    """Ten checks as (category, check, severity, count): one pass over each table, and one each for duplicates."""
+    people = players.groupBy("player_id").agg(F.min("date_of_birth").alias("date_of_birth"))
+    no_player = F.col("player_id").isNotNull() & ~F.col("_known")
+    moves = _known(transfers.select("player_id", "transfer_date", "transfer_fee"), "player_id", people, "player_id", "date_of_birth").agg(
+        F.count_if(no_player).alias("orphaned"), F.count_if(F.col("transfer_date") > today).alias("future"),
+        F.count_if(F.col("transfer_date") < F.add_months("date_of_birth", 12 * C.MIN_AGE_FOR_TRANSFER)).alias("underage"),
+        F.count_if(F.col("transfer_fee") > C.MAX_FEE_EUR).alias("fees"))
+    values = _known(valuations.select("player_id"), "player_id", people, "player_id").agg(F.count_if(no_player).alias("orphaned"))
+    members = _known(players.select("current_club_id", "market_value_in_eur"), "current_club_id",
+                     clubs.select("club_id").distinct(), "club_id").agg(
+        F.count_distinct(F.when(~F.col("_known"), F.col("current_club_id"))).alias("clubs"),
+        F.count_if(F.col("market_value_in_eur") > C.MAX_MARKET_VALUE_EUR).alias("values"))
+    rows = [
+        _unpivoted(moves, {"orphaned": ("Referential", "orphaned_transfers"), "future": ("Temporal", "future_transfers"),
+                           "underage": ("Temporal", "underage_transfers"), "fees": ("Numerical", "fees_above_cap")}),
+        _unpivoted(values, {"orphaned": ("Referential", "orphaned_valuations")}),
+        _unpivoted(members, {"clubs": ("Referential", "missing_player_clubs"), "values": ("Numerical", "market_values_above_cap")}),
+        _unpivoted(_count(extreme_roi(paired)), {"value": ("Numerical", "roi_above_cap")}),
+        _unpivoted(_count(duplicate_transfers(transfers)), {"value": ("Dedup", "duplicate_transfers")}),
+        _unpivoted(_count(duplicate_valuations(valuations)), {"value": ("Dedup", "duplicate_valuations")}),
+    ]
     severity = (
         F.when(F.col("count") == 0, "info").when(F.col("check") == "duplicate_transfers", "error").otherwise("warning")
     )
@@ -103,12 +121,15 @@ def orphan_edge_players(transfers: DataFrame, players: DataFrame, clubs: DataFra
 
 
 def graph_counts(transfers: DataFrame, players: DataFrame, clubs: DataFrame) -> dict[str, DataFrame]:
+    """The health score's totals, each as a one-row frame; moves and orphans come from one pass."""
+    moves = _known(transfers.select("player_id", "from_club_id"), "from_club_id", clubs.select("club_id").distinct(), "club_id").agg(
+        F.count(F.lit(1)).alias("edges"),
+        F.count_distinct(F.when(F.col("from_club_id").isNotNull() & ~F.col("_known"), F.col("player_id"))).alias("orphans"))
     return {
         "total_players": _count(players),
-        "total_edges": _count(transfers),
+        "total_edges, orphan_players": moves,
         "timeline_violations": _count(chains.sold_before_bought_players(transfers)),
         "disconnected_segments": _count(chains.lag_breaks(transfers)),
-        "orphan_players": orphan_edges(transfers, clubs).agg(F.count_distinct("player_id").alias("value")),
         "duplicate_edges": _count(duplicate_transfers(transfers)),
         "missing_continuity": chains.missing_first_origin(transfers),
     }
@@ -172,11 +193,13 @@ def drop_non_clubs(rows: DataFrame, name: str, markers: bool = True, reserves: b
     return rows
 
 
-def repaired_clubs(transfers: DataFrame, clubs: DataFrame, **limits) -> DataFrame:
+def repaired_clubs(transfers: DataFrame, clubs: DataFrame, name_length: int | None = 100, **limits) -> DataFrame:
     """The club table with a minimal row (id, name) for every orphan."""
     orphans = orphan_clubs(transfers, clubs, **limits)
     minimal = orphans.groupBy(F.col("cid").alias("club_id")).agg(
-        F.substring(F.max_by("name", F.struct("total_cnt", "name")), 1, 100).alias("name"))
+        F.max_by("name", F.struct("total_cnt", "name")).alias("name"))
+    if name_length is not None:
+        minimal = minimal.withColumn("name", F.substring("name", 1, name_length))
     return clubs.unionByName(minimal, allowMissingColumns=True)
 
 

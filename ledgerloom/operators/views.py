@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.functions import labels, parsing
-from ledgerloom.operators import chains
+from ledgerloom.operators import chains, pairs
 
 CLUB_SORTS = {"composite_score", "name", "total_transfers", "median_roi", "annualized_roi", "total_profit",
               "hit_rate", "value_creation", "profit_per_deal", "buying_club_premium"}
@@ -180,8 +180,8 @@ def player_valuations(valuations: DataFrame, player_id: int) -> DataFrame:
     return by_id(valuations, "player_id", player_id).orderBy(F.col("date").asc_nulls_last(), "market_value_in_eur")
 
 
-def biggest_profit(pairs: DataFrame, top: int = 1) -> DataFrame:
-    return pairs.filter(F.col("profit").isNotNull()).orderBy(F.col("profit").desc(), "buy_transfer_id").limit(top)
+def biggest_profit(matched: DataFrame, top: int = 1) -> DataFrame:
+    return matched.filter(F.col("profit").isNotNull()).orderBy(F.col("profit").desc(), "buy_transfer_id").limit(top)
 
 
 def club_best(ledger: DataFrame, club_id: int, top: int = 5) -> DataFrame:
@@ -224,5 +224,20 @@ def fuzzy_search(clubs: DataFrame, text: str, threshold: float = 0.4) -> DataFra
 
 
 def club_history(ledger: DataFrame, club_id: int) -> DataFrame:
-    """A club's moves with movement types (loans found over the whole ledger), newest first."""
-    return newest_first(club_transfers(chains.typed(ledger), club_id))
+    """A club's moves with movement types, newest first."""
+    return newest_first(chains.typed(club_transfers(ledger, club_id)))
+
+
+def club_page(ledger: DataFrame, club_id: int) -> DataFrame:
+    """A club's moves as ``club_history``, its paid sales with the profit of its latest earlier buy."""
+    rows = chains.typed(club_transfers(ledger, club_id))
+    own = (F.col("from_club_id") == club_id) | ((F.col("to_club_id") == club_id) & (F.col("transfer_fee") > 0))
+    sales = pairs.propagate_profit_asof(rows.filter(own)).filter(F.col("from_club_id") == club_id).select(*rows.columns)
+    others = rows.filter((F.col("from_club_id") != club_id) | F.col("from_club_id").isNull())
+    return newest_first(sales.unionByName(others))
+
+
+def player_page(ledger: DataFrame, player_id: int) -> DataFrame:
+    """A player's moves with movement types, paid sales with the profit of the club's last buy, newest first."""
+    rows = chains.typed(by_id(ledger, "player_id", player_id))
+    return newest_first(pairs.propagate_profit_last_buy(rows).select(*rows.columns))

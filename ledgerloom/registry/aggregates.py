@@ -217,7 +217,7 @@ def _(t):
     SELECT count(*) FILTER (WHERE score >= 0.9) AS high, count(*) FILTER (WHERE score >= 0.7 AND score < 0.9) AS medium,
            count(*) FILTER (WHERE score < 0.7) AS low FROM scored""")
 def _(t):
-    return gems.confidence_bands(matching.scored(t.candidates, t.transfers))
+    return gems.confidence_bands(matching.scored(t.candidates, t.sourced))
 
 
 def stored_pairs(t):
@@ -274,7 +274,10 @@ def _(t):
     return quality.orphan_clubs(t.transfers, t.clubs)
 
 
-@query("agg_match_report")
+@query("agg_match_report", """
+    SELECT l_linestatus AS league, count(*) AS found, count(*) FILTER (WHERE player_id IS NOT NULL AND l_quantity >= 10) AS matched,
+           count(*) FILTER (WHERE player_id IS NOT NULL AND l_quantity < 10) AS short, count(*) FILTER (WHERE player_id IS NULL) AS unmatched
+    FROM outside_rows r JOIN links l ON l.name = r.name AND l.team = r.team GROUP BY 1""")
 def _(t):
     from ledgerloom.operators import fuzzy
     names = external_names(t)
@@ -282,12 +285,22 @@ def _(t):
     return analytics.xg_report(rows, fuzzy.link_players(names, t.players), "league", min_minutes=10)
 
 
+#: Rows of a player above which the stitched twins cut them into chunks.
+STITCHED = 20
+
+
 # --- window functions --------------------------------------------------------------------
 
 
-@query("win_lag_breaks", "SELECT player_id, breaks FROM breaks ORDER BY breaks DESC, player_id LIMIT 500")
+@query("win_lag_breaks", "SELECT player_id, breaks FROM breaks")
+def _(t):
+    return chains.lag_breaks(t.transfers)
+
+
+@query("win_lag_breaks_stitched", "SELECT player_id, breaks FROM breaks")
 def _(t):
-    return chains.lag_breaks(t.transfers).orderBy(F.col("breaks").desc(), "player_id").limit(500)
+    """The same with most players cut into chunks by day."""
+    return chains.lag_breaks(t.transfers, hot_rows=STITCHED)
 
 
 @query("win_career_gaps", """
@@ -298,6 +311,20 @@ def _(t):
     return chains.career_gaps(t.transfers)
 
 
+@query("win_career_gaps_stitched", """
+    SELECT player_id, transfer_id, transfer_date AS date, prev_to AS expected_from_club_id, from_club_id AS actual_from_club_id
+    FROM lagged WHERE n > 1 AND prev_to IS DISTINCT FROM from_club_id""")
+def _(t):
+    return chains.career_gaps(t.transfers, hot_rows=STITCHED).drop("from", "to")
+
+
+@query("win_ledger_stitched", "SELECT * FROM transfers")
+def _(t):
+    """The ledger mapping with most players cut into chunks by day."""
+    from ledgerloom.sources.driver_tables import DriverTables
+    return DriverTables(t.spark, t.folder, hot_rows=STITCHED).build_transfers()
+
+
 @query("win_career_summary", """
     SELECT player_id, count(*) AS total_transfers, count(*) FILTER (WHERE n > 1 AND prev_to IS DISTINCT FROM from_club_id) AS gaps,
            count(*) FILTER (WHERE n > 1 AND prev_to IS DISTINCT FROM from_club_id) = 0 AS is_continuous FROM lagged GROUP BY 1""")

@@ -89,6 +89,23 @@ def position_sql(position: str) -> str:
     return f"CASE WHEN {position} IS NOT NULL THEN CASE {position} {rules} ELSE 'Other' END END"
 
 
+def indel_sql(a: str, b: str) -> str:
+    """0-100: twice the longest common subsequence over both lengths. The subsequence is worked out row by row: ``acc`` holds the
+    lengths for the characters of ``a`` so far against every prefix of ``b``, ``hit`` which characters of ``b`` equal the next one."""
+    zeros = f"list_transform(range(0, length({b}) + 1), lambda j: 0::BIGINT)"
+    hits = (f"list_transform(string_split({a}, ''), lambda x: list_transform(string_split({b}, ''), "
+            "lambda y: CASE WHEN x = y THEN 1::BIGINT ELSE 0::BIGINT END))")
+    step = ("list_prepend(0::BIGINT, list_transform(range(1, len(acc)), lambda j: list_max(list_transform(range(1, j + 1), "
+            "lambda i: greatest(acc[i + 1], acc[i] + hit[i])))))")
+    common = f"list_extract(list_reduce(list_prepend({zeros}, {hits}), lambda acc, hit: {step}), -1)"
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {common} / (length({a}) + length({b})) END"
+
+
+def sorted_words_sql(text: str) -> str:
+    words = f"list_filter(string_split_regex(strip_accents(lower(trim({text}))), '\\s+'), lambda w: w <> '')"
+    return f"coalesce(array_to_string(list_sort({words}), ' '), '')"
+
+
 BLOCKS = {
     "moves": """
         SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice, l_tax, l_returnflag, l_linestatus,
@@ -251,7 +268,8 @@ BLOCKS = {
         SELECT DISTINCT t.transfer_id FROM transfers0 t JOIN transfers0 o
           ON o.player_id = t.player_id AND o.from_club_id = t.to_club_id AND o.to_club_id = t.from_club_id
          AND o.transfer_id <> t.transfer_id AND abs(t.transfer_date - o.transfer_date) <= 730
-        WHERE t.from_club_id <> 0 AND t.to_club_id <> 0 AND coalesce(t.transfer_fee, 0) <= 0 AND coalesce(o.transfer_fee, 0) = 0""",
+        WHERE t.from_club_id <> 0 AND t.to_club_id <> 0 AND coalesce(t.transfer_fee, 0) <= 0 AND coalesce(o.transfer_fee, 0) <= 0
+          AND (coalesce(t.transfer_fee, 0) = 0 OR coalesce(o.transfer_fee, 0) = 0)""",
     "typed": f"""
         SELECT t.*, CASE WHEN base = 'free_transfer' AND transfer_id IN (SELECT transfer_id FROM loans) THEN 'loan'
                          ELSE base END AS transfer_type
@@ -317,7 +335,7 @@ BLOCKS = {
                {strip_sql('from_club_name')} AS from_name,
                from_club_name AS raw_from_name,
                CASE WHEN changed THEN CAST(transfer_date + 400 AS DATE) ELSE transfer_date END AS on_date,
-               transfer_fee AS fee
+               transfer_fee AS fee, transfer_fee * 2 AS market_value_in_eur
         FROM candidates0""",
     "candidate_prints": f"""
         SELECT *, {strip_sql('raw_to_name')} AS to_name, {season_sql('on_date')} AS season, {bucket_sql('fee')} AS bucket
@@ -325,7 +343,8 @@ BLOCKS = {
     "ledger_prints": f"""
         SELECT transfer_id, player_id, from_club_id AS from_id, to_club_id AS to_id,
                {strip_sql('from_club_name')} AS from_name, {strip_sql('to_club_name')} AS to_name,
-               transfer_season AS season, {bucket_sql('transfer_fee')} AS bucket
+               transfer_season AS season, {bucket_sql('transfer_fee')} AS bucket,
+               CASE WHEN transfer_id % 10 = 0 THEN 'x' || transfer_id END AS source_id
         FROM transfers""",
     "matches0": """
         SELECT c.candidate_id, l.transfer_id,
@@ -339,16 +358,17 @@ BLOCKS = {
                CASE WHEN c.to_id = l.to_id THEN 'to_club_id_match'
                     WHEN (c.to_id IS NULL OR l.to_id IS NULL) AND c.to_name = l.to_name THEN 'to_club_name_match' END AS r2,
                CASE WHEN c.season = l.season THEN 'season_match' END AS r3,
-               CASE WHEN c.bucket = l.bucket THEN 'fee_bucket_match:' || c.bucket END AS r4
+               CASE WHEN c.bucket = l.bucket THEN 'fee_bucket_match:' || c.bucket END AS r4,
+               coalesce(c.source_id = l.source_id, false) AS same
         FROM candidate_prints c JOIN ledger_prints l ON l.player_id = c.player_id""",
     "matches": """
-        SELECT *, (CASE r1 WHEN 'from_club_id_match' THEN 35 WHEN 'from_club_name_match' THEN 25 ELSE 0 END
+        SELECT *, CASE WHEN same THEN ['exact_transfermarkt_id'] ELSE list_filter([r1, r2, r3, r4], lambda r: r IS NOT NULL) END AS why,
+               CASE WHEN same THEN 1.0::DOUBLE ELSE (CASE r1 WHEN 'from_club_id_match' THEN 35 WHEN 'from_club_name_match' THEN 25 ELSE 0 END
                  + CASE r2 WHEN 'to_club_id_match' THEN 35 WHEN 'to_club_name_match' THEN 25 ELSE 0 END
-                 + CASE WHEN r3 IS NULL THEN 0 ELSE 15 END + CASE WHEN r4 IS NULL THEN 0 ELSE 15 END)::DOUBLE / available AS score
+                 + CASE WHEN r3 IS NULL THEN 0 ELSE 15 END + CASE WHEN r4 IS NULL THEN 0 ELSE 15 END)::DOUBLE / available END AS score
         FROM matches0""",
     "best": """
-        SELECT candidate_id, transfer_id AS ledger_id, round(score, 3) AS best_score,
-               list_filter([r1, r2, r3, r4], lambda r: r IS NOT NULL) AS best_reasons
+        SELECT candidate_id, transfer_id AS ledger_id, round(score, 3) AS best_score, why AS best_reasons
         FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, transfer_id) AS rn FROM matches)
         WHERE rn = 1""",
     "graded": """
@@ -360,7 +380,15 @@ BLOCKS = {
               * CASE WHEN coalesce(b.best_score, 0) < 0.3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS grade
         FROM candidate_prints c LEFT JOIN best b ON b.candidate_id = c.candidate_id""",
     "scored": """
-        SELECT *, CASE WHEN best_score >= 0.85 THEN 0.0 WHEN source_id <> '' THEN 1.0 ELSE round(least(grade, 1.0), 3) END::DOUBLE AS score,
+        SELECT *, CASE WHEN best_score >= 0.85 THEN list_prepend('duplicate: matched DB record with score ' || best_score::DOUBLE, best_reasons)
+                       WHEN source_id <> '' THEN ['transfermarkt_id_present']
+                       ELSE list_filter([CASE (from_id IS NOT NULL)::INT + (to_id IS NOT NULL)::INT WHEN 2 THEN 'both_club_ids_present'
+                                              WHEN 1 THEN 'one_club_id_present' ELSE 'no_club_ids' END,
+                                         CASE WHEN from_name <> '' AND to_name <> '' THEN 'both_club_names_present' END,
+                                         CASE WHEN season <> '' THEN 'season:' || season END, CASE WHEN on_date IS NOT NULL THEN 'date_present' END,
+                                         CASE WHEN fee IS NOT NULL THEN 'fee:' || bucket WHEN bucket <> 'unknown' THEN 'fee_bucket:' || bucket END,
+                                         CASE WHEN best_score < 0.3 THEN 'no_contextual_matches' END], lambda r: r IS NOT NULL) END AS reasons,
+               CASE WHEN best_score >= 0.85 THEN 0.0 WHEN source_id <> '' THEN 1.0 ELSE round(least(grade, 1.0), 3) END::DOUBLE AS score,
                CASE WHEN best_score >= 0.85 THEN 'reject' WHEN source_id <> '' THEN 'safe'
                     WHEN round(grade, 9) >= 0.85 THEN 'safe' WHEN round(grade, 9) >= 0.70 THEN 'review' ELSE 'reject' END AS decision,
                substr(sha256(CASE WHEN source_id <> '' THEN 'tm:' || player_id || ':' || source_id
@@ -368,6 +396,36 @@ BLOCKS = {
                          || coalesce(CASE WHEN to_id <> 0 THEN to_id::VARCHAR END, 'nil') || ':' || season || ':' || bucket END), 1, 16)
                    AS fingerprint_hash
         FROM graded""",
+    "outside_rows": """
+        SELECT CASE p_partkey % 3 WHEN 0 THEN string_split(p_name, ' ')[-1] || ' ' || string_split(p_name, ' ')[1]
+                    WHEN 1 THEN substr(p_name, 1, 3) || substr(p_name, 5, 100) ELSE upper(p_name) END AS name,
+               CASE WHEN l_suppkey % 2 = 0 THEN 'Supplier ' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') ELSE '' END AS team, lineitem.*
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "outside_names": f"""
+        SELECT name, team, {sorted_words_sql('name')} AS text, {sorted_words_sql('team')} AS team_text
+        FROM (SELECT DISTINCT name, team FROM outside_rows)""",
+    "known_names": f"""
+        SELECT {sorted_words_sql('name')} AS text, {sorted_words_sql('current_club_name')} AS club_text, player_id
+        FROM players WHERE name IS NOT NULL""",
+    "name_ratios": f"""
+        SELECT a, b, {indel_sql('a', 'b')} AS ratio
+        FROM (SELECT DISTINCT text AS a FROM outside_names), (SELECT DISTINCT text AS b FROM known_names)""",
+    "team_ratios": f"""
+        SELECT c, d, {indel_sql('c', 'd')} AS ratio
+        FROM (SELECT DISTINCT team_text AS c FROM outside_names WHERE team_text <> ''), (SELECT DISTINCT club_text AS d FROM known_names WHERE club_text <> '')""",
+    "strong_links": """
+        SELECT a AS text, ratio AS score, min(player_id) AS player_id FROM name_ratios JOIN known_names k ON k.text = b
+        WHERE ratio >= 85 - 1e-9 GROUP BY 1, 2""",
+    "weak_links": """
+        SELECT n.a AS text, t.c AS team_text, greatest(n.ratio, least(n.ratio + 15, 95)) AS score, min(player_id) AS player_id
+        FROM name_ratios n JOIN known_names k ON k.text = n.b JOIN team_ratios t ON t.d = k.club_text AND t.ratio >= 80 - 1e-9
+        WHERE n.ratio >= 70 - 1e-9 AND n.ratio < 85 AND least(n.ratio + 15, 95) >= 85 GROUP BY 1, 2, 3""",
+    "links": """
+        SELECT name, team, arg_min(player_id, {'s': -score, 'p': player_id}) AS player_id, max(score) AS match_score
+        FROM (SELECT o.name, o.team, s.score, s.player_id FROM outside_names o LEFT JOIN strong_links s ON s.text = o.text
+              UNION ALL SELECT o.name, o.team, w.score, w.player_id FROM outside_names o JOIN weak_links w
+              ON w.text = o.text AND w.team_text = o.team_text)
+        GROUP BY 1, 2""",
     "base": """
         SELECT t.transfer_id AS pair_id, t.player_id, p.name AS player_name, t.from_club_id AS selling_club_id,
                fc.name AS selling_club_name, coalesce(fc.domestic_competition_id, 'UNKNOWN') AS selling_league,

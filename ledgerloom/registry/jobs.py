@@ -103,24 +103,40 @@ def _(t):
 
 
 @query("pipe_reconcile_once", """
-    SELECT candidate_id, s.player_id, p.name AS player_name, from_id AS from_club_id, to_id AS to_club_id, on_date AS transfer_date,
-           season AS transfer_season, fee AS transfer_fee, round((on_date - p.date_of_birth) / 365.25::DOUBLE, 6) AS age_at_transfer,
+    SELECT candidate_id, s.player_id, p.name AS player_name, from_id AS from_club_id, to_id AS to_club_id, raw_from_name AS from_club_name,
+           raw_to_name AS to_club_name, on_date AS transfer_date, season AS transfer_season, fee AS transfer_fee, s.market_value_in_eur,
+           source_id, array_to_string(reasons[:5], '|') AS confidence_reasons, round((on_date - p.date_of_birth) / 365.25::DOUBLE, 6) AS age_at_transfer,
            score AS confidence_score, fingerprint_hash
     FROM (SELECT *, row_number() OVER (PARTITION BY player_id, fingerprint_hash ORDER BY candidate_id) AS rn FROM scored
           WHERE (decision = 'safe' OR (decision = 'review' AND score >= 0.85)) AND year(on_date) >= 1996) s
     LEFT JOIN players p ON p.player_id = s.player_id WHERE rn = 1""")
 def _(t):
-    rows = analytics.reconcile_once(t.candidates, t.transfers, t.players, min_year=1996)
-    return rounded(rows, "age_at_transfer").drop("from_club_name", "to_club_name", "confidence_reasons")
+    rows = analytics.reconcile_once(t.candidates, t.sourced, t.players, min_year=1996)
+    return rounded(rows, "age_at_transfer").withColumn("confidence_reasons", F.array_join("confidence_reasons", "|"))
+
+
+@query("pipe_shot_report", """
+    SELECT CAST(l_linenumber AS INTEGER) AS competition_id, count(*) AS total, count(player_id) AS matched,
+           round(count(player_id) / count(*)::DOUBLE * 100, 1) AS match_rate
+    FROM outside_rows r JOIN links l ON l.name = r.name AND l.team = r.team GROUP BY 1""")
+def _(t):
+    """Shots found and matched per competition."""
+    from ledgerloom.operators import fuzzy, sets
+    shots = external_names(t).withColumn("competition_id", F.col("l_linenumber").cast("int"))
+    links = fuzzy.link_players(shots, t.players)
+    rows = shots.join(links, sets.same_key(shots, links, ["name", "team"]), "left").drop(links["name"], links["team"])
+    return fuzzy.match_report(rows, "competition_id")
 
 
 @query("pipe_scored_candidates", """
     SELECT candidate_id, best_score::DOUBLE AS best_score, score, decision FROM scored""")
 def _(t):
-    return matching.scored(t.candidates, t.transfers).select("candidate_id", "best_score", "score", "decision")
+    return matching.scored(t.candidates, t.sourced).select("candidate_id", "best_score", "score", "decision")
 
 
-@query("pipe_shots")
+@query("pipe_shots", """
+    SELECT CAST(l_linenumber AS INTEGER) AS competition_id, count(*) AS shots, count(DISTINCT player_id) AS players, round(sum(l_discount), 6) AS xg
+    FROM outside_rows r JOIN links l ON l.name = r.name AND l.team = r.team WHERE player_id IS NOT NULL GROUP BY 1""")
 def _(t):
     """Every line as a shot by an outside player name, linked and written per competition."""
     from ledgerloom.session import new_folder
@@ -145,6 +161,17 @@ def xg_rows(t):
         (F.col("l_quantity") * 4).cast("string").alias("minutes"), *[v.alias(c) for c, v in number.items()])
 
 
-@query("pipe_xg")
+XG_SQL = ", ".join("round(l_discount, 6) AS " + c if kind == "double" else f"CAST(trunc(l_discount) AS BIGINT) AS {c}"
+                   for c, kind in analytics.XG_NUMBERS.items())
+
+
+@query("pipe_xg", f"""
+    SELECT * EXCLUDE (rn) FROM (
+        SELECT *, row_number() OVER (PARTITION BY player_id, season, competition_id ORDER BY source_id DESC) AS rn FROM (
+            SELECT player_id, year(l_shipdate) || '/' || (year(l_shipdate) + 1) AS season, l_linestatus AS competition_id, {XG_SQL},
+                   CAST(l_quantity * 4 AS BIGINT) AS minutes, round(match_score, 6) AS match_score,
+                   lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-' || l_quantity || '-' || l_discount || '-' || l_shipdate AS source_id
+            FROM outside_rows r JOIN links l ON l.name = r.name AND l.team = r.team WHERE player_id IS NOT NULL AND l_quantity * 4 >= 90))
+    WHERE rn = 1""")
 def _(t):
     return rounded(analytics.linked_xg(xg_rows(t), t.players), "match_score", "xg", "xa", "npxg", "xg_chain", "xg_buildup")

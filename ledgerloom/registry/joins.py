@@ -26,31 +26,33 @@ def _(t):
            CASE WHEN f.transfer_id IS NULL THEN l.sell_fee ELSE f.sell_fee END AS sell_fee,
            CASE WHEN f.transfer_id IS NULL THEN l.profit ELSE f.profit END AS profit,
            round(CASE WHEN f.transfer_id IS NULL THEN l.roi_pct ELSE f.roi_pct END, 6) AS roi_pct,
+           round(CASE WHEN f.transfer_id IS NULL THEN l.annualized_roi_pct ELSE f.annualized_roi_pct END, 6) AS annualized_roi_pct,
            CASE WHEN f.transfer_id IS NULL THEN l.player_position ELSE f.player_position END AS player_position
     FROM paired l LEFT JOIN (
-        SELECT s.transfer_id, b.buy_fee, b.sell_fee, b.profit, b.roi_pct, b.player_position,
+        SELECT s.transfer_id, b.buy_fee, b.sell_fee, b.profit, b.roi_pct, b.annualized_roi_pct, b.player_position,
                row_number() OVER (PARTITION BY s.transfer_id ORDER BY b.transfer_date DESC, b.transfer_id DESC) AS rn
         FROM paired s JOIN paired b ON b.player_id = s.player_id AND b.to_club_id = s.from_club_id
          AND b.transfer_date < s.transfer_date
-        WHERE s.profit IS NULL AND s.transfer_fee > 0 AND b.transfer_fee > 0 AND b.profit IS NOT NULL
+        WHERE s.profit IS NULL AND s.transfer_fee > 0 AND b.transfer_fee > 0 AND b.profit IS NOT NULL AND b.to_club_id <> 0
     ) f ON f.transfer_id = l.transfer_id AND f.rn = 1""")
 def _(t):
     rows = pairs.propagate_profit_asof(t.paired)
-    return rounded(rows, "roi_pct").select("transfer_id", "buy_fee", "sell_fee", "profit", "roi_pct", "player_position")
+    return rounded(rows, "roi_pct", "annualized_roi_pct").select("transfer_id", *FILL)
 
 
-@query("join_lastbuy_player_profit", """
-    SELECT l.transfer_id,
-           CASE WHEN l.profit IS NULL AND l.transfer_fee > 0 AND l.transfer_date > b.transfer_date THEN b.buy_fee ELSE l.buy_fee END AS buy_fee,
-           CASE WHEN l.profit IS NULL AND l.transfer_fee > 0 AND l.transfer_date > b.transfer_date THEN b.profit ELSE l.profit END AS profit,
-           round(CASE WHEN l.profit IS NULL AND l.transfer_fee > 0 AND l.transfer_date > b.transfer_date THEN b.roi_pct ELSE l.roi_pct END, 6) AS roi_pct
+LAST_BUY = "l.profit IS NULL AND l.transfer_fee > 0 AND l.transfer_date > b.transfer_date"
+
+
+@query("join_lastbuy_player_profit", f"""
+    SELECT l.transfer_id, {", ".join(f"CASE WHEN {LAST_BUY} THEN b.{c} ELSE l.{c} END AS {c}" for c in ("buy_fee", "sell_fee", "profit", "player_position"))},
+           {", ".join(f"round(CASE WHEN {LAST_BUY} THEN b.{c} ELSE l.{c} END, 6) AS {c}" for c in ("roi_pct", "annualized_roi_pct"))}
     FROM paired l LEFT JOIN (
         SELECT *, row_number() OVER (PARTITION BY player_id, to_club_id ORDER BY transfer_date DESC, transfer_id DESC) AS rn
         FROM paired WHERE transfer_fee > 0 AND roi_pct IS NOT NULL AND to_club_id <> 0
     ) b ON b.player_id = l.player_id AND b.to_club_id = l.from_club_id AND b.rn = 1""")
 def _(t):
     rows = pairs.propagate_profit_last_buy(t.paired)
-    return rounded(rows, "roi_pct").select("transfer_id", "buy_fee", "profit", "roi_pct")
+    return rounded(rows, "roi_pct", "annualized_roi_pct").select("transfer_id", *FILL)
 
 
 @query("join_peak_value", "SELECT buy_transfer_id, peak_value, round(value_creation_pct, 6) AS value_creation_pct FROM pairs")
@@ -207,7 +209,7 @@ def external_names(t):
         "l_linenumber")
 
 
-@query("join_fuzzy_player")
+@query("join_fuzzy_player", "SELECT name, team, player_id, round(match_score, 6) AS match_score FROM links")
 def _(t):
     return rounded(fuzzy.link_players(external_names(t), t.players), "match_score")
 
@@ -232,7 +234,7 @@ def _(t):
 @query("join_fingerprint", """
     SELECT candidate_id, player_id, best_score::DOUBLE AS best_score, array_to_string(best_reasons, '|') AS best_reasons, ledger_id FROM graded""")
 def _(t):
-    rows = matching.best_match(t.candidates, t.transfers)
+    rows = matching.best_match(t.candidates, t.sourced)
     return rows.select("candidate_id", "player_id", "best_score", F.array_join("best_reasons", "|").alias("best_reasons"),
                        "ledger_id")
 

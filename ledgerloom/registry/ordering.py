@@ -12,16 +12,16 @@ PAGE = "club_id, name, total_transfers"
 
 @query("sort_leaderboard", f"""
     SELECT {PAGE}, round(hit_rate, 4) AS hit_rate FROM scored_clubs WHERE total_transfers >= 3
-    ORDER BY round(hit_rate, 4) ASC NULLS LAST, club_id LIMIT 50""")
+    ORDER BY round(hit_rate, 4) ASC NULLS LAST, club_id""")
 def _(t):
     rows = views.leaderboard(rounded(scored_clubs(t), "hit_rate", digits=4), "hit_rate", "asc", min_transfers=MIN_DEALS)
-    return rows.limit(50).select("club_id", "name", "total_transfers", "hit_rate")
+    return rows.select("club_id", "name", "total_transfers", "hit_rate")
 
 
 @query("sort_sell_leaders", f"SELECT {PAGE}, total_profit FROM scored_clubs WHERE total_profit IS NOT NULL AND total_transfers >= 3 "
-       "ORDER BY total_profit DESC, club_id LIMIT 50")
+       "ORDER BY total_profit DESC, club_id")
 def _(t):
-    return views.sell_leaders(scored_clubs(t)).limit(50).select("club_id", "name", "total_transfers", "total_profit")
+    return views.sell_leaders(scored_clubs(t)).select("club_id", "name", "total_transfers", "total_profit")
 
 
 @query("sort_academy_leaders", f"""
@@ -41,7 +41,7 @@ def _(t):
     SELECT transfer_id, transfer_type, transfer_fee FROM typed WHERE from_club_id = 12 OR to_club_id = 12
     ORDER BY coalesce(transfer_fee, 0) DESC, transfer_id""")
 def _(t):
-    rows = views.club_transfers(chains.typed(t.transfers), 12)
+    rows = chains.typed(views.club_transfers(t.transfers, 12))
     return views.sort_club_transfers(rows, "fee_desc").select("transfer_id", "transfer_type", "transfer_fee")
 
 
@@ -97,3 +97,36 @@ def _(t):
 @query("view_club_history", "SELECT transfer_id, transfer_type, transfer_date FROM typed WHERE from_club_id = 20 OR to_club_id = 20")
 def _(t):
     return views.club_history(t.transfers, 20).select("transfer_id", "transfer_type", "transfer_date")
+
+
+PAGE_ROW = ["transfer_id", "player_id", "player_name", "from_club_id", "to_club_id", "from_club_name", "to_club_name", "transfer_date",
+            "transfer_season", "transfer_fee", "transfer_type", "buy_fee", "sell_fee", "profit", "roi_pct", "annualized_roi_pct", "player_position"]
+
+
+def page_sql(rows: str, hit: str) -> str:
+    """Ledger rows ``l`` with types, their own pair columns or those of buy ``b`` where ``hit`` holds."""
+    own = ", ".join(f"l.{c}" for c in PAGE_ROW[:10])
+    carried = ", ".join(f"CASE WHEN {hit} THEN b.{c} ELSE l.{c} END AS {c}" for c in ("buy_fee", "sell_fee", "profit", "player_position"))
+    rates = ", ".join(f"round(CASE WHEN {hit} THEN b.{c} ELSE l.{c} END, 6) AS {c}" for c in ("roi_pct", "annualized_roi_pct"))
+    return f"SELECT {own}, y.transfer_type, {carried}, {rates} FROM paired l JOIN typed y ON y.transfer_id = l.transfer_id LEFT JOIN {rows}"
+
+
+WANTS = "l.profit IS NULL AND l.transfer_fee > 0 AND b.transfer_id IS NOT NULL"
+
+
+@query("view_club_page", page_sql("""(
+        SELECT s.transfer_id AS sale_id, b.*, row_number() OVER (PARTITION BY s.transfer_id ORDER BY b.transfer_date DESC, b.transfer_id DESC) AS rn
+        FROM paired s JOIN paired b ON b.player_id = s.player_id AND b.to_club_id = s.from_club_id AND b.transfer_date < s.transfer_date
+        WHERE s.from_club_id = 20 AND b.transfer_fee > 0 AND b.profit IS NOT NULL) b ON b.sale_id = l.transfer_id AND b.rn = 1
+    WHERE l.from_club_id = 20 OR l.to_club_id = 20""", WANTS))
+def _(t):
+    return rounded(views.club_page(t.paired, 20), "roi_pct", "annualized_roi_pct").select(*PAGE_ROW)
+
+
+@query("view_player_page", page_sql("""(
+        SELECT *, row_number() OVER (PARTITION BY to_club_id ORDER BY transfer_date DESC, transfer_id DESC) AS rn
+        FROM paired WHERE player_id = 77 AND transfer_fee > 0 AND roi_pct IS NOT NULL AND to_club_id <> 0) b
+      ON b.to_club_id = l.from_club_id AND b.rn = 1
+    WHERE l.player_id = 77""", WANTS + " AND l.transfer_date > b.transfer_date"))
+def _(t):
+    return rounded(views.player_page(t.paired, 77), "roi_pct", "annualized_roi_pct").select(*PAGE_ROW)

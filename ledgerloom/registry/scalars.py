@@ -6,7 +6,7 @@ from ledgerloom import constants as C
 from ledgerloom.functions import identity, labels, parsing, returns, similarity
 from ledgerloom.operators import chains, features, matching, views
 from ledgerloom.registry.base import (
-    bucket_sql, gem_sql, position_sql, query, region_sql, rounded, season_sql, strip_sql,
+    bucket_sql, gem_sql, indel_sql, position_sql, query, region_sql, rounded, season_sql, sorted_words_sql, strip_sql,
 )
 from ledgerloom.registry.filters import scored_clubs
 from ledgerloom.registry.joins import training_base
@@ -216,7 +216,7 @@ def _(t):
 
 
 SELF = """
-    SELECT c.candidate_id, round(m.score, 3) AS score, array_to_string(list_filter([r1, r2, r3, r4], lambda r: r IS NOT NULL), '|') AS reasons
+    SELECT c.candidate_id, round(m.score, 3) AS score, array_to_string(why, '|') AS reasons
     FROM matches m JOIN candidate_prints c ON c.candidate_id = m.candidate_id AND m.transfer_id = c.candidate_id"""
 
 
@@ -224,20 +224,23 @@ SELF = """
 def _(t):
     """Every candidate against the ledger row it was made from."""
     c = matching.fingerprints(t.candidates, derive_season=True)
-    own = matching.fingerprints(t.transfers, derive_season=False).select(
+    own = matching.fingerprints(t.sourced, derive_season=False).select(
         F.col("transfer_id").alias("candidate_id"), *[F.col(f).alias(f"l_{f}") for f in matching.FIELDS])
     evidence = identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
-    return c.join(own, "candidate_id").select(
-        "candidate_id", F.round(identity.score_of(evidence), 3).alias("score"),
-        F.array_join(identity.reasons_of(evidence), "|").alias("reasons"))
+    same = identity.same_source(F.col("source_id"), F.col("l_source_id"))
+    score = F.when(same, 1.0).otherwise(identity.score_of(evidence))
+    reasons = F.when(same, F.lit(identity.SAME_SOURCE)).otherwise(F.array_join(identity.reasons_of(evidence), "|"))
+    return c.join(own, "candidate_id").select("candidate_id", F.round(score, 3).alias("score"), reasons.alias("reasons"))
 
 
-@query("fn_confidence", "SELECT candidate_id, score, decision FROM scored")
+@query("fn_confidence", "SELECT candidate_id, score, decision, array_to_string(reasons, '|') AS reasons FROM scored")
 def _(t):
-    return matching.scored(t.candidates, t.transfers).select("candidate_id", "score", "decision")
+    return matching.scored(t.candidates, t.sourced).select("candidate_id", "score", "decision", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("fn_token_sort_ratio")
+@query("fn_token_sort_ratio", f"""
+    SELECT p_partkey, round({indel_sql('a', 'b')}, 6) AS ratio FROM (
+        SELECT p_partkey, {sorted_words_sql('p_name')} AS a, {sorted_words_sql("p_type || ' ' || reverse(p_name) || ' ' || p_brand")} AS b FROM part)""")
 def _(t):
     """Part names against their type and brand."""
     other = F.concat_ws(" ", "p_type", F.reverse(F.col("p_name")), "p_brand")

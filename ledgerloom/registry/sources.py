@@ -36,12 +36,16 @@ def _(t):
 
 
 @query("src_csv_transfers", """
-    SELECT DISTINCT player_id, from_club_id, to_club_id, transfer_date FROM transfers0 WHERE year(transfer_date) BETWEEN 1996 AND 2000""")
+    SELECT player_id, from_club_id, to_club_id, transfer_date, any_value(player_name) AS player_name, any_value(from_club_name) AS from_club_name,
+           any_value(to_club_name) AS to_club_name, any_value(transfer_season) AS transfer_season
+    FROM ledger WHERE year(transfer_date) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3, 4""")
 def _(t):
     once = t.ledger.select("player_id", "player_name", as_text("from_club_id").alias("from_club_id"), "to_club_id", "from_club_name",
                            "to_club_name", "transfer_date", "transfer_season", "transfer_fee")
     path = as_csv(t, once.unionByName(once), "transfers")
-    return tables.load_transfers(t.spark, path, 1996, 2000).select(*tables.TRANSFER_KEY)
+    # moves with one key may differ in their fee, of which any may be kept
+    return tables.load_transfers(t.spark, path, 1996, 2000).select(
+        *tables.TRANSFER_KEY, "player_name", "from_club_name", "to_club_name", "transfer_season")
 
 
 @query("src_csv_valuations", "SELECT DISTINCT player_id, date, market_value_in_eur FROM valuations WHERE year(date) BETWEEN 1996 AND 2000")
@@ -52,11 +56,13 @@ def _(t):
 @query("src_csv_appearances", """
     SELECT appearance_id, any_value(game_id) AS game_id, any_value(player_id) AS player_id, any_value(player_club_id) AS player_club_id,
            min(date) AS date, any_value(competition_id) AS competition_id, any_value(yellow_cards) AS yellow_cards,
-           any_value(goals) AS goals, any_value(assists) AS assists FROM appearances GROUP BY 1""")
+           any_value(red_cards) AS red_cards, any_value(goals) AS goals, any_value(assists) AS assists,
+           any_value(minutes_played) AS minutes_played FROM appearances GROUP BY 1""")
 def _(t):
     path = as_csv(t, t.appearances, "appearances")
     return tables.load_appearances(t.spark, path).select(
-        "appearance_id", "game_id", "player_id", "player_club_id", "date", "competition_id", "yellow_cards", "goals", "assists")
+        "appearance_id", "game_id", "player_id", "player_club_id", "date", "competition_id", "yellow_cards", "red_cards",
+        "goals", "assists", "minutes_played")
 
 
 @query("src_csv_competitions", "SELECT n_name AS competition_id, 'league' AS type, CAST(n_regionkey AS BIGINT) AS country_id, r_name AS confederation "
@@ -77,7 +83,7 @@ def _(t):
 
 
 @query("src_json_profile", """
-    SELECT player_id, position, date_of_birth, current_club_id, current_club_name, lower(foot) AS foot, height_in_cm, market_value_in_eur,
+    SELECT player_id, position, sub_position, date_of_birth, current_club_id, current_club_name, lower(foot) AS foot, height_in_cm, market_value_in_eur,
            citizenship, CASE WHEN agent_name <> '' THEN agent_name END AS agent_name, contract_expiry_date, image_url
     FROM (SELECT * REPLACE (CASE WHEN player_id % 8 = 7 THEN 'Argentina, Italy' ELSE citizenship END AS citizenship,
                             CASE WHEN current_club_id <> 0 THEN current_club_id END AS current_club_id) FROM players)""")
@@ -94,11 +100,12 @@ def _(t):
         F.split("citizenship", ",").alias("citizenship"), F.struct(c("agent_name").alias("name")).alias("agent"),
         c("image_url").alias("imageUrl"))
     parsed = documents.parse_profiles(t.players.select("player_id", F.to_json(payload).alias("json")))
-    return parsed.drop("sub_position").withColumn("market_value_in_eur", F.round("market_value_in_eur"))
+    return parsed.withColumn("market_value_in_eur", F.round("market_value_in_eur"))
 
 
 @query("src_json_transfers", """
-    SELECT player_id, CAST(transfer_id AS VARCHAR) AS source_id, from_club_id, to_club_id, transfer_date, transfer_season, transfer_fee FROM transfers""")
+    SELECT player_id, CAST(transfer_id AS VARCHAR) AS source_id, from_club_id, to_club_id, from_club_name, to_club_name, transfer_date,
+           transfer_season, transfer_fee, transfer_fee * 2 AS market_value_in_eur FROM transfers""")
 def _(t):
     """Payloads of one transfer each, parsed back."""
     c = F.col
@@ -107,10 +114,12 @@ def _(t):
         F.struct(c("from_club_id").cast("string").alias("id"), c("from_club_name").alias("name")).alias("clubFrom"),
         F.struct(c("to_club_id").cast("string").alias("id"), c("to_club_name").alias("name")).alias("clubTo"),
         F.date_format("transfer_date", "dd MMM yyyy").alias("date"), c("transfer_season").alias("season"),
-        F.coalesce(c("transfer_fee").cast("decimal(20,0)").cast("string"), F.lit("loan")).alias("fee"))
+        F.coalesce(c("transfer_fee").cast("decimal(20,0)").cast("string"), F.lit("loan")).alias("fee"),
+        (c("transfer_fee") * 2).cast("decimal(20,0)").cast("string").alias("marketValue"))
     rows = t.transfers.select("player_id", F.to_json(F.struct(F.array(one).alias("transfers"))).alias("json"))
     return documents.parse_transfers(rows).select(
-        "player_id", "source_id", "from_club_id", "to_club_id", "transfer_date", "transfer_season", "transfer_fee")
+        "player_id", "source_id", "from_club_id", "to_club_id", "from_club_name", "to_club_name", "transfer_date", "transfer_season",
+        "transfer_fee", "market_value_in_eur")
 
 
 @query("src_json_valuations", "SELECT player_id, date, market_value_in_eur FROM valuations")

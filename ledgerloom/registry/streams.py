@@ -10,12 +10,24 @@ from ledgerloom.streaming.reconcile import reconcile
 MOVES = ["player_id", "from_club_id", "to_club_id", "transfer_date"]
 
 
-def line_stream(t, files_per_batch=None):
-    schema = t.raw("lineitem").schema
-    lines = ingest.read_files(t.spark, t.folder, schema, "lineitem.parquet", files_per_batch)
-    return lines.select(F.col("l_partkey").alias("player_id"), F.col("l_linenumber").cast("bigint").alias("from_club_id"),
-                        F.col("l_suppkey").alias("to_club_id"), F.col("l_shipdate").cast("date").alias("transfer_date"),
-                        F.col("l_shipdate").cast("timestamp").alias("moved_at"))
+def line_files(t, years: bool = False) -> str:
+    """The lines as several files in a new folder: dealt out, or one file a year in the order of time."""
+    lines = t.raw("lineitem").select(
+        F.col("l_partkey").alias("player_id"), F.col("l_linenumber").cast("bigint").alias("from_club_id"),
+        F.col("l_suppkey").alias("to_club_id"), F.col("l_shipdate").cast("date").alias("transfer_date"),
+        F.col("l_shipdate").cast("timestamp").alias("moved_at"))
+    folder = new_folder(t.spark, "line-files")
+    if not years:
+        lines.repartition(6).write.parquet(folder)
+        return folder
+    ends = lines.agg(F.year(F.min("transfer_date")).alias("first"), F.year(F.max("transfer_date")).alias("last")).first()
+    for year in range(ends["first"], ends["last"] + 1):
+        lines.filter(F.year("transfer_date") == year).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def read_lines(t, folder: str, files_per_batch: int):
+    return ingest.read_files(t.spark, folder, t.spark.read.parquet(folder).schema, files_per_batch=files_per_batch)
 
 
 DISTINCT_MOVES = """
@@ -25,11 +37,11 @@ DISTINCT_MOVES = """
 
 @query("stream_ingest", DISTINCT_MOVES)
 def _(t):
-    """The same files delivered to two runs with separate progress: the second adds nothing."""
-    target = new_folder(t.spark, "ledger")
+    """Several files in several batches, delivered to two runs with separate progress: the second adds nothing."""
+    target, folder = new_folder(t.spark, "ledger"), line_files(t)
     for run in ("first", "second"):
-        stream = line_stream(t).drop("moved_at")
-        load = ingest.append_new(target, MOVES)
+        stream = read_lines(t, folder, 2).drop("moved_at")
+        load = ingest.append_new(target, MOVES, "transfer_date")
         if run == "second":
             load = shifted(load)
         query_ = (stream.writeStream.foreachBatch(load).option("checkpointLocation", new_folder(t.spark, f"progress-{run}"))
@@ -45,8 +57,9 @@ def shifted(load, by=1_000_000):
 
 @query("stream_dedup", DISTINCT_MOVES)
 def _(t):
+    """Moves arrive by event time, a year a batch; keys leave the state 30 days after their event."""
     target = new_folder(t.spark, "dedup")
-    stream = ingest.dedup_stream(line_stream(t), MOVES, "moved_at", "4000 days")
+    stream = ingest.dedup_stream(read_lines(t, line_files(t, years=True), 1), MOVES, "moved_at", "30 days")
     query_ = (stream.writeStream.format("parquet").option("path", target)
               .option("checkpointLocation", new_folder(t.spark, "progress-dedup")).trigger(availableNow=True).start())
     query_.awaitTermination()
@@ -56,6 +69,6 @@ def _(t):
 @query("stream_reconcile")
 def _(t):
     """Repair the ledger from the candidates until nothing changes; the iterations as rows."""
-    done = reconcile(t.transfers, t.candidates, t.players, t.clubs, max_iterations=3, min_year=1995)
+    done = reconcile(t.sourced, t.candidates, t.players, t.clubs, max_iterations=3, min_year=1995)
     return done.ledger.groupBy((F.col("transfer_id") < 0).alias("inserted")).agg(
         F.count(F.lit(1)).alias("moves"), F.count_distinct("player_id").alias("players"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,21 +25,26 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own; a cluster without the
-    setting is an error, because no executor could read another machine's disk.
+    A local session without the setting uses a folder under its warehouse; a cluster without
+    it is an error, because no executor could read another machine's disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, so retried jobs never meet old files."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df, name: str):
@@ -48,3 +52,23 @@ def checkpointed(df, name: str):
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df) -> None:
+    """Delete the files of a frame that ``checkpointed`` gave; the caller owns it and is done with it."""
+    spark = df.sparkSession
+    mine = own_folder(spark).split(":", 1)[-1].lstrip("/")
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if mine in folder:
+            _delete(spark, folder)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, when its jobs are done."""
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -199,6 +199,12 @@ class DriverTables:
         rates = gems.league_gem_rate(self.paired, self.clubs)
         return gems.tier_to_clubs(self.clubs, gems.league_tiers(rates, TIER_CUTS))
 
+    @cached_property
+    def sourced(self) -> DataFrame:
+        """Transfers of which every tenth carries the id of its outside record."""
+        own = F.concat(F.lit("x"), F.col("transfer_id").cast("string"))
+        return self.transfers.withColumn("source_id", F.when(F.col("transfer_id") % 10 == 0, own))
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Every transfer as an outside record: paid ones unchanged, the rest altered.
@@ -216,4 +222,5 @@ class DriverTables:
             F.col("transfer_id").alias("candidate_id"), "player_id", own_id.alias("source_id"),
             origin.alias("from_club_id"), to.alias("to_club_id"), "from_club_name", club_name(to).alias("to_club_name"),
             on.alias("transfer_date"), F.lit(None).cast("string").alias("transfer_season"),
-            F.when(changed & F.col("transfer_fee").isNull(), None).otherwise(F.col("transfer_fee")).alias("transfer_fee"))
+            F.when(changed & F.col("transfer_fee").isNull(), None).otherwise(F.col("transfer_fee")).alias("transfer_fee"),
+            (F.col("transfer_fee") * 2).alias("market_value_in_eur"))

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerloom.operators.sets import new_rows
 
 LOAD = "load_id"
 
 
-def read_target(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_target(spark: SparkSession, path: str, schema: StructType, by_month: bool = False) -> DataFrame:
     """What is loaded so far; empty before the first load."""
-    stored = StructType([*schema.fields, StructField(LOAD, LongType(), True)])
+    months = [StructField(MONTH, StringType(), True)] if by_month else []
+    stored = StructType([*schema.fields, StructField(LOAD, LongType(), True), *months])
     try:
         return spark.read.schema(stored).parquet(path)
     except AnalysisException as error:
@@ -25,26 +26,39 @@ def read_target(spark: SparkSession, path: str, schema: StructType) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+MONTH, UNDATED = "month", "undated"
+
+
+def append_new(target: str, keys: list[str], day: str | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds only unseen keys.
 
     Each batch owns one ``load_id`` partition and overwrites it, and compares itself with
     the other partitions only. So a batch run again after a failure writes the same rows.
+    With ``day`` (one of ``keys``), loads are split by month, and a batch reads only the months
+    it holds.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        existing = read_target(batch.sparkSession, target, batch.schema)
+        columns = batch.columns
+        existing = read_target(batch.sparkSession, target, batch.schema, day is not None)
         if LOAD in existing.columns:
             existing = existing.filter(F.col(LOAD) != batch_id)
-        fresh = new_rows(batch, existing.select(*batch.columns), keys)
-        fresh.write.mode("overwrite").parquet(f"{target}/{LOAD}={batch_id}")
+        if day is not None:
+            batch = batch.withColumn(MONTH, F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(UNDATED))).persist()
+            if MONTH in existing.columns:  # at most as many months as the calendar has
+                months = [r[0] for r in batch.select(MONTH).distinct().collect()]
+                existing = existing.filter(F.col(MONTH).isin(months))
+        fresh = new_rows(batch, existing.select(*columns), keys)
+        writer = fresh.write.mode("overwrite")
+        (writer.partitionBy(MONTH) if day is not None else writer).parquet(f"{target}/{LOAD}={batch_id}")
+        batch.unpersist()
 
     return write
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], day: str | None = None) -> StreamingQuery:
     """Load everything available, adding only rows whose key is not there yet."""
     return (
-        stream.writeStream.foreachBatch(append_new(target, keys))
+        stream.writeStream.foreachBatch(append_new(target, keys, day))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

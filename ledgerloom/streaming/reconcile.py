@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.operators import chains, quality
-from ledgerloom.plans.analytics import reconcile_once
-from ledgerloom.session import checkpointed
+from ledgerloom.operators.gems import confidence_bands
+from ledgerloom.operators.matching import scored, to_insert
+from ledgerloom.plans.analytics import all_pairs, club_scores
+from ledgerloom.session import checkpointed, drop_table
+
+
+STRATEGIES = ("broken", "silent")
 
 
 @dataclass
@@ -17,23 +22,36 @@ class Outcome:
     ledger: DataFrame
     iterations: list[dict] = field(default_factory=list)
     status: str = "open"
+    scores: DataFrame | None = None
+
+
+def players_in_need(ledger: DataFrame, players: DataFrame, clubs: DataFrame, strategy: str, min_fee: float) -> DataFrame:
+    """Players with unpaired sales (``broken``), or whose first paid move starts nowhere known (``silent``)."""
+    if strategy == "silent":
+        return chains.silent_gaps(ledger, players, clubs, min_fee).select("player_id")
+    return chains.unpaired_sales(ledger, clubs, min_fee).select("player_id").distinct()
 
 
 def reconcile(ledger: DataFrame, candidates: DataFrame, players: DataFrame, clubs: DataFrame,
               max_iterations: int = 5, min_fee: float = 100_000, threshold: float = C.INSERT_THRESHOLD,
-              min_year: int = C.MIN_YEAR) -> Outcome:
-    """Repair broken chains from a table of candidates.
+              min_year: int = C.MIN_YEAR, strategy: str = "broken", dry_run: bool = False,
+              valuations: DataFrame | None = None) -> Outcome:
+    """Repair the ledger from a table of candidates.
 
-    Each iteration scores the candidates of players with unpaired sales, appends what may
-    be inserted, and writes the new ledger to the shared folder, so plans stay short and a
-    lost executor never replays earlier iterations. Only three totals reach the driver.
+    Each iteration scores the candidates of players in need, appends what may be inserted, and
+    writes the new ledger to the shared folder, so plans stay short and a lost executor never
+    replays earlier iterations; the ledger it replaces is deleted. Only a few totals reach the
+    driver. Players without inserts are not tried again (``broken``). With ``valuations`` the
+    club scores are worked out anew after inserts. A dry run scores and counts, and stops
+    before anything is appended.
     """
+    assert strategy in STRATEGIES, strategy
     done = Outcome(ledger)
     previous = None
     tried = None
     for number in range(1, max_iterations + 1):
-        broken = chains.unpaired_sales(done.ledger, clubs, min_fee).select("player_id").distinct()
-        if tried is not None:
+        broken = players_in_need(done.ledger, players, clubs, strategy, min_fee)
+        if tried is not None and strategy == "broken":
             broken = broken.join(tried, "player_id", "left_anti")
         broken = checkpointed(broken, "broken")
         open_players = broken.agg(F.count(F.lit(1))).first()[0]
@@ -41,19 +59,27 @@ def reconcile(ledger: DataFrame, candidates: DataFrame, players: DataFrame, club
             done.status = "zero_candidates"
             break
         offers = candidates.join(broken, "player_id", "left_semi")
-        inserts = checkpointed(reconcile_once(offers, done.ledger, players, threshold, min_year), "inserts")
+        graded = checkpointed(scored(offers, done.ledger), "scored")
+        bands = confidence_bands(graded).first()
+        inserts = checkpointed(to_insert(graded, players, threshold, min_year), "inserts")
         inserted = inserts.agg(F.count(F.lit(1))).first()[0]
+        row = {"iteration": number, "players": open_players, "inserted": inserted, **bands.asDict()}
+        if dry_run:
+            done.iterations.append(row)
+            break
         fruitless = broken.join(inserts.select("player_id").distinct(), "player_id", "left_anti")
         tried = checkpointed(fruitless if tried is None else tried.unionByName(fruitless), "tried")
         if inserted:
-            added = inserts.withColumn("transfer_id", -F.col("candidate_id"))
-            done.ledger = checkpointed(
-                done.ledger.unionByName(added.select(*[c for c in done.ledger.columns if c in added.columns]),
-                                        allowMissingColumns=True), "ledger")
+            added = inserts.withColumn("transfer_id", -F.col("candidate_id")).drop("candidate_id")
+            before = done.ledger
+            done.ledger = checkpointed(before.unionByName(added, allowMissingColumns=True), "ledger")
+            if before is not ledger:
+                drop_table(before)
+            if valuations is not None:
+                done.scores = club_scores(all_pairs(done.ledger, valuations, players))
         unpaired = chains.unpaired_total(done.ledger, clubs, min_fee).first()["count"]
         health = quality.health_report(done.ledger, players, clubs).first()["graph_health_score"]
-        done.iterations.append({"iteration": number, "players": open_players, "inserted": inserted,
-                                "unpaired": unpaired, "health": health})
+        done.iterations.append({**row, "unpaired": unpaired, "health": health})
         if unpaired <= 10 and inserted == 0 and previous == 0 and health >= 0.95:
             done.status = "triple_signal_convergence"
             break

@@ -44,6 +44,25 @@ def test_similar_texts_misses_nothing(spark, ratio):
     assert rows(got, "left", "right") == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("ratio", [0.7, 0.85])
+def test_similar_texts_misses_nothing_among_long_names(spark, ratio):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 32))).strip() for _ in range(60)]
+
+    def turned(text):
+        out = list(text)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(out) + 1)
+            out[at:at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        return "".join(out)
+
+    left, right = sorted(set(base)), sorted({turned(b) for b in base} | {"", "a", "ab"})
+    got = fuzzy.similar_texts(spark.createDataFrame([(x,) for x in left], "text string"),
+                              spark.createDataFrame([(x,) for x in right], "text string"), ratio)
+    want = [(a, b) for a in left for b in right if naive(a, b) >= 100 * ratio - 1e-9]
+    assert rows(got, "left", "right") == sorted(want, key=str)
+
+
 def test_linkage_equals_full_comparison(spark):
     rng = random.Random(3)
     people = [(i, n.title(), rng.choice(["Porto", "FC Porto B", "Ajax", None])) for i, n in enumerate(names(rng, 80))]

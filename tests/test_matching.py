@@ -17,20 +17,52 @@ def some(rng, n):
              rng.choice([None, "", "2000-2001"]), rng.choice([None, 0.0, 2e5, 3e6])) for _ in range(n)]
 
 
-def frames(spark, seed):
+def frames(spark, seed, ids=("s9", "s8", "")):
     rng = random.Random(seed)
-    ledger = spark.createDataFrame([(i, *r) for i, r in enumerate(some(rng, 120))], "transfer_id long, " + SCHEMA)
-    cands = spark.createDataFrame([(i, rng.choice([None, "", "s9"]), *r) for i, r in enumerate(some(rng, 80))],
+    ledger = spark.createDataFrame([(i, rng.choice([None, None, None, *ids]), *r) for i, r in enumerate(some(rng, 120))],
+                                   "transfer_id long, source_id string, " + SCHEMA)
+    cands = spark.createDataFrame([(i, rng.choice([None, "", "s9", "s7"]), *r) for i, r in enumerate(some(rng, 80))],
                                   "candidate_id long, source_id string, " + SCHEMA)
     return cands, ledger
 
 
-def test_agreement_route_equals_row_comparison(spark):
-    cands, ledger = frames(spark, 5)
-    plain = matching.best_match(cands, ledger, hot_rows=10_000)
-    hot = matching.best_match(cands, ledger, hot_rows=1)
-    columns = ["candidate_id", "best_score", "ledger_id", F.array_join("best_reasons", "|").alias("why")]
-    assert rows(plain, *columns) == rows(hot, *columns)
+def compared(cands, ledger):
+    """Every candidate with every row of its player, the best kept."""
+    theirs = matching.fingerprints(ledger, derive_season=False).select(
+        "player_id", "transfer_id", *[F.col(f).alias(f"l_{f}") for f in matching.FIELDS])
+    both = matching.fingerprints(cands, derive_season=True).join(theirs, "player_id")
+    evidence = identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
+    same = identity.same_source(F.col("source_id"), F.col("l_source_id"))
+    score = F.when(same, 1.0).otherwise(identity.score_of(evidence))
+    why = F.when(same, F.array(F.lit(identity.SAME_SOURCE))).otherwise(identity.reasons_of(evidence))
+    best = {}
+    for r in both.select("candidate_id", "transfer_id", score.alias("score"), why.alias("why")).collect():
+        best[r.candidate_id] = max(best.get(r.candidate_id, (-1.0, 0, None)), (r.score, -r.transfer_id, tuple(r.why)))
+    return {k: (round(s, 3), -i, w if s > 0 else ()) for k, (s, i, w) in best.items()}
+
+
+def test_best_match_equals_row_comparison(spark):
+    for seed in (5, 6):
+        cands, ledger = frames(spark, seed)
+        got = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in matching.best_match(cands, ledger).collect() if r.ledger_id is not None}
+        assert got == compared(cands, ledger)
+
+
+def test_one_player_with_a_third_of_the_rows(spark):
+    cands, ledger = frames(spark, 7)
+    heavy = ledger.withColumn("player_id", F.when(F.col("transfer_id") % 3 == 0, 1).otherwise(F.col("player_id")).cast("long"))
+    got = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in matching.best_match(cands, heavy).collect() if r.ledger_id is not None}
+    assert got == compared(cands, heavy)
+
+
+def test_same_source_id_is_the_same_transfer(spark):
+    stored = one(spark, source_id="77").withColumnRenamed("candidate_id", "transfer_id")
+    other = one(spark, candidate_id=5, source_id="77", from_club_id=9, to_club_id=8, from_club_name="X", to_club_name="Y",
+                transfer_season="1990-1991", transfer_fee=9e7)
+    row = matching.scored(other, stored).first()
+    assert (row.best_score, row.decision) == (1.0, "reject") and row.reasons[1] == "exact_transfermarkt_id"
+    elsewhere = matching.scored(other.withColumn("player_id", F.lit(2).cast("long")), stored).first()
+    assert (elsewhere.best_score, elsewhere.decision) == (0.0, "safe")
 
 
 def one(spark, **change):
@@ -63,6 +95,8 @@ def test_inserts_keep_one_row_per_fingerprint(spark):
     empty = one(spark).drop("source_id").withColumnRenamed("candidate_id", "transfer_id").filter("false")
     got = matching.to_insert(matching.scored(twice, empty), players)
     assert rows(got, "candidate_id") == [(1,), (3,)]
+    valued = matching.to_insert(matching.scored(twice.withColumn("market_value_in_eur", F.lit(7.0)), empty), players)
+    assert [r.market_value_in_eur for r in valued.collect()] == [7.0, 7.0]
 
 
 def test_club_name_prefixes(spark):

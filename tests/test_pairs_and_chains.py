@@ -112,3 +112,14 @@ def test_health_without_issues_is_one(spark):
 def test_duplicates_and_severity(spark):
     moves = [(1, 1, 2, 3, DAY, 1.0, "a", "b"), (2, 1, 2, 3, DAY, 5.0, "a", "b"), (3, 1, None, 3, DAY, None, "a", "b")]
     assert rows(quality.duplicate_transfers(spark.createDataFrame(moves, SCHEMA)), "player_id", "cnt") == [(1, 2)]
+
+
+def test_negative_fee_counts_as_free_on_one_side(spark):
+    moves = spark.createDataFrame([
+        (1, 1, 5, 6, date(2010, 1, 1), -3.0), (2, 1, 6, 5, date(2010, 6, 1), None),
+        (3, 2, 5, 6, date(2010, 1, 1), -3.0), (4, 2, 6, 5, date(2010, 6, 1), -1.0),
+        (5, 3, 7, 7, date(2010, 1, 1), 0.0), (6, 4, 7, 7, date(2010, 1, 1), 0.0), (7, 4, 7, 7, date(2010, 1, 1), -1.0),
+        (8, 5, None, 6, date(2010, 1, 1), 0.0), (9, 5, 6, 0, date(2010, 1, 1), 0.0)],
+        "transfer_id long, player_id long, from_club_id long, to_club_id long, transfer_date date, transfer_fee double")
+    assert rows(chains.swapped_loans(moves), "transfer_id") == [(1,), (2,), (6,), (7,)]
+    assert chains.with_loans(moves).count() == 9

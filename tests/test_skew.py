@@ -5,7 +5,7 @@ from datetime import date, timedelta
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
-from ledgerloom.operators.skew import asof_by_day, chain, exact_medians
+from ledgerloom.operators.skew import asof_by_day, chain, exact_medians, hot_keys
 
 START = date(2000, 1, 1)
 
@@ -38,19 +38,33 @@ def test_asof_takes_latest_strictly_earlier_day(spark):
         assert (r._asof and (r._asof.pid, r._asof.value)) == (best and best[1:])
 
 
-def test_exact_medians_with_and_without_bracket(spark):
+def test_exact_medians(spark):
     rng = random.Random(3)
     data = [(1 if rng.random() < 0.5 else rng.randrange(2, 6),
              None if rng.random() < 0.1 else rng.choice([rng.gauss(0, 1e6), 5.0, 5.0])) for _ in range(6000)]
     data += [(99, None), (98, 7.0), (97, 1.0), (97, 2.0)]
     df = spark.createDataFrame(data, "g long, v double")
-    for small in (1000, 50):
-        got = exact_medians(df, ["g"], {"m": F.col("v"), "twice": F.col("v") * 2}, [F.count("v").alias("n")], small=small)
-        for r in got.collect():
-            values = [v for g, v in data if g == r.g and v is not None]
-            assert r.n == len(values)
-            assert r.m == (statistics.median(values) if values else None)
-            assert r.twice == (statistics.median([2 * v for v in values]) if values else None)
+    got = exact_medians(df, ["g"], {"m": F.col("v"), "twice": F.col("v") * 2}, [F.count("v").alias("n")])
+    for r in got.collect():
+        values = [v for g, v in data if g == r.g and v is not None]
+        assert r.n == len(values)
+        assert r.m == (statistics.median(values) if values else None)
+        assert r.twice == (statistics.median([2 * v for v in values]) if values else None)
+
+
+def test_medians_of_a_large_group(spark):
+    df = spark.range(300_001).select(F.lit(1).alias("g"), (F.hash("id") % 1_000_003).cast("double").alias("v"))
+    got = exact_medians(df, ["g"], {"m": F.col("v")}).first().m
+    assert got == df.agg(F.expr("median(v)")).first()[0]
+
+
+def test_hot_keys_are_few(spark):
+    df = ledger(spark)
+    assert hot_keys(df, ["player_id"], 10).count() >= 1
+    assert [r.player_id for r in hot_keys(df, ["player_id"], 100).collect()] == [1]
+    given = chain(df, "player_id", ["day", "transfer_id"], {"prev": "club"}, F.col("day"), hot=hot_keys(df, ["player_id"], 5))
+    plain = chain(df, "player_id", ["day", "transfer_id"], {"prev": "club"}, F.col("day"))
+    assert rows(given, "transfer_id", "seq", "prev") == rows(plain, "transfer_id", "seq", "prev")
 
 
 def test_asof_on_missing_keys_finds_nothing(spark):

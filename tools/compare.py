@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import duckdb  # noqa: E402
 
 from ledgerloom.registry import QUERIES, SQL  # noqa: E402
-from ledgerloom.session import local_session  # noqa: E402
+from ledgerloom.session import drop_intermediates, local_session  # noqa: E402
 
 LIMIT = float(os.environ.get("COMPARE_LIMIT", "60"))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -75,7 +75,8 @@ def compare(spark, con, folder: str, name: str) -> tuple[bool, str]:
 def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(QUERIES)
-    spark = local_session("8", **{"spark.ui.showConsoleProgress": "false"})
+    shared = os.environ.get("COMPARE_SHARED_DIR", os.path.join(os.getcwd(), "spark-warehouse", "shared"))
+    spark = local_session(os.environ.get("COMPARE_CPUS", "8"), **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for table in TABLES:
@@ -93,6 +94,7 @@ def main() -> None:
             bad.append(name)
         print(f"{'    ' if good else 'BAD '}{name}: {note}", flush=True)
     print(f"{len(names)} queries, {len(bad)} bad: {' '.join(bad)}")
+    drop_intermediates(spark)
     spark.stop()
 
 
