@@ -106,4 +106,4 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.transform(kept, lambda k: F.get(F.col("text_lines"), k)), "\n")
     breaks = F.length(text) - F.length(F.translate(text, "\n", ""))
     return rows.select(*[F.coalesce(left, text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in others],
-                       F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).alias("n_dropped"))
+                       F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_dropped"))

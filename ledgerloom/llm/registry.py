@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import line_templates, spaced_seeds
 from ledgerloom.llm.block_labeller import extract_main_text
 from ledgerloom.llm.credential_automata import scan_secrets
 from ledgerloom.llm.hilbert_packing import pack_along_curve
@@ -64,4 +65,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_main_text, op2_near_duplicates, op3_pseudonyms, op4_decontamination, op5_suffix_tree, op6_quality_rules,
         op7_line_templates, op8_secrets, op9_curve_packing, op10_language)
 }
-SQL: dict[str, str] = {}
+_WORDS = "list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_MASKS = ", ".join(f"({k}, {list(mask)})" for k, mask in enumerate(spaced_seeds.MASKS))
+_SPAN, _REACH = spaced_seeds.SPAN, spaced_seeds.REACH
+
+#: Written from the definitions: strings instead of hashes, loops over places instead of slices.
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH masks(m, places) AS (VALUES {_MASKS}),
+        docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        doc_seeds AS (SELECT doc_id, pos, m, array_to_string(list_transform(places, lambda k: w[pos + k + 1]), ' ') AS seed
+            FROM (SELECT *, unnest(range(0, len(w) - {_SPAN - 1})) AS pos FROM docs WHERE len(w) >= {_SPAN}), masks),
+        item_seeds AS (SELECT item_id, pos, m, array_to_string(list_transform(places, lambda k: w[pos + k + 1]), ' ') AS seed
+            FROM (SELECT *, unnest(range(0, len(w) - {_SPAN - 1})) AS pos FROM items WHERE len(w) >= {_SPAN}), masks),
+        hits AS (SELECT DISTINCT d.doc_id, b.item_id, d.pos AS i, b.pos AS j FROM doc_seeds d JOIN item_seeds b ON b.m = d.m AND b.seed = d.seed),
+        rated AS (SELECT h.doc_id, h.item_id, len(b.w) AS size, list_sum(list_transform(
+                range(-least(i, j, {_REACH}), least(len(d.w) - i, len(b.w) - j, {_SPAN + _REACH})),
+                lambda k: CASE WHEN d.w[i + k + 1] = b.w[j + k + 1] THEN 1 ELSE 0 END)) AS equal
+            FROM hits h JOIN docs d ON d.doc_id = h.doc_id JOIN items b ON b.item_id = h.item_id),
+        found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(equal) AS most_equal FROM rated
+            WHERE equal >= CASE WHEN size < {spaced_seeds.SHORT_WORDS} THEN ceil(size * {spaced_seeds.SHORT_SHARE}) ELSE {spaced_seeds.MIN_EQUAL} END GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_items, 0) AS n_items, CAST(coalesce(most_equal, 0) AS BIGINT) AS most_equal, n_items IS NOT NULL AS contaminated
+        FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN found f ON f.doc_id = d.doc_id""",
+    "op7_line_templates": f"""
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        masked AS (SELECT doc_id, num, list_transform(list_filter(string_split_regex(lines[num + 1], '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''),
+                lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{line_templates.FIELD}' ELSE w END) AS w
+            FROM (SELECT *, unnest(range(0, len(lines))) AS num FROM split)),
+        placed AS (SELECT *, len(w) || '|' || array_to_string(w[1:{line_templates.LEADING}], chr(31)) AS leaf, array_to_string(w, ' ') AS line
+            FROM masked WHERE len(w) >= {line_templates.MIN_WORDS}),
+        mixed AS (SELECT leaf FROM placed GROUP BY 1 HAVING count(DISTINCT line) > 1 AND count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+        words AS (SELECT leaf, doc_id, num, place, w[place] AS word
+            FROM (SELECT p.*, unnest(range(1, len(w) + 1)) AS place FROM placed p JOIN mixed m ON m.leaf = p.leaf)),
+        modes AS (SELECT leaf, place, first(word ORDER BY n DESC, word) AS mode
+            FROM (SELECT leaf, place, word, count(*) AS n FROM words GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        near AS (SELECT x.leaf, doc_id, num FROM words x JOIN modes m ON m.leaf = x.leaf AND m.place = x.place
+            GROUP BY 1, 2, 3 HAVING avg(CASE WHEN word = mode THEN 1.0::DOUBLE ELSE 0 END) >= {line_templates.SIMILAR}),
+        general AS (SELECT * FROM near WHERE leaf IN (SELECT leaf FROM near GROUP BY 1 HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS})),
+        same AS (SELECT doc_id, num, line FROM placed
+            WHERE line IN (SELECT line FROM placed GROUP BY 1 HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS})
+              AND (doc_id, num) NOT IN (SELECT (doc_id, num) FROM general)),
+        recurring AS (SELECT 'leaf' AS kind, leaf AS template, doc_id, num FROM general UNION ALL SELECT 'line', line, doc_id, num FROM same),
+        gone AS (SELECT doc_id, list(num) AS nos FROM (
+                SELECT *, row_number() OVER (PARTITION BY kind, template ORDER BY doc_id, num) AS rn FROM recurring) WHERE rn > 1 GROUP BY 1)
+        SELECT s.doc_id, CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_transform(
+                   list_filter(range(0, len(lines)), lambda k: NOT list_contains(nos, k)), lambda k: lines[k + 1]), chr(10)) END AS text,
+               CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(nos), 0) AS BIGINT) AS n_dropped
+        FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id""",
+}
