@@ -77,7 +77,8 @@ def test_reconcile_repairs_a_broken_chain(spark):
     dry = reconcile(ledger, cands, players, clubs, dry_run=True)
     assert dry.ledger.count() == 1 and dry.iterations[0]["inserted"] == 1
     values = spark.createDataFrame([(1, date(2009, 1, 1), 5e5)], "player_id long, date date, market_value_in_eur double")
-    assert reconcile(ledger, cands, players, clubs, valuations=values).scores is not None
+    placed = players.withColumn("position", F.lit("Defender"))
+    assert reconcile(ledger, cands, placed, clubs, valuations=values).scores is not None
 
 
 def test_silent_strategy_fills_a_missing_origin(spark):
