@@ -73,7 +73,8 @@ def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: flo
     def met(a: DataFrame, b: DataFrame, keys: Column) -> DataFrame:
         left = a.select(*block, F.col("text").alias("left"), F.explode(keys).alias("key"))
         right = b.select(*block, F.col("text").alias("right"), F.explode(keys).alias("key"))
-        return left.join(right, [*block, "key"]).filter(feasible & (F.col("left") != F.col("right"))).select(*block, "left", "right")
+        # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
+        return left.join(right.hint("merge"), [*block, "key"]).filter(feasible & (F.col("left") != F.col("right"))).select(*block, "left", "right")
 
     def reachable(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Texts that can be similar to a short one of the other side."""

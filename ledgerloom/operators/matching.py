@@ -83,7 +83,8 @@ def _by_agreement(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
         .groupBy(*key, *[f"l_{k}" for k in has]).agg(F.min("ledger_id").alias("ledger_id"))
     mine = _agreement_keys(candidates.withColumns({f"c_{k}": v for k, v in has.items()})) \
         .select("candidate_id", *key, *[f"c_{k}" for k in has])
-    hits = mine.join(theirs, key)
+    # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
+    hits = mine.join(theirs.hint("merge"), key)
 
     def side(kind: Column, i: str, n: str) -> tuple[Column, Column, Column]:
         ids = F.col(f"c_{i}") & F.col(f"l_{i}")

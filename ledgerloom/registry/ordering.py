@@ -1,5 +1,7 @@
 """Sorted views, paging and top-k reports."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import chains, pairs, quality, views
@@ -76,13 +78,25 @@ def _(t):
     SELECT * FROM (SELECT 'orphan_edges' AS check, player_id, count(*)::DOUBLE AS amount FROM transfers0
         WHERE from_club_id IS NOT NULL AND from_club_id NOT IN (SELECT club_id FROM clubs)
         GROUP BY 2 ORDER BY max(transfer_fee) DESC NULLS LAST, player_id LIMIT 20)
-    UNION ALL SELECT * FROM (SELECT 'disconnected', player_id, breaks::DOUBLE FROM breaks ORDER BY breaks DESC, player_id LIMIT 20)""")
+    UNION ALL SELECT * FROM (SELECT 'disconnected', player_id, breaks::DOUBLE FROM breaks ORDER BY breaks DESC, player_id LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'timeline_violations', i.player_id, round(sell_fee, 0)::DOUBLE FROM impossible i JOIN players p ON p.player_id = i.player_id
+        ORDER BY coalesce(sell_fee + buy_fee, -1) DESC, sell_transfer_id, buy_transfer_id LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'duplicate_edges', player_id, cnt::DOUBLE FROM dup_transfers
+        ORDER BY cnt DESC, player_id, transfer_date, to_club_id, from_club_id NULLS FIRST LIMIT 20)
+    UNION ALL SELECT 'missing_continuity', NULL, missing::DOUBLE FROM missing_first""")
 def _(t):
     orphans = quality.orphan_edge_players(t.transfers, t.players, t.clubs, 20).select(
         F.lit("orphan_edges").alias("check"), "player_id", F.col("occurrences").cast("double").alias("amount"))
     broken = chains.lag_breaks(t.transfers).orderBy(F.col("breaks").desc(), "player_id").limit(20).select(
         F.lit("disconnected").alias("check"), "player_id", F.col("breaks").cast("double").alias("amount"))
-    return orphans.unionByName(broken)
+    impossible = chains.sold_before_bought(t.transfers, t.players, t.clubs).select(
+        F.lit("timeline_violations").alias("check"), "player_id", F.col("sell_fee").cast("double").alias("amount"))
+    twice = quality.duplicate_transfers(t.transfers).orderBy(
+        F.col("cnt").desc(), "player_id", "transfer_date", "to_club_id", F.col("from_club_id").asc_nulls_first()).limit(20).select(
+        F.lit("duplicate_edges").alias("check"), "player_id", F.col("cnt").cast("double").alias("amount"))
+    first = chains.missing_first_origin(t.transfers).select(
+        F.lit("missing_continuity").alias("check"), F.lit(None).cast("bigint").alias("player_id"), F.col("missing").cast("double").alias("amount"))
+    return reduce(lambda a, b: a.unionByName(b), [orphans, broken, impossible, twice, first])
 
 
 @query("topk_club_best", """
