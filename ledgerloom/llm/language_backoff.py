@@ -125,11 +125,13 @@ def frequency_tables(rows) -> tuple[list[str], dict[int, tuple[np.ndarray, np.nd
 def word_logs(tables: dict, n_languages: int, points: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Log frequencies by language of each word, by the longest form of it that is known; zeros if none is."""
     out = np.zeros((len(hashes), n_languages))
-    known, logs = tables[0]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    hit = known[at] == hashes
-    out[hit] = logs[at[hit]]
-    left = np.flatnonzero(~hit)
+    left = np.arange(len(hashes))
+    if 0 in tables:
+        known, logs = tables[0]
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = known[at] == hashes
+        out[hit] = logs[at[hit]]
+        left = np.flatnonzero(~hit)
     for size in SIZES:
         if not len(left) or size not in tables:
             continue
