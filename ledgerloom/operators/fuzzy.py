@@ -4,7 +4,7 @@ Two texts of lengths m and n with Indel ratio t or more share at least
 c = (1.5 t - 1)(m + n) + 1 of their bigrams once a start and an end mark are added. So of its
 bigrams, the rarest first, each text needs only the first (size - c + k): two such texts share at
 least k of these, and they meet under a key of k bigrams together. Keys of three (two below a
-ratio of 0.8) are rare even where single bigrams are not. Texts too short to promise k shared
+ratio of 0.8, one inside blocks) are rare even where single bigrams are not. Texts too short to promise k shared
 bigrams meet all texts of feasible length under single bigrams; there are few of them.
 No pair at or above the ratio is missed.
 """
@@ -36,13 +36,15 @@ def _required(length: Column, ratio: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(1.5 * ratio - 1) * (length + shortest) + 1 - F.lit(1e-6)))
 
 
-def _together(ratio: float) -> int:
-    """How many bigrams make a key."""
-    return 3 if ratio >= 0.8 else 2
+def _together(ratio: float, block: list[str]) -> int:
+    """How many bigrams make a key: one inside blocks, which are small already, else as many as short names can promise."""
+    return 1 if block else 3 if ratio >= 0.8 else 2
 
 
 def _keys(grams: Column, together: int) -> Column:
-    """Every way to take ``together`` (2 or 3) bigrams out of an ordered list, as hashes."""
+    """Every way to take ``together`` (1 to 3) bigrams out of an ordered list, as hashes."""
+    if together == 1:
+        return F.transform(grams, lambda g: F.xxhash64(g))
     spots = lambda start: F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: i > start)
     pick = lambda i: F.element_at(grams, i.cast("int"))
     if together == 2:
@@ -58,8 +60,9 @@ def _signed(texts: DataFrame, block: list[str], ratio: float, frequency: DataFra
     grams = texts.select(*block, "text", F.explode(_bigrams(F.col("text"))).alias("gram")).join(frequency, "gram")
     ordered = grams.groupBy(*block, "text").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("_all"))
     size, required = F.length("text"), _required(F.length("text"), ratio)
-    short = required < _together(ratio)
-    first = size + 1 - required + F.when(short, 1).otherwise(_together(ratio))
+    together = _together(ratio, block)
+    short = required < together
+    first = size + 1 - required + F.when(short, 1).otherwise(together)
     named = F.transform("_all", lambda g: g["gram"])
     return ordered.select(*block, "text", short.alias("short"), F.slice(named, F.lit(1), first.cast("int")).alias("grams"),
                           F.slice(named, F.lit(1), (size + 2 - required).cast("int")).alias("single"))
@@ -81,7 +84,9 @@ def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: flo
         longest = others.filter("short").agg(F.max(F.length("text")).alias("n")).scalar()
         return rows.filter(F.length("text") <= longest * F.lit((2 - ratio) / ratio) + 1)
 
-    many, single = _keys(F.col("grams"), _together(ratio)), F.col("single")
+    many, single = _keys(F.col("grams"), _together(ratio, block)), F.col("single")
+    if block:
+        return met(ours, theirs, many).distinct()
     pairs = met(ours.filter("not short"), theirs.filter("not short"), many)
     pairs = pairs.unionByName(met(ours.filter("short"), reachable(theirs, ours), single))
     return pairs.unionByName(met(reachable(ours, theirs), theirs.filter("short"), single)).distinct()
