@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.tables import small_batches
+
 PATH_PLACES, WORD_PLACES, SHARES = 48, 16, 7
 FEATURES = PATH_PLACES + WORD_PLACES + SHARES
 HIDDEN = 16
@@ -362,6 +364,6 @@ def _extract(model):
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     model = pages.sparkSession.sparkContext.broadcast(trained_labeller())
     return pages.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tables import stored
+from ledgerloom.llm.tables import small_batches, stored
 from ledgerloom.llm.words import Texts, text_blocks
 
 KINDS = ("assign", "access", "hex", "format")
@@ -242,7 +242,7 @@ def _scan(model):
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans`` for every row; offsets are code points."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = stored(docs.mapInArrow(_survey, "key string, value string, n long").groupBy("key", "value").agg(F.sum("n").alias("n")), "survey")
     values = made_credentials()
     for kind in KINDS[:3]:

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.tables import small_batches
 from ledgerloom.llm.words import LOWER, find_words, hash_slices, mix, take_slices, text_blocks
 
 LENGTH = 2048
@@ -209,7 +210,7 @@ def _packed(path: str):
 def pack_along_curve(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row per piece."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keyed = docs.mapInArrow(_keyed, "doc_id long, key long, text string")
     ranges = keyed.repartitionByRange(max(1, math.ceil(size / RANGE_BYTES)), "key", "doc_id").sortWithinPartitions("key", "doc_id")

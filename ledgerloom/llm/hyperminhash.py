@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.tables import stored
+from ledgerloom.llm.tables import small_batches, stored
 from ledgerloom.llm.words import LOWER, combine, find_words, hash_slices, mix, shingle_sets, text_blocks
 
 SHINGLE_WORDS = 5
@@ -181,7 +181,7 @@ def _cross_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document; see the module's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, sum_hash long, xor_hash long, registers binary"), "sketches")
     key = ["n_shingles", "sum_hash", "xor_hash"]
     single = sketches.groupBy("doc_id").agg(F.min(F.struct(*key, "registers")).alias("s")).select("doc_id", "s.*")

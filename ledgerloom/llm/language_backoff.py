@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.suffix_tree import held_out
-from ledgerloom.llm.tables import stored
+from ledgerloom.llm.tables import small_batches, stored
 from ledgerloom.llm.word_counts import char_grams, gathered, key_codes
 from ledgerloom.llm.words import Texts, combine, hash_slices, take_slices, text_blocks
 
@@ -179,7 +179,7 @@ def _predict(model):
 
 def identify_language(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"),
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"),
                        F.col("lang").cast("string").alias("lang")).withColumn("held_out", held_out(F.col("doc_id"), FOLDS))
     train = docs.where("text is not null and lang is not null and not held_out").select("text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(frequency_tables(model_rows(train).toPandas()))
