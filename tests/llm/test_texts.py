@@ -64,6 +64,24 @@ def test_pseudonyms_undo_link_and_stay_valid(spark):
     assert N.pseudonymize(frame(spark, [])).collect() == []
 
 
+def test_all_groupings_of_phones_and_cards(spark):
+    rows = [(k, text, "en", "s", None) for k, text in enumerate([
+        "ring +14155550123.", "ring +33 1 42 68 53 00.", "ring +442079460958 or +44 (0)20 7946 0958.", "ring +1234567 or +1234567890123456",
+        "paid 3782 822463 10005.", "paid 6304-9506-0000-0001-005.", "paid 4 5395787 636214 86.", "no. 12 4539 5787 6362 1486 123",
+        "paid 4539 5787 6362 1486 3782 822463 10005", "at 5 4539578763621486 1984-02-29 and 7 123-45-6789 10.0.255.1",
+        "+1 743 555-3824 12.05.2020", "1 2 3 4 5 6 7 8 9 " * 60])]
+    first = N.pseudonymize(frame(spark, rows))
+    out = {r.doc_id: r for r in first.collect()}
+    shape = lambda text: re.sub(r"\d", "9", text)
+    assert [out[k].n_phone for k in range(4)] == [1, 1, 2, 0] and [out[k].n_card for k in range(4, 9)] == [1, 1, 1, 1, 2]
+    assert out[0].text.startswith("ring +1") and out[1].text.startswith("ring +33 ") and out[2].text.startswith("ring +44")
+    assert all(out[k].text != rows[k][1] and shape(out[k].text) == shape(rows[k][1]) for k in (0, 1, 2, 4, 5, 6, 7, 8))
+    assert "4539 5787" not in out[7].text and luhn(re.sub(r"\D", "", out[4].text)) and luhn(re.sub(r"\D", "", out[5].text))
+    assert (out[9].n_card, out[9].n_date, out[9].n_ssn, out[9].n_ip) == (1, 1, 1, 1) and (out[10].n_phone, out[10].n_date) == (1, 1)
+    back = N.pseudonymize(first.select("doc_id", "text"), back=True).collect()
+    assert {r.doc_id: r.text for r in back} == {r[0]: r[1] for r in rows}
+
+
 def test_numbers_are_permuted(spark):
     from pyspark.sql import functions as F
     got = spark.range(271 * 270).select(N.permute_number(F.col("id"), 271, 270, "date", "k").alias("v")).distinct()
