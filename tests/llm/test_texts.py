@@ -131,6 +131,25 @@ def test_decontamination_equals_loops(spark, sent, monkeypatch):
     assert flags == {d[0]: any(d[0] == w for w, _ in want) for d in docs}
 
 
+@pytest.mark.parametrize("sent", [D.SENT_SEEDS, 0])
+def test_short_items_are_found(spark, sent, monkeypatch):
+    monkeypatch.setattr(D, "SENT_SEEDS", sent)
+    monkeypatch.setattr(D, "SENT_IDS", sent)
+    eleven = [f"e{k}" for k in range(11)]
+    items = [(1, "Who wrote the book?"), (2, " ".join(eleven)), (3, "世界上最高的山叫什么名字"), (4, "什么山"), (5, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10"), (6, None)]
+    texts = {
+        1: "q: who wrote the BOOK", 2: "who wrote a book", 3: "who wrote the", 10: "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10", 11: "x1 x2 x3 x4 x5 x6 x7 x8 x9 other",
+        20: "我想知道世界上最高的山叫什么名字呢", 21: "我不知道什么山好", 22: "我不知道什么好山", 30: "", 31: None}
+    want = {1: {1}, 10: {5}, 20: {3}, 21: {4}}
+    for k, (a, b) in enumerate([(a, b) for a in range(11) for b in range(a + 1)]):
+        texts[100 + k] = " ".join(["before", *("other" if at in (a, b) else w for at, w in enumerate(eleven)), "after"])
+        want[100 + k] = {2}
+    texts[99] = " ".join("other" if at in (0, 5, 10) else w for at, w in enumerate(eleven))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.seed_matches(frame(spark, [(k, t, "en", "s", None) for k, t in texts.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, own in want.items() for i in own}
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(frame(spark, []), bench).collect() == []
