@@ -5,6 +5,11 @@ depth: number of words, then the first ``LEADING`` words; a leaf holds the lines
 or, where a leaf holds several masked lines, the leaf's most frequent word at each place; a line belongs to the leaf's template if it has
 ``SIMILAR`` of its words, the others being variable fields too.
 
+A leaf may hold several templates. What is left of it when the lines of its first template and recurring masked lines are taken out is
+tried again, as a group of its own, until no template is found; then it is split by the word at the place where one word recurs most
+(lines whose word there does not recur stay together), and so on, until no word that only some of a group's lines have is in
+``MIN_DOCS`` documents. A group is split at each place once at most.
+
 A template that occurs in ``MIN_DOCS`` documents or more recurs. Its first line (smallest id, then line number) stays, all others are
 dropped. Lines of fewer than ``MIN_WORDS`` words are never dropped. The rest of a text stays as it is.
 
@@ -63,6 +68,42 @@ def _with_lines(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataF
     return docs.join(F.broadcast(own) if small else own, docs["doc_id"].cast("long") == F.col("own_id"), how)
 
 
+def _similar(words: DataFrame) -> DataFrame:
+    """``group, line, doc_id, line_no`` of lines that have enough of their group's most frequent words."""
+    modes = words.groupBy("group", "place", "word").agg(F.count("*").alias("n")).groupBy("group", "place").agg(
+        F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("mode"))
+    return words.join(modes, ["group", "place"]).groupBy("group", "line", "doc_id", "line_no").agg(
+        F.avg((F.col("word") == F.col("mode")).cast("double")).alias("share")).where(F.col("share") >= SIMILAR).select("group", "line", "doc_id", "line_no")
+
+
+def _split(words: DataFrame) -> DataFrame:
+    """The lines of groups that can be split, in their new groups."""
+    lines = words.where("place = 0").groupBy("group").agg(F.count("*").alias("lines"))
+    common = words.groupBy("group", "place", "word", "doc_id").agg(F.count("*").alias("n")).groupBy("group", "place", "word").agg(
+        F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    common = stored(common.join(lines, "group").where("n < lines").select("group", "place", "word", "n"), "common-words")
+    places = common.groupBy("group").agg(F.max_by("place", F.struct("n", -F.col("place"))).alias("place"))
+    at_place = words.join(places, ["group", "place"]).join(common.select("group", "place", "word", "n"), ["group", "place", "word"], "left")
+    new = F.xxhash64("group", "place", F.col("n").isNotNull(), F.when(F.col("n").isNotNull(), F.col("word")))
+    moved = at_place.select("doc_id", "line_no", "line", new.alias("group"))
+    return words.drop("group").join(moved, ["doc_id", "line_no", "line"]).select("doc_id", "line_no", "line", "group", "place", "word")
+
+
+def _further(words: DataFrame):
+    """``doc_id, line_no, template`` of each further round's templates, for different ``doc_id, line_no, line, group, place, word``."""
+    while True:
+        words = stored(words.join(_documents(words.where("place = 0"), "group"), "group", "left_semi"), "further-words")
+        if words.isEmpty():
+            return
+        near = _similar(words)
+        near = stored(near.join(_documents(near, "group"), "group", "left_semi"), "further-similar")
+        yield near.select("doc_id", "line_no", F.col("group").alias("template"))
+        again = words.join(near.select("group").distinct(), "group", "left_semi").join(near.select("doc_id", "line_no", "line"), ["doc_id", "line_no", "line"], "left_anti")
+        # a group that gave a template has another name in the next round
+        again = again.select("doc_id", "line_no", "line", F.xxhash64("group").alias("group"), "place", "word")
+        words = again.unionByName(_split(words.join(near.select("group").distinct(), "group", "left_anti")))
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of every line that goes."""
     docs = docs.select("doc_id", "text")
@@ -79,11 +120,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     words = raw.select("doc_id", "line_no", F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"),
                        F.posexplode("words").alias("place", "word"))
     words = stored(words, "leaf-words")
-    modes = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n")).groupBy("leaf", "place").agg(
-        F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("mode"))
-    near = words.join(modes, ["leaf", "place"]).groupBy("leaf", "line", "doc_id", "line_no").agg(
-        F.avg((F.col("word") == F.col("mode")).cast("double")).alias("share")).where(F.col("share") >= SIMILAR)
-    near = stored(near.select("leaf", "line", "doc_id", "line_no"), "similar")
+    near = stored(_similar(words.withColumn("group", F.col("leaf"))).withColumnRenamed("group", "leaf"), "similar")
     general = near.join(_documents(near, "leaf"), "leaf", "left_semi").select("doc_id", "line_no", F.col("leaf").alias("template"))
 
     # other lines: one masked line is the template
@@ -91,6 +128,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     same = same.join(general.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", F.col("line").alias("template"))
 
     recurring = stored(general.withColumn("kind", F.lit("leaf")).unionByName(same.withColumn("kind", F.lit("line"))), "recurring")
+    rest = words.join(recurring.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
+    for more in _further(rest.select("doc_id", "line_no", "line", F.xxhash64("leaf").alias("group"), "place", "word").distinct()):
+        recurring = recurring.unionByName(more.withColumn("kind", F.lit("group")))
     first = recurring.groupBy("kind", "template").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     return recurring.join(first, ["kind", "template"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
 

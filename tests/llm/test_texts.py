@@ -218,6 +218,18 @@ def test_dropped_lines_equal_loops(spark, rows, sent, monkeypatch):
     assert sum(r.n_dropped for r in out.collect()) > 40
 
 
+def test_leaf_of_several_templates(spark):
+    name = lambda k: "n" + "".join("abcdefghij"[int(c)] for c in str(k))
+    lines = [f"This page was last edited by {name(k)} today" for k in range(30)]
+    lines += [f"This page was first printed in {name(k)} then" for k in range(20)]
+    lines += [f"This page was {name(k)} made of paper once" for k in range(8)]
+    lines += [f"This page was {name(k)} {name(k)} {name(k)} {name(k)} alone" for k in range(40, 70)]
+    # four templates of the same size, so that the leaf's most frequent words are nobody's
+    lines += [f"One two three {a} {b} {c} {d} {name(k)}" for k in range(6) for a, b, c, d in ("bxyw", "zcqv", "kmdr", "pstu")]
+    gone = T.dropped_lines(frame(spark, [(k, line, "en", "s", None) for k, line in enumerate(lines)] + [(40, lines[40], "en", "s", None)])).collect()
+    assert {r.doc_id for r in gone} == {*range(1, 30), *range(31, 50), *range(51, 58), *range(92, 112)}
+
+
 def test_lines_of_odd_tables(spark):
     assert T.drop_recurring_lines(frame(spark, [])).collect() == []
     twice = T.drop_recurring_lines(frame(spark, ODD)).collect()
