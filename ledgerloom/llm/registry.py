@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import line_templates, spaced_seeds
 from ledgerloom.llm.block_labeller import extract_main_text
 from ledgerloom.llm.credential_automata import scan_secrets
+from ledgerloom.llm.dual_tree import ranked_search
 from ledgerloom.llm.hilbert_packing import pack_along_curve
 from ledgerloom.llm.hyperminhash import near_duplicates
 from ledgerloom.llm.kneser_ney import quality_rules
 from ledgerloom.llm.language_backoff import identify_language
 from ledgerloom.llm.line_templates import drop_recurring_lines
+from ledgerloom.llm.phrase_quicksort import collocations
+from ledgerloom.llm.prefix_forest import nearest
 from ledgerloom.llm.pseudonyms import pseudonymize
 from ledgerloom.llm.spaced_seeds import decontaminate
 from ledgerloom.llm.suffix_tree import suffix_tree_scores
@@ -60,10 +63,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_near_duplicates, op3_pseudonyms, op4_decontamination, op5_suffix_tree, op6_quality_rules,
-        op7_line_templates, op8_secrets, op9_curve_packing, op10_language)
+        op7_line_templates, op8_secrets, op9_curve_packing, op10_language, op11_ranked_search, op12_collocations,
+        op13_nearest_neighbours)
 }
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')"
 _MASKS = ", ".join(f"({k}, {list(mask)})" for k, mask in enumerate(spaced_seeds.MASKS))
@@ -112,4 +128,37 @@ SQL: dict[str, str] = {
                    list_filter(range(0, len(lines)), lambda k: NOT list_contains(nos, k)), lambda k: lines[k + 1]), chr(10)) END AS text,
                CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(nos), 0) AS BIGINT) AS n_dropped
         FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id""",
+    "op11_ranked_search": """
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+        items AS (SELECT row_number() OVER () AS i, item_id, list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        whole AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM docs WHERE len(w) > 0),
+        asked AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM items) GROUP BY 1, 2),
+        held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY 1), whole),
+        scores AS (SELECT i, h.r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * big_n) // big_l)))) AS BIGINT) AS score
+            FROM held h JOIN asked a ON a.term = h.term JOIN weights g ON g.term = h.term JOIN docs d ON d.r = h.r, whole GROUP BY 1, 2),
+        ranked AS (SELECT i, s.r, score, doc_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, s.r) AS rank
+            FROM scores s JOIN docs d ON d.r = s.r WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items ON items.i = ranked.i WHERE rank <= 20""",
+    "op12_collocations": """
+        WITH pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (
+                SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+        split AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        runs AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+                SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest(range(1, 6)) AS k FROM split))),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM split GROUP BY 1),
+        counts AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (SELECT lang, phrase, k AS size, w, f AS a, unnest(range(1, k)) AS k FROM counts WHERE k > 1),
+        rated AS (SELECT c.lang, c.phrase, c.size, c.w, a, c.k, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+        lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_parts AS (SELECT lang, a, w, size, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM lowest WHERE size > 2)),
+        covers AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_parts GROUP BY 1, 2),
+        kept AS (SELECT l.* FROM lowest l LEFT JOIN covers c ON c.lang = l.lang AND c.phrase = l.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
