@@ -4,7 +4,11 @@ Two texts of lengths m and n with Indel ratio t or more share at least
 c = (1.5 t - 1)(m + n) + 1 of their bigrams once a start and an end mark are added. So of its
 bigrams, the rarest first, each text needs only the first (size - c + k): two such texts share at
 least k of these, and they meet under a key of k bigrams together. Keys of three (two below a
-ratio of 0.8, one inside blocks) are rare even where single bigrams are not. Texts too short to promise k shared
+ratio of 0.8, one inside blocks) are rare in small tables even where single bigrams are not.
+A key that too many texts have is not joined but made longer, by each bigram that may come next
+in the order, until it is rare or neither text promises one more: what two texts share begins
+with the key and goes on with one of these. So the joined rows grow with the keys and not with
+the square of the names. Texts too short to promise k shared
 bigrams meet all texts of feasible length under single bigrams; there are few of them.
 No pair at or above the ratio is missed.
 """
@@ -14,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.similarity import fold_accents, sequence_ratio, sorted_ratio, sorted_tokens
+from ledgerloom.session import checkpointed
 
 START, END = "\u0002", "\u0003"
+#: A key is crowded if it would join more rows than this for each text that has it.
+CROWD = 4
 
 
 def normal_text(text: Column) -> Column:
@@ -42,19 +49,60 @@ def _together(ratio: float, block: list[str]) -> int:
 
 
 def _keys(grams: Column, together: int) -> Column:
-    """Every way to take ``together`` (1 to 3) bigrams out of an ordered list, as hashes."""
-    if together == 1:
-        return F.transform(grams, lambda g: F.xxhash64(g))
+    """Every way to take ``together`` (1 to 3) bigrams out of an ordered list: hash, and place of the last one."""
     spots = lambda start: F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: i > start)
     pick = lambda i: F.element_at(grams, i.cast("int"))
+    key = lambda last, *places: F.struct(F.xxhash64(*[pick(i) for i in (*places, last)]).alias("key"), last.cast("int").alias("place"))
+    if together == 1:
+        return F.transform(spots(F.lit(0)), lambda i: key(i))
     if together == 2:
-        every = F.transform(spots(F.lit(0)), lambda i: F.transform(spots(i), lambda j: F.xxhash64(pick(i), pick(j))))
+        every = F.transform(spots(F.lit(0)), lambda i: F.transform(spots(i), lambda j: key(j, i)))
         return F.flatten(every)
     every = F.transform(spots(F.lit(0)), lambda i: F.transform(spots(i), lambda j: F.transform(
-        spots(j), lambda k: F.xxhash64(pick(i), pick(j), pick(k)))))
+        spots(j), lambda k: key(k, i, j))))
     return F.flatten(F.flatten(every))
 
 
+def _longer(rows: DataFrame, signed: DataFrame, block: list[str], size: int) -> DataFrame:
+    """Keys of one bigram more: each that may be the ``size``-th shared one, behind the key's last."""
+    n = F.size("named")
+    end = F.when(F.col("promised") >= size, n - F.col("promised") + size).otherwise(n)
+    next_place = F.filter(F.sequence(F.lit(1), n), lambda i: (i > F.col("place")) & (i <= end))
+    known = rows.join(signed.select(*block, "text", "named"), [*block, "text"])
+    return known.withColumn("place", F.explode(next_place)).select(
+        *block, "text", "promised", "ours", F.xxhash64("key", F.element_at("named", F.col("place"))).alias("key"), "place")
+
+
+def _rounds(ours: DataFrame, theirs: DataFrame, block: list[str], together: int):
+    """Per key length the rows (``text, key, ours``) that are joined; the crowded ones go on with longer keys."""
+    signed = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
+    rows = signed.select(*block, "text", "promised", "ours", F.inline(_keys(F.col("grams"), together)))
+    named, size, key = ours.unionByName(theirs).dropDuplicates([*block, "text"]), together, [*block, "key"]
+    while True:
+        a, b = F.count_if("ours"), F.count_if(~F.col("ours"))
+        crowded = rows.groupBy(*key).agg(
+            a.alias("a"), b.alias("b"), F.max("promised").alias("most")).filter((F.col("a") * F.col("b") > CROWD * (F.col("a") + F.col("b"))) & (F.col("most") > size))
+        crowded = checkpointed(crowded.select(*key), "crowded-keys")
+        if crowded.isEmpty():
+            yield rows
+            return
+        yield rows.join(crowded, key, "left_anti")
+        held = checkpointed(rows.join(crowded, key, "left_semi"), "crowded-names")
+        # texts that promise no more meet here among themselves: their partners of more promise come under longer keys
+        yield held.filter(F.col("promised") <= size)
+        size += 1
+        rows = checkpointed(_longer(held, named, block, size), "longer-names")
+
+
+def _joined(rows: DataFrame, block: list[str]) -> DataFrame:
+    """Texts of both sides that meet under a key, before any comparison."""
+    key = [*block, "key"]
+    left = rows.filter("ours").select(*key, F.col("text").alias("left"))
+    right = rows.filter(~F.col("ours")).select(*key, F.col("text").alias("right"))
+    # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
+    return left.join(right.hint("merge"), key).select(*block, "left", "right")
+
+
 def _signed(texts: DataFrame, block: list[str], ratio: float, frequency: DataFrame) -> DataFrame:
     """Adds ``grams``: the rarest bigrams, as many as the bound requires for the text's key size, and ``short``."""
     grams = texts.select(*block, "text", F.explode(_bigrams(F.col("text"))).alias("gram")).join(frequency, "gram")
@@ -64,8 +112,8 @@ def _signed(texts: DataFrame, block: list[str], ratio: float, frequency: DataFra
     short = required < together
     first = size + 1 - required + F.when(short, 1).otherwise(together)
     named = F.transform("_all", lambda g: g["gram"])
-    return ordered.select(*block, "text", short.alias("short"), F.slice(named, F.lit(1), first.cast("int")).alias("grams"),
-                          F.slice(named, F.lit(1), (size + 2 - required).cast("int")).alias("single"))
+    return ordered.select(*block, "text", short.alias("short"), required.cast("int").alias("promised"), named.alias("named"),
+                          F.slice(named, F.lit(1), first.cast("int")).alias("grams"), F.slice(named, F.lit(1), (size + 2 - required).cast("int")).alias("single"))
 
 
 def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: float) -> DataFrame:
@@ -74,20 +122,23 @@ def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: flo
     feasible = F.least(m, n) * 2 >= (m + n) * F.lit(ratio) - F.lit(1e-6)
 
     def met(a: DataFrame, b: DataFrame, keys: Column) -> DataFrame:
-        left = a.select(*block, F.col("text").alias("left"), F.explode(keys).alias("key"))
-        right = b.select(*block, F.col("text").alias("right"), F.explode(keys).alias("key"))
-        # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
-        return left.join(right.hint("merge"), [*block, "key"]).filter(feasible & (F.col("left") != F.col("right"))).select(*block, "left", "right")
+        rows = [side.select(*block, "text", F.explode(keys).alias("key"), F.lit(own).alias("ours")) for side, own in ((a, True), (b, False))]
+        return apart(_joined(rows[0].unionByName(rows[1]), block))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(feasible & (F.col("left") != F.col("right")))
 
     def reachable(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Texts that can be similar to a short one of the other side."""
         longest = others.filter("short").agg(F.max(F.length("text")).alias("n")).scalar()
         return rows.filter(F.length("text") <= longest * F.lit((2 - ratio) / ratio) + 1)
 
-    many, single = _keys(F.col("grams"), _together(ratio, block)), F.col("single")
-    if block:
-        return met(ours, theirs, many).distinct()
-    pairs = met(ours.filter("not short"), theirs.filter("not short"), many)
+    pairs, single = None, F.col("single")
+    for rows in _rounds(ours.filter("not short"), theirs.filter("not short"), block, _together(ratio, block)):
+        found = apart(_joined(rows, block))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if block:  # one bigram makes a key, which every text promises
+        return pairs.distinct()
     pairs = pairs.unionByName(met(ours.filter("short"), reachable(theirs, ours), single))
     return pairs.unionByName(met(reachable(ours, theirs), theirs.filter("short"), single)).distinct()
 

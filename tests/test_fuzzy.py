@@ -98,3 +98,23 @@ def test_best_club_needs_the_threshold(spark):
     results = spark.createDataFrame([(1, 10, "Real Madrid CF"), (1, 11, "Atletico"), (2, 12, "Ajax")],
                                     "target_id long, club_id long, name string")
     assert rows(fuzzy.best_club(targets, results), "target_id", "club_id") == [(1, 10)]
+
+
+def test_crowded_keys_are_made_longer(spark, monkeypatch):
+    """With every key crowded that joins more than one row the result stays the same."""
+    monkeypatch.setattr(fuzzy, "CROWD", 1)
+    rng = random.Random(9)
+    left, right = names(rng, 90), names(rng, 90)
+    got = fuzzy.similar_texts(spark.createDataFrame([(x,) for x in left], "text string"),
+                              spark.createDataFrame([(x,) for x in right], "text string"), 0.85)
+    want = [(a, b) for a in left for b in right if naive(a, b) >= 85 - 1e-9]
+    assert rows(got, "left", "right") == sorted(want, key=str)
+
+
+def test_crowded_keys_inside_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "CROWD", 1)
+    rng = random.Random(10)
+    left, right = ([(x, rng.randrange(3)) for x in names(rng, 40)] for _ in range(2))
+    got = fuzzy.similar_texts(spark.createDataFrame(left, "text string, club int"), spark.createDataFrame(right, "text string, club int"), 0.7, ["club"])
+    want = [(c, a, b) for a, c in left for b, d in right if c == d and naive(a, b) >= 70 - 1e-9]
+    assert rows(got, "club", "left", "right") == sorted(want, key=str)
