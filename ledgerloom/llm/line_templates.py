@@ -5,15 +5,22 @@ depth: number of words, then the first ``LEADING`` words; a leaf holds the lines
 or, where a leaf holds several masked lines, the leaf's most frequent word at each place; a line belongs to the leaf's template if it has
 ``SIMILAR`` of its words, the others being variable fields too.
 
-A leaf may hold several templates. What is left of it when the lines of its first template and recurring masked lines are taken out is
-tried again, as a group of its own, until no template is found; then it is split by the word at the place where one word recurs most
-(lines whose word there does not recur stay together), and so on, until no word that only some of a group's lines have is in
-``MIN_DOCS`` documents. A group is split at each place once at most.
+A leaf may hold several templates. Its lines that are neither of its first template nor a recurring masked line are a group, which is
+worked on in rounds. A word at a place is common if the group's lines with it have ``MIN_DOCS`` documents or more, a document counting once
+for each different line. A line of which fewer than ``SIMILAR`` of the words are common leaves for good: the fixed words of a template
+that recurs are all common. Of what stays, the most frequent common word of each place makes the next template; if it does not recur, the
+group is split by the word at the place where a common word that not all lines have is most frequent (lines without a common word
+there stay together). What is left of a group when a template is taken out is a group again. This ends when every line has left.
 
 A template that occurs in ``MIN_DOCS`` documents or more recurs. Its first line (smallest id, then line number) stays, all others are
 dropped. Lines of fewer than ``MIN_WORDS`` words are never dropped. The rest of a text stays as it is.
 
-Null texts stay null, empty texts empty. Repeated rows of an id are lines of one document; each gets the same lines removed. An empty
+After the first pass the work is on one row for each different masked line of a leaf, whatever its number of copies; only lines of
+leaves with ``MIN_DOCS`` documents are read again for their words, and documents are counted exactly only for groups whose lines' counts
+leave it open.
+
+Null texts stay null, empty texts empty. Rows are named by id and text: equal rows get the same lines removed, rows that share an id but
+not their text each lose their own lines, and both count as one document. Rows without an id count as one document for each text. An empty
 table gives an empty result. ``dropped_lines`` ignores other columns, ``drop_recurring_lines`` passes them on.
 """
 
@@ -23,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tables import stored
+from ledgerloom.session import drop_table
 
 LEADING = 3
 SIMILAR = 0.7
@@ -39,100 +47,128 @@ def masked_words(line: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, raw`` of every line."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "raw"))
+def _own() -> Column:
+    """The name of a row: a hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _placed(lines: DataFrame) -> DataFrame:
-    """``doc_id, line_no, n, leaf, line`` of the lines that may be dropped: number of words, and hashes of leaf and masked line.
+def _placed(docs: DataFrame) -> DataFrame:
+    """``own, doc, line_no, leaf, line`` of the lines that may be dropped: hashes of row, leaf and masked line.
 
     Stored before it is filtered: a filter on the words would be pushed below them and have each line masked twice.
     """
-    words = lines.select("doc_id", "line_no", masked_words(F.col("raw")).alias("words"))
-    rows = words.select("doc_id", "line_no", F.size("words").alias("n"),
+    own = docs.select(_own().alias("own"), F.coalesce(F.col("doc_id").cast("long"), _own()).alias("doc"),
+                      F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "raw"))
+    words = own.select("own", "doc", "line_no", masked_words(F.col("raw")).alias("words"))
+    rows = words.select("own", "doc", "line_no", F.size("words").alias("n"),
                         F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"))
-    return stored(rows, "lines").where(F.col("n") >= MIN_WORDS)
+    return stored(rows, "lines").where(F.col("n") >= MIN_WORDS).drop("n")
 
 
-def _documents(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that occur in enough documents."""
-    return rows.select(key, "doc_id").distinct().groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select(key)
+def _with_lines(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataFrame:
+    """Joins to each row the numbers of its ``lines``, sent to every task if there are at most ``SENT_LINES``."""
+    mine = stored(lines.groupBy("own").agg(F.collect_set("line_no").alias(name)), name)
+    small = mine.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0] <= SENT_LINES
+    return docs.withColumn("own", _own()).join(F.broadcast(mine) if small else mine, "own", how)
 
 
-def _with_lines(docs: DataFrame, lines: DataFrame, name: str, how: str) -> DataFrame:
-    """Joins to each document the numbers of its ``lines``, sent to every task if there are at most ``SENT_LINES``."""
-    own = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias(name)), name)
-    small = own.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0] <= SENT_LINES
-    own = own.withColumnRenamed("doc_id", "own_id")
-    return docs.join(F.broadcast(own) if small else own, docs["doc_id"].cast("long") == F.col("own_id"), how)
+def _agreeing(lines: DataFrame, modes: DataFrame, group: str) -> DataFrame:
+    """The lines that have enough of their group's ``place, mode`` words."""
+    listed = modes.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("place", "mode"))).alias("modes"))
+    same = F.size(F.filter(F.transform("words", lambda w, i: F.coalesce(F.try_element_at("modes", i) == w, F.lit(False))), lambda x: x))
+    return lines.join(listed, group).where(same / F.size("words") >= SIMILAR).drop("modes")
+
+
+def _recurring(near: DataFrame, group: str, placed: DataFrame) -> DataFrame:
+    """The groups whose lines occur in enough documents."""
+    groups = near.groupBy(group).agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).where(F.col("most") >= MIN_DOCS)
+    open_lines = near.join(groups.where(F.col("least") < MIN_DOCS), group).select(group, "line")
+    exact = placed.select("line", "doc").join(open_lines, "line").select(group, "doc").distinct().groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    return groups.where(F.col("least") >= MIN_DOCS).select(group).unionByName(exact.select(group))
 
 
-def _similar(words: DataFrame) -> DataFrame:
-    """``group, line, doc_id, line_no`` of lines that have enough of their group's most frequent words."""
-    modes = words.groupBy("group", "place", "word").agg(F.count("*").alias("n")).groupBy("group", "place").agg(
-        F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("mode"))
-    return words.join(modes, ["group", "place"]).groupBy("group", "line", "doc_id", "line_no").agg(
-        F.avg((F.col("word") == F.col("mode")).cast("double")).alias("share")).where(F.col("share") >= SIMILAR).select("group", "line", "doc_id", "line_no")
+def _cells(lines: DataFrame) -> DataFrame:
+    """One row for each word behind the leading ones, which all lines of a group share."""
+    return lines.select("group", "line", "n", "docs", F.posexplode("words").alias("place", "word")).where(F.col("place") >= LEADING)
 
 
-def _split(words: DataFrame) -> DataFrame:
+def _common(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("group", "place", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
+
+
+def _kept(lines: DataFrame) -> DataFrame:
+    """The lines that have enough common words of their group."""
+    cells = _cells(lines)
+    has = cells.join(_common(cells), ["group", "place", "word"], "left_semi").groupBy("group", "line").agg(F.count("*").alias("has"))
+    return lines.join(has, ["group", "line"]).where((F.col("has") + LEADING) / F.size("words") >= SIMILAR).drop("has")
+
+
+def _split(lines: DataFrame, common: DataFrame) -> DataFrame:
     """The lines of groups that can be split, in their new groups."""
-    lines = words.where("place = 0").groupBy("group").agg(F.count("*").alias("lines"))
-    common = words.groupBy("group", "place", "word", "doc_id").agg(F.count("*").alias("n")).groupBy("group", "place", "word").agg(
-        F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    common = stored(common.join(lines, "group").where("n < lines").select("group", "place", "word", "n"), "common-words")
-    places = common.groupBy("group").agg(F.max_by("place", F.struct("n", -F.col("place"))).alias("place"))
-    at_place = words.join(places, ["group", "place"]).join(common.select("group", "place", "word", "n"), ["group", "place", "word"], "left")
-    new = F.xxhash64("group", "place", F.col("n").isNotNull(), F.when(F.col("n").isNotNull(), F.col("word")))
-    moved = at_place.select("doc_id", "line_no", "line", new.alias("group"))
-    return words.drop("group").join(moved, ["doc_id", "line_no", "line"]).select("doc_id", "line_no", "line", "group", "place", "word")
-
-
-def _further(words: DataFrame):
-    """``doc_id, line_no, template`` of each further round's templates, for different ``doc_id, line_no, line, group, place, word``."""
+    sizes = lines.groupBy("group").agg(F.sum("n").alias("lines"))
+    parting = common.join(sizes, "group").where("n < lines")
+    places = parting.groupBy("group").agg(F.max_by("place", F.struct("n", -F.col("place"))).alias("place"))
+    words = parting.join(places, ["group", "place"]).select("group", "word", F.lit(True).alias("held"))
+    at = lines.join(places, "group").withColumn("word", F.get("words", F.col("place"))).join(words, ["group", "word"], "left")
+    new = F.xxhash64("group", "place", F.col("held").isNotNull(), F.when(F.col("held"), F.col("word")))
+    return at.withColumn("group", new).select(*lines.columns)
+
+
+def _further(lines: DataFrame, placed: DataFrame):
+    """``line, template`` of each further round's templates, for rows ``group, line, words, n, docs``."""
+    before = None
     while True:
-        words = stored(words.join(_documents(words.where("place = 0"), "group"), "group", "left_semi"), "further-words")
-        if words.isEmpty():
+        lines = stored(_kept(lines), "group-lines")
+        if before is not None:
+            drop_table(before)
+        before = lines
+        if lines.isEmpty():
             return
-        near = _similar(words)
-        near = stored(near.join(_documents(near, "group"), "group", "left_semi"), "further-similar")
-        yield near.select("doc_id", "line_no", F.col("group").alias("template"))
-        again = words.join(near.select("group").distinct(), "group", "left_semi").join(near.select("doc_id", "line_no", "line"), ["doc_id", "line_no", "line"], "left_anti")
+        common = _common(_cells(lines))
+        modes = common.groupBy("group", "place").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("mode"))
+        # the leading words are modes of their places
+        leading = lines.groupBy("group").agg(F.first(F.slice("words", 1, LEADING)).alias("w")).select("group", F.posexplode("w").alias("place", "mode"))
+        near = _agreeing(lines, modes.unionByName(leading), "group")
+        near = stored(near.join(_recurring(near, "group", placed), "group", "left_semi").select("group", "line"), "group-templates")
+        yield near.select("line", F.col("group").alias("template"))
+        taken = near.select("group").distinct()
         # a group that gave a template has another name in the next round
-        again = again.select("doc_id", "line_no", "line", F.xxhash64("group").alias("group"), "place", "word")
-        words = again.unionByName(_split(words.join(near.select("group").distinct(), "group", "left_anti")))
+        again = lines.join(taken, "group", "left_semi").join(near, ["group", "line"], "left_anti").withColumn("group", F.xxhash64("group"))
+        others = lines.join(taken, "group", "left_anti")
+        lines = again.unionByName(_split(others, common))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 0) of every line that goes."""
+    """``own, line_no`` (from 0) of every line that goes; ``own`` is the row's name."""
     docs = docs.select("doc_id", "text")
-    narrow = _placed(_lines(docs))
-
-    # leaves of several masked lines in enough documents: most frequent word at each place
-    mixed = narrow.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a < z").select("leaf")
-    mixed = _documents(narrow.join(mixed, "leaf", "left_semi"), "leaf")
-    members = stored(narrow.join(mixed, "leaf", "left_semi").select("doc_id", "line_no", "leaf", "line"), "members")
-    held = _with_lines(docs, members.select("doc_id", "line_no"), "leaf_lines", "inner")
-    split = held.select("own_id", "leaf_lines", F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
-    raw = split.select(F.col("own_id").alias("doc_id"), F.inline(F.transform("leaf_lines", lambda k: F.struct(
-        k.alias("line_no"), masked_words(F.get("lines", k)).alias("words")))))
-    words = raw.select("doc_id", "line_no", F.xxhash64(F.size("words"), F.slice("words", 1, LEADING)).alias("leaf"), F.xxhash64("words").alias("line"),
-                       F.posexplode("words").alias("place", "word"))
-    words = stored(words, "leaf-words")
-    near = stored(_similar(words.withColumn("group", F.col("leaf"))).withColumnRenamed("group", "leaf"), "similar")
-    general = near.join(_documents(near, "leaf"), "leaf", "left_semi").select("doc_id", "line_no", F.col("leaf").alias("template"))
+    placed = _placed(docs)
+    # one row for each different masked line
+    per_doc = placed.groupBy("leaf", "line", "doc").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line_no", "own")).alias("first"))
+    kinds = stored(per_doc.groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("first").alias("first")), "different-lines")
+
+    # leaves of several masked lines that may be in enough documents: most frequent word at each place
+    mixed = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= MIN_DOCS))
+    read = kinds.join(mixed.select("leaf"), "leaf", "left_semi")
+    held = _with_lines(docs, read.select("first.own", "first.line_no"), "leaf_lines", "inner")
+    split = held.select("leaf_lines", F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    words = split.select(F.explode("leaf_lines").alias("line_no"), "lines").select(masked_words(F.get("lines", F.col("line_no"))).alias("words"))
+    words = words.select(F.xxhash64("words").alias("line"), "words").dropDuplicates(["line"])
+    lines = stored(read.join(words, "line").select("leaf", "line", "words", "n", "docs"), "leaf-lines")
+    counted = lines.select("leaf", "n", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").agg(F.sum("n").alias("n"))
+    modes = counted.groupBy("leaf", "place").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("mode"))
+    near = stored(_agreeing(lines, modes, "leaf"), "similar")
+    general = near.join(_recurring(near, "leaf", placed), "leaf", "left_semi").select("line", F.col("leaf").alias("template"))
 
     # other lines: one masked line is the template
-    same = narrow.join(_documents(narrow, "line"), "line", "left_semi")
-    same = same.join(general.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", F.col("line").alias("template"))
-
+    same = kinds.where(F.col("docs") >= MIN_DOCS).select("line").join(general.select("line"), "line", "left_anti").select("line", F.col("line").alias("template"))
     recurring = stored(general.withColumn("kind", F.lit("leaf")).unionByName(same.withColumn("kind", F.lit("line"))), "recurring")
-    rest = words.join(recurring.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    for more in _further(rest.select("doc_id", "line_no", "line", F.xxhash64("leaf").alias("group"), "place", "word").distinct()):
+    rest = lines.join(recurring.select("line"), "line", "left_anti").withColumnRenamed("leaf", "group")
+    for more in _further(rest, placed):
         recurring = recurring.unionByName(more.withColumn("kind", F.lit("group")))
-    first = recurring.groupBy("kind", "template").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return recurring.join(first, ["kind", "template"]).where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no")
+    found = recurring.join(kinds.select("line", "first"), "line")
+    firsts = found.groupBy("kind", "template").agg(F.min("first").alias("first"))
+    going = found.drop("first").join(firsts, ["kind", "template"]).select("line", "first")
+    return placed.join(going, "line").where(F.struct("doc", "line_no", "own") != F.col("first")).select("own", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def shared_lines(seed=3):
 
 
 @pytest.mark.parametrize("sent", [T.SENT_LINES, 0])
-@pytest.mark.parametrize("rows", [shared_lines(), shared_lines(4) + [r for r in ODD if r[0] != 1004] + made_docs(30)])
+@pytest.mark.parametrize("rows", [shared_lines(), shared_lines(4) + [r for r in ODD if r[0] != 1004] + [(r[0] + 3000, *r[1:]) for r in made_docs(30)]])
 def test_dropped_lines_equal_loops(spark, rows, sent, monkeypatch):
     monkeypatch.setattr(T, "SENT_LINES", sent)
     docs = frame(spark, rows, clash=True)
@@ -226,8 +226,102 @@ def test_leaf_of_several_templates(spark):
     lines += [f"This page was {name(k)} {name(k)} {name(k)} {name(k)} alone" for k in range(40, 70)]
     # four templates of the same size, so that the leaf's most frequent words are nobody's
     lines += [f"One two three {a} {b} {c} {d} {name(k)}" for k in range(6) for a, b, c, d in ("bxyw", "zcqv", "kmdr", "pstu")]
-    gone = T.dropped_lines(frame(spark, [(k, line, "en", "s", None) for k, line in enumerate(lines)] + [(40, lines[40], "en", "s", None)])).collect()
-    assert {r.doc_id for r in gone} == {*range(1, 30), *range(31, 50), *range(51, 58), *range(92, 112)}
+    out = T.drop_recurring_lines(frame(spark, [(k, line, "en", "s", None) for k, line in enumerate(lines)] + [(40, lines[40], "en", "s", None)])).collect()
+    assert {r.doc_id for r in out if r.n_dropped} == {*range(1, 30), *range(31, 50), *range(51, 58), *range(92, 112)}
+
+
+def plain_rounds(lines):
+    """Which of ``(doc_id, line)`` recur, by the definition with all its rounds; all lines are of one leaf, one a document."""
+    kinds = {}
+    for doc, line in lines:
+        kinds.setdefault(tuple("<*>" if any(c.isdigit() for c in w) else w for w in line.split()), []).append(doc)
+
+    def near(group, modes):
+        return [k for k in group if sum(modes.get(i) == w for i, w in enumerate(k)) / len(k) >= T.SIMILAR]
+
+    def documents(group):
+        return len({d for k in group for d in kinds[k]})
+
+    def counts(group, of):
+        out = {}
+        for k in group:
+            for i, w in enumerate(k):
+                out[i, w] = out.get((i, w), 0) + of(kinds[k])
+        return out
+
+    def modes(seen):
+        out = {}
+        for (i, w), n in seen.items():
+            if i not in out or (-n, w) < out[i]:
+                out[i] = (-n, w)
+        return {i: w for i, (_, w) in out.items()}
+
+    found = []
+    whole = list(kinds)
+    if len(whole) > 1 and documents(whole) >= T.MIN_DOCS:
+        first = near(whole, modes(counts(whole, len)))
+        if documents(first) >= T.MIN_DOCS:
+            found.append(first)
+    done = {k for g in found for k in g}
+    same = [k for k in whole if k not in done and documents([k]) >= T.MIN_DOCS]
+    found += [[k] for k in same]
+    done.update(same)
+    groups = [[k for k in whole if k not in done]] if len(whole) > 1 and sum(len(set(v)) for v in kinds.values()) >= T.MIN_DOCS else []
+    while groups:
+        group = groups.pop()
+        held = counts(group, lambda d: len(set(d)))
+        group = [k for k in group if sum(held[i, w] >= T.MIN_DOCS for i, w in enumerate(k) if i >= T.LEADING) + T.LEADING >= T.SIMILAR * len(k) - 1e-9]
+        if not group:
+            continue
+        held, times = counts(group, lambda d: len(set(d))), counts(group, len)
+        common = {c: n for c, n in times.items() if held[c] >= T.MIN_DOCS and c[0] >= T.LEADING}
+        template = near(group, {**modes(common), **dict(enumerate(group[0][:T.LEADING]))})
+        if documents(template) >= T.MIN_DOCS:
+            found.append(template)
+            groups.append([k for k in group if k not in template])
+            continue
+        parting = {c: n for c, n in common.items() if n < sum(len(kinds[k]) for k in group)}
+        if parting:
+            place = max(parting, key=lambda c: (parting[c], -c[0]))[0]
+            parts = {}
+            for k in group:
+                parts.setdefault(k[place] if (place, k[place]) in parting else None, []).append(k)
+            groups += parts.values()
+    gone = set()
+    for template in found:
+        docs = sorted(d for k in template for d in kinds[k])
+        gone.update(docs[1:])
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_rounds_equal_loops(spark, seed):
+    draw = random.Random(seed)
+    lines = []
+    for leaf in range(12):
+        shapes = [[draw.choice("abcd") if draw.random() < 0.75 else None for _ in range(draw.choice([3, 6, 9]))] for _ in range(draw.randint(1, 5))]
+        width = len(shapes[0])
+        for _ in range(draw.randint(4, 60)):
+            shape = draw.choice(shapes)[:width]
+            shape += [None] * (width - len(shape))
+            words = [w or "v" + "".join(draw.choice("abcdefghij") for _ in range(draw.choice([1, 4]))) for w in shape]
+            lines.append((leaf, " ".join(["leaf", "number", "x" * (leaf + 1), *words])))
+    draw.shuffle(lines)
+    rows = [(k, line, "en", "s", None) for k, (_, line) in enumerate(lines)]
+    want = set()
+    for leaf in range(12):
+        want |= plain_rounds([(k, line) for k, (own, line) in enumerate(lines) if own == leaf])
+    assert {r.doc_id for r in T.drop_recurring_lines(frame(spark, rows)).collect() if r.n_dropped} == want
+
+
+def test_lines_of_two_texts_under_one_id(spark):
+    """A line that one text of an id loses does not go from the other."""
+    rows = [(k, "This very line is in many documents", "en", "s", None) for k in range(8)]
+    rows += [(3, "A line that nobody else has at all\nmore", "en", "s", None), (None, "x\nThis very line is in many documents", "en", "s", None), (None, None, "en", "s", None)]
+    out = sorted(((r.doc_id, r.text, r.n_dropped) for r in T.drop_recurring_lines(frame(spark, rows)).collect()), key=str)
+    assert (3, "A line that nobody else has at all\nmore", 0) in out and (3, "", 1) in out
+    assert (None, "x", 1) in out or (0, "", 1) in out
+    assert len(out) == len(rows) and sum(n for *_, n in out) == 8
 
 
 def test_lines_of_odd_tables(spark):
