@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import math
 import zlib
 from functools import cache
@@ -96,26 +97,44 @@ def _encoding(path: str):
     letters = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    special = {t["id"] for t in content.get("added_tokens", [])}
+    added = {t["content"].encode(): t["id"] for t in content.get("added_tokens", [])}
+    special = set(added.values())
     ranks = {bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if i not in special}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         sizes[i] = len(token)
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, added
+
+
+def _added_places(added: dict[bytes, int], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Start and end of every added token in the texts; the longest where several begin."""
+    pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    whole, found = data.tobytes(), []
+    if added and pattern.search(whole):
+        for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found += [m.span() for m in pattern.finditer(whole, low, high)]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts laid end to end, without end ids, and the texts' bounds among them."""
-    encoding, sizes = _encoding(path)
+    encoding, sizes, added = _encoding(path)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    clear = ~_MAY_BE_SPACE[data]
+    places = _added_places(added, data, offsets)
+    inside = np.zeros(n + 1, np.int8)
+    np.add.at(inside, places[:, 0], 1)
+    np.add.at(inside, places[:, 1], -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    clear = ~_MAY_BE_SPACE[data] & ~inside  # a text ends where an added token begins
     cut = np.zeros(n + 1, bool)
     cut[:-1] |= (data == 32) & np.concatenate([clear[1:], [False]])
     alone = (data == 10) & np.concatenate([[False], (clear & (data < 128))[:-1]]) & np.concatenate([clear[1:], [False]])
     cut[:-1] |= alone
     cut[1:] |= alone
+    cut[:-1] &= ~inside
+    cut[places] = True
     cut[offsets] = True
     edges = np.flatnonzero(cut)
     start, end = edges[:-1], edges[1:]
@@ -124,7 +143,7 @@ def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     # pieces that are one visible run after one space are encoded many at a time
     bare = _MAY_BE_SPACE[data]
     shy = np.concatenate([[0], np.cumsum(bare)])
-    plain = np.flatnonzero((data[start] == 32) & (shy[end] - shy[start] == 1))
+    plain = np.flatnonzero((data[start] == 32) & (shy[end] - shy[start] == 1) & ~inside[start])
     odd = np.setdiff1d(np.arange(len(start)), plain)
     ids: list[np.ndarray] = []
     counts = np.zeros(len(start), np.int64)
@@ -138,7 +157,8 @@ def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
         ids.append(own)
         low = high
     for k in odd:
-        own = encoding.encode_to_numpy(data[start[k]:end[k]].tobytes().decode("utf-8"), disallowed_special=())
+        piece = data[start[k]:end[k]].tobytes()
+        own = np.array([added[piece]]) if piece in added else encoding.encode_to_numpy(piece.decode("utf-8"), disallowed_special=())
         counts[k] = len(own)
         ids.append(own)
     pool = np.concatenate(ids).astype(np.uint32)

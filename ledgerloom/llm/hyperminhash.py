@@ -5,8 +5,8 @@ the number of leading zeros and ten mantissa bits. An empty bucket copies a fill
 Bands of three registers give candidates, the share of equal registers, corrected for chance collisions, thins them, and full
 shingle sets decide.
 
-At the threshold of 0.75 a link escapes all 42 bands with probability (1 - 0.75^3)^42, about 1e-10, and the thinning (five
-standard deviations) with less than 1e-6.
+At the threshold of 0.75 a link escapes all 42 bands with probability (1 - 0.75^3)^42, about 1e-10. Pairs with a hub are compared on full
+sets whatever their estimate; the estimate thins only the pairs beyond hubs (five standard deviations: less than 1e-6 of links).
 
 Groups of any size: documents with one shingle set are one class. A band's members are compared with one of them only, its hub: the member
 that shares most with others. If two members are linked to their hub they are in one component. Otherwise one of them, say r, is not linked
@@ -124,9 +124,8 @@ def _compared(batches):
             apart = [np.concatenate([np.setdiff1d(y, x, True), np.setdiff1d(x, y, True) ^ np.uint64(1)]) for x, y in zip(sets["a"], sets["b"], strict=True)]
             shared = [(len(x) + len(y) - len(d)) // 2 for x, y, d in zip(sets["a"], sets["b"], apart, strict=True)]
             good = [100 * s >= PER_CENT * (len(x) + len(y) - s) for s, x, y in zip(shared, sets["a"], sets["b"], strict=True)]
-            linked = [g and maybe for g, maybe in zip(good, part.column("likely").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
-                part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array([len(y) for y in sets["b"]], pa.int64()),
+                part.column("a"), part.column("b"), pa.array(good, pa.bool_()), pa.array([len(y) for y in sets["b"]], pa.int64()),
                 pa.array([d.view(np.int64) for d in apart], pa.list_(pa.int64()))], ["a", "b", "linked", "size", "apart"])
 
 
@@ -140,13 +139,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """``a, b, linked, size, apart`` of the pairs of class representatives ``a, b, likely``."""
+    """``a, b, linked, size, apart`` of the pairs of class representatives ``a, b``."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if 2 * pairs.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     wanted = stored(texts.join(ids, "doc_id", "left_semi"), f"{name}-texts")
     both = pairs.join(_side(wanted, "b", text="text_b"), "b").join(_side(wanted, "a", text="text_a"), "a")
-    return stored(both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(
         _compared, "a long, b long, linked boolean, size long, apart array<long>"), f"{name}-compared")
 
 
@@ -194,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     bands = stored(bands.join(shared, "band"), "bands")
 
-    compared = _verified(_estimated(_hub_pairs(bands), reps, "hub"), docs, "hub")
+    compared = _verified(stored(_hub_pairs(bands), "hub-pairs"), docs, "hub")
     links = compared.where("linked").select("a", "b")
     cross = _estimated(_cross_pairs(compared, stored(components(links), "groups")), reps, "cross")
     more = _verified(cross.where("likely"), docs, "cross").where("linked").select("a", "b")

@@ -382,9 +382,9 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
     path = public_tokenizers.path(P.TOKENIZER)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = [r[1] or "" for r in made_docs(30) + ODD] + [
         "a  b", "a \n b", "x\n\n\ny", " lead", "trail ", "tab\tand nbsp  x", "don't we'll I'm 1234 €5", "<|endoftext|> x <|endoftext|>",
+        "a <|endoftext|> b", "a  <|endoftext|>\n\nb", "\n<|endoftext|><|endoftext|>x\n<|endoftext|>", "<|endoftext|", "|>", "<|endof", "text|>", "é<|endoftext|>é ",
         "a　b  c", "日本語 テキスト", "🎉 emoji🎉\n🎉", "\n", " ", "\r\n\r\nq", "a\x85b \x85c", "x\x1cy \x1dz", "é\né \né"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
@@ -396,8 +396,7 @@ def test_ids_equal_the_tokenizer():
 def test_pieces_hold_each_id_once(spark):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
-    plain.encode_special_tokens = True
-    rows = made_docs(60) + [r for r in ODD if r[0] != 1004]
+    rows = made_docs(60) + [r for r in ODD if r[0] != 1004] + [(2000, "one <|endoftext|> two  <|endoftext|>\n", "en", "x", None)]
     got = P.pack_along_curve(frame(spark, rows, clash=True)).toPandas()
     want = {r[0]: np.array(plain.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4") for r in rows}
     assert set(got.doc_id) == set(want)
@@ -528,3 +527,22 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     frame(spark, []).write.parquet(f"{folder}/none/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_stages_decide_for_rows_not_ids(spark):
+    text = lambda w: " ".join(f"{w}{k}" for k in range(80))
+    rows = [(None, text("a"), "en", "x", 1), (None, None, "en", "x", 1), (7, text("b"), "en", "x", 1), (7, text("c"), "en", "x", 1), (8, text("b"), "en", "x", 1),
+            (9, text("d"), "en", "x", 1), (9, text("d"), "en", "x", 1), (10, text("item "), "en", "x", 1), (None, text("item "), "en", "y", 1)]
+    docs = frame(spark, rows, clash=True)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    texts = sorted(t for _, t in kept if t)
+    assert texts == sorted(text(w) for w in ("a", "b", "c", "d", "item ")) and (None, text("a")) in kept and (7, text("c")) in kept
+    assert corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns
+
+
+def test_decontamination_finds_rows_without_ids(spark, tmp_path):
+    item = " ".join(f"word{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item, "en", "x", 1), (None, "clean text of its own", "en", "x", 1), (4, item, "en", "x", 1), (4, "another clean text", "en", "x", 1), (5, None, "en", "x", 1)]
+    out = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(str(r.text) for r in out) == ["None", "another clean text", "clean text of its own"]
