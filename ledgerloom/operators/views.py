@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom import constants as C
 from ledgerloom.functions import labels, parsing
 from ledgerloom.operators import chains, pairs
+from ledgerloom.session import checkpointed
 
 CLUB_SORTS = {"composite_score", "name", "total_transfers", "median_roi", "annualized_roi", "total_profit",
               "hit_rate", "value_creation", "profit_per_deal", "buying_club_premium"}
@@ -19,10 +20,34 @@ def ordering(sort_by: str, allowed: set[str], default: str, order: str, unique:
     return [column.asc_nulls_last() if order == "asc" else column.desc_nulls_last(), F.col(unique).asc()]
 
 
-def page(rows: DataFrame, order: list[Column], number: int = 1, per_page: int = 50) -> DataFrame:
+def page(rows: DataFrame, order: list[Column], number: int = 1, per_page: int = 50, shallow: int = 10_000) -> DataFrame:
+    """One page of the ordered rows.
+
+    Up to ``shallow`` rows from the start a top-k finds it. A deeper page is sought by range.
+    """
     if number < 1 or not 1 <= per_page <= 200:
         raise ValueError("page starts at 1 and per_page lies between 1 and 200")
-    return rows.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
+    first = (number - 1) * per_page
+    if first + per_page <= shallow:
+        return rows.orderBy(*order).offset(first).limit(per_page)
+    return sought(rows, order, first, per_page)
+
+
+def sought(rows: DataFrame, order: list[Column], first: int, size: int) -> DataFrame:
+    """``size`` rows from the ``first`` (0-based) on, for an order without ties.
+
+    The rows are cut into ordered ranges and stored; the ranges' counts, one row for each task,
+    say which of them hold the page, and only these are read and sorted. So no task and no driver
+    holds more than a range, however deep the page is.
+    """
+    ranges = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page-ranges")
+    before, wanted, skip = 0, [], 0
+    for part, n in sorted(ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if before < first + size and before + n > first:
+            skip = first - before if not wanted else skip
+            wanted.append(part)
+        before += n
+    return ranges.filter(F.col("_range").isin(wanted)).drop("_range").orderBy(*order).offset(skip).limit(size)
 
 
 def total(rows: DataFrame) -> DataFrame:

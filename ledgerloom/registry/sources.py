@@ -26,6 +26,13 @@ def _(t):
     return tables.load_clubs(t.spark, as_csv(t, t.clubs.withColumn("club_id", as_text("club_id")), "clubs"))
 
 
+@query("src_csv_spanning", "SELECT club_id, name, club_code || chr(10) || name AS club_code, domestic_competition_id FROM clubs")
+def _(t):
+    """Quoted fields that span lines read back as one row each."""
+    rows = t.clubs.withColumn("club_code", F.concat_ws("\n", "club_code", "name")).filter("club_code IS NOT NULL")
+    return tables.load_clubs(t.spark, as_csv(t, rows, "clubs"), spanning=True)
+
+
 @query("src_csv_players", """
     SELECT player_id, name, NULL::VARCHAR AS first_name, NULL::VARCHAR AS last_name, position, sub_position, date_of_birth, current_club_id,
            current_club_name, foot, height_in_cm, market_value_in_eur, NULL::DOUBLE AS highest_market_value_in_eur FROM players""")
@@ -223,9 +230,10 @@ def _(t):
 def _(t):
     stored = t.player_xg.select("player_id", "season", "competition_id", "minutes")
     newer = stored.filter(F.col("season") == "1998/1999").withColumn("minutes", F.col("minutes") + 1)
-    path = new_folder(t.spark, "xg")
-    sinks.rewrite(sinks.upsert(stored, newer, ["player_id", "season", "competition_id"]), path)
-    return t.spark.read.parquet(path)
+    path, key = new_folder(t.spark, "xg"), ["player_id", "season", "competition_id"]
+    sinks.write_buckets(stored, path, key, 16)
+    sinks.merge_buckets(t.spark, path, newer, key, 16)
+    return t.spark.read.parquet(path).drop(sinks.BUCKET)
 
 
 @query("sink_feature_csv", "SELECT pair_id, player_id, is_gem, buy_fee, height_in_cm FROM base")

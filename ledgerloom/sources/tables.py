@@ -55,16 +55,33 @@ def coerce(text: Column, kind: str) -> Column:
     if kind == "double":
         return parsing.parse_float(value)
     if kind == "date":
-        return F.coalesce(F.substring(value, 1, 10).try_cast("date"), parsing.parse_date(value))
+        day = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), F.regexp_extract(value, r"^[0-9-]+", 0).try_cast("date"))
+        return F.coalesce(day, parsing.parse_date(value))
     return value
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV with a header; the schema comes from the header, no type inference."""
-    return (
-        spark.read.option("header", True).option("inferSchema", False)
-        .option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
-    )
+#: Rows whose number of fields isn't the header's keep their text here.
+BROKEN = "_broken"
+
+
+def read_text(spark: SparkSession, path: str, spanning: bool = False) -> DataFrame:
+    """All-text CSV with a header; the schema comes from the header, no type inference.
+
+    Files are split among tasks by line. ``spanning`` reads records whose quoted fields hold line
+    breaks instead: a file is then one task's, so many files of moderate size are wanted. It adds
+    ``_broken``, the text of rows that don't have the header's fields.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+    if not spanning:
+        return reader.option("multiLine", False).csv(path)
+    reader = reader.option("multiLine", True)
+    schema = reader.csv(path).schema.add(BROKEN, "string")
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).csv(path)
+
+
+def broken_rows(raw: DataFrame) -> DataFrame:
+    """How many rows a ``spanning`` read found, how many have their first field, and how many are broken."""
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count(raw.columns[0]).alias("keyed"), F.count(BROKEN).alias("broken"))
 
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
@@ -78,28 +95,29 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
     return raw.select(*[column(n, k).alias(n) for n, k in SCHEMAS[table].items()])
 
 
-def load_clubs(spark: SparkSession, path: str) -> DataFrame:
-    return typed(read_text(spark, path), "clubs")
+def load_clubs(spark: SparkSession, path: str, spanning: bool = False) -> DataFrame:
+    return typed(read_text(spark, path, spanning), "clubs")
 
 
-def load_players(spark: SparkSession, path: str) -> DataFrame:
-    return typed(read_text(spark, path), "players")
+def load_players(spark: SparkSession, path: str, spanning: bool = False) -> DataFrame:
+    return typed(read_text(spark, path, spanning), "players")
 
 
-def load_transfers(spark: SparkSession, path: str, min_year: int = C.MIN_YEAR, max_year: int = C.MAX_YEAR) -> DataFrame:
-    rows = year_range(typed(read_text(spark, path), "transfers"), "transfer_date", min_year, max_year)
+def load_transfers(spark: SparkSession, path: str, min_year: int = C.MIN_YEAR, max_year: int = C.MAX_YEAR,
+                   spanning: bool = False) -> DataFrame:
+    rows = year_range(typed(read_text(spark, path, spanning), "transfers"), "transfer_date", min_year, max_year)
     return first_per_key(rows, TRANSFER_KEY)
 
 
 def load_player_valuations(spark: SparkSession, path: str, min_year: int = C.MIN_YEAR,
-                           max_year: int = C.MAX_YEAR) -> DataFrame:
-    rows = year_range(typed(read_text(spark, path), "player_valuations"), "date", min_year, max_year)
+                           max_year: int = C.MAX_YEAR, spanning: bool = False) -> DataFrame:
+    rows = year_range(typed(read_text(spark, path, spanning), "player_valuations"), "date", min_year, max_year)
     return first_per_key(rows, VALUATION_KEY)
 
 
-def load_appearances(spark: SparkSession, path: str) -> DataFrame:
-    return first_per_key(typed(read_text(spark, path), "appearances"), ["appearance_id"])
+def load_appearances(spark: SparkSession, path: str, spanning: bool = False) -> DataFrame:
+    return first_per_key(typed(read_text(spark, path, spanning), "appearances"), ["appearance_id"])
 
 
-def load_competitions(spark: SparkSession, path: str) -> DataFrame:
-    return typed(read_text(spark, path), "competitions")
+def load_competitions(spark: SparkSession, path: str, spanning: bool = False) -> DataFrame:
+    return typed(read_text(spark, path, spanning), "competitions")
