@@ -6,9 +6,9 @@ bigrams, the rarest first, each text needs only the first (size - c + k): two su
 least k of these, and they meet under a key of k bigrams together. Keys of three (two below a
 ratio of 0.8, one inside blocks) are rare in small tables even where single bigrams are not.
 A key that too many texts have is not joined but made longer, by each bigram that may come next
-in the order, until it is rare or neither text promises one more: what two texts share begins
-with the key and goes on with one of these. So the joined rows grow with the keys and not with
-the square of the names. Texts too short to promise k shared
+in the order, until it is rare, neither text promises one more, or the longer keys would join
+as much because the crowd's texts really are alike. What two texts share begins with the key and
+goes on with one of these. So a common key does not join all its names with each other. Texts too short to promise k shared
 bigrams meet all texts of feasible length under single bigrams; there are few of them.
 No pair at or above the ratio is missed.
 """
@@ -22,7 +22,7 @@ from ledgerloom.session import checkpointed
 
 START, END = "\u0002", "\u0003"
 #: A key is crowded if it would join more rows than this for each text that has it.
-CROWD = 4
+CROWD = 512
 
 
 def normal_text(text: Column) -> Column:
@@ -64,34 +64,45 @@ def _keys(grams: Column, together: int) -> Column:
 
 
 def _longer(rows: DataFrame, signed: DataFrame, block: list[str], size: int) -> DataFrame:
-    """Keys of one bigram more: each that may be the ``size``-th shared one, behind the key's last."""
+    """Keys of one bigram more: each that may be the ``size``-th shared one, behind the key's last; ``parent`` is the shorter key."""
     n = F.size("named")
     end = F.when(F.col("promised") >= size, n - F.col("promised") + size).otherwise(n)
     next_place = F.filter(F.sequence(F.lit(1), n), lambda i: (i > F.col("place")) & (i <= end))
     known = rows.join(signed.select(*block, "text", "named"), [*block, "text"])
     return known.withColumn("place", F.explode(next_place)).select(
-        *block, "text", "promised", "ours", F.xxhash64("key", F.element_at("named", F.col("place"))).alias("key"), "place")
+        *block, "text", "promised", "ours", F.col("key").alias("parent"), F.xxhash64("key", F.element_at("named", F.col("place"))).alias("key"), "place")
+
+
+def _met(rows: DataFrame, *key: str) -> DataFrame:
+    """Per key the texts of both sides, and the largest promise among them."""
+    return rows.groupBy(*key).agg(F.count_if("ours").alias("a"), F.count_if(~F.col("ours")).alias("b"), F.max("promised").alias("most"))
 
 
 def _rounds(ours: DataFrame, theirs: DataFrame, block: list[str], together: int):
-    """Per key length the rows (``text, key, ours``) that are joined; the crowded ones go on with longer keys."""
+    """Per key length the rows (``text, key, ours``) that are joined; crowded keys go on as longer ones where that pays.
+
+    It pays if the longer keys join less than half of what the key itself would join. Where a crowd's
+    texts really are alike it doesn't, and they are joined as they are.
+    """
     signed = ours.withColumn("ours", F.lit(True)).unionByName(theirs.withColumn("ours", F.lit(False)))
     rows = signed.select(*block, "text", "promised", "ours", F.inline(_keys(F.col("grams"), together)))
     named, size, key = ours.unionByName(theirs).dropDuplicates([*block, "text"]), together, [*block, "key"]
     while True:
-        a, b = F.count_if("ours"), F.count_if(~F.col("ours"))
-        crowded = rows.groupBy(*key).agg(
-            a.alias("a"), b.alias("b"), F.max("promised").alias("most")).filter((F.col("a") * F.col("b") > CROWD * (F.col("a") + F.col("b"))) & (F.col("most") > size))
-        crowded = checkpointed(crowded.select(*key), "crowded-keys")
+        crowded = _met(rows, *key).filter((F.col("a") * F.col("b") > CROWD * (F.col("a") + F.col("b"))) & (F.col("most") > size))
+        crowded = checkpointed(crowded.select(*key, (F.col("a") * F.col("b")).alias("joins")), "crowded-keys")
         if crowded.isEmpty():
             yield rows
             return
         yield rows.join(crowded, key, "left_anti")
-        held = checkpointed(rows.join(crowded, key, "left_semi"), "crowded-names")
+        held = checkpointed(rows.join(crowded.select(*key), key, "left_semi"), "crowded-names")
+        longer = checkpointed(_longer(held, named, block, size + 1), "longer-names")
+        below = _met(longer, *block, "parent", "key").groupBy(*block, F.col("parent").alias("key")).agg(F.sum(F.col("a") * F.col("b")).alias("below"))
+        paying = checkpointed(crowded.join(below, key, "left").filter(2 * F.coalesce("below", F.lit(0)) < F.col("joins")).select(*key), "paying-keys")
+        yield held.join(paying, key, "left_anti")
         # texts that promise no more meet here among themselves: their partners of more promise come under longer keys
-        yield held.filter(F.col("promised") <= size)
+        yield held.join(paying, key, "left_semi").filter(F.col("promised") <= size)
+        rows = longer.join(paying.withColumnRenamed("key", "parent"), [*block, "parent"], "left_semi").drop("parent")
         size += 1
-        rows = checkpointed(_longer(held, named, block, size), "longer-names")
 
 
 def _joined(rows: DataFrame, block: list[str]) -> DataFrame:
@@ -122,8 +133,10 @@ def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: flo
     feasible = F.least(m, n) * 2 >= (m + n) * F.lit(ratio) - F.lit(1e-6)
 
     def met(a: DataFrame, b: DataFrame, keys: Column) -> DataFrame:
-        rows = [side.select(*block, "text", F.explode(keys).alias("key"), F.lit(own).alias("ours")) for side, own in ((a, True), (b, False))]
-        return apart(_joined(rows[0].unionByName(rows[1]), block))
+        left = a.select(*block, F.col("text").alias("left"), F.explode(keys).alias("key"))
+        right = b.select(*block, F.col("text").alias("right"), F.explode(keys).alias("key"))
+        # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
+        return apart(left.join(right.hint("merge"), [*block, "key"]).select(*block, "left", "right"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         return pairs.filter(feasible & (F.col("left") != F.col("right")))
@@ -133,12 +146,12 @@ def _candidates(ours: DataFrame, theirs: DataFrame, block: list[str], ratio: flo
         longest = others.filter("short").agg(F.max(F.length("text")).alias("n")).scalar()
         return rows.filter(F.length("text") <= longest * F.lit((2 - ratio) / ratio) + 1)
 
+    if block:  # one bigram makes a key, which every text promises, and blocks are small
+        return met(ours, theirs, F.transform(_keys(F.col("grams"), 1), lambda k: k["key"])).distinct()
     pairs, single = None, F.col("single")
     for rows in _rounds(ours.filter("not short"), theirs.filter("not short"), block, _together(ratio, block)):
         found = apart(_joined(rows, block))
         pairs = found if pairs is None else pairs.unionByName(found)
-    if block:  # one bigram makes a key, which every text promises
-        return pairs.distinct()
     pairs = pairs.unionByName(met(ours.filter("short"), reachable(theirs, ours), single))
     return pairs.unionByName(met(reachable(ours, theirs), theirs.filter("short"), single)).distinct()
 
@@ -156,7 +169,10 @@ def similar_texts(left: DataFrame, right: DataFrame, ratio: float, block: list[s
         .select(F.explode(_bigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     )
     equal = a.join(b, [*block, "text"]).select(*block, F.col("text").alias("left"), F.col("text").alias("right"), F.lit(100.0).alias("score"))
-    near = _candidates(_signed(a, block, ratio, frequency), _signed(b, block, ratio, frequency), block, ratio)
+    signed = [_signed(side, block, ratio, frequency) for side in (a, b)]
+    if not block:  # the keys are counted before they are joined
+        signed = [checkpointed(side, "signed-names") for side in signed]
+    near = _candidates(*signed, block, ratio)
     # two texts may meet in many blocks, but are compared once
     scored = near.select("left", "right").distinct().withColumn("score", sorted_ratio("left", "right")) \
         .filter(F.col("score") >= 100 * ratio - 1e-9)
