@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tables import small_batches
-from ledgerloom.llm.words import LOWER, find_words, hash_slices, mix, take_slices, text_blocks
+from ledgerloom.llm.words import BLOCK_BYTES, LOWER, find_words, hash_slices, mix, take_slices, text_blocks
 
 LENGTH = 2048
 END_ID = 1
@@ -216,7 +216,7 @@ def _batch(pieces: list[tuple]) -> pa.RecordBatch:
 def _packed(path: str):
     def run(batches):
         stream = Stream(TaskContext.get().partitionId())
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES // 2):
             ids, bounds = encode_texts(path, block.data, block.offsets)
             end = np.array([END_ID], "<u4")
             documents = []

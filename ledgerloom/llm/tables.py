@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.session import checkpointed as stored  # noqa: F401  written under spark.checkpoint.dir and read again
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(rows: DataFrame) -> DataFrame:
