@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import constants as C
@@ -46,59 +48,96 @@ def _evidence() -> list[identity.Evidence]:
     return identity.match_evidence(F.col, lambda f: F.col(f"l_{f}"))
 
 
-def _variants(by_id: str, by_name: str) -> Column:
-    """How one club side may be compared: not at all, by id, by name."""
-    def entry(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+#: Fields that a row may lack, one bit each; ids are compared where both rows have one, else names where both have one.
+HELD = {"from_id": 1, "from_name": 2, "to_id": 4, "to_name": 8, "season": 16}
+ID, NAME = 1, 2
+CLUB_POINTS = {0: 0, ID: 35, NAME: 25}
+OTHER_POINTS = 15
+#: Least score of each wave of look-ups; a candidate that one wave finds a row for is not looked up by the next.
+WAVES = (1.0, 0.8, 0.5, 0.0)
+KEY = ["player_id", "code", "f", "t", "s", "b"]
 
-    options = F.array(
-        entry("-", F.lit("")),
-        F.when(F.col(by_id).isNotNull(), entry("id", F.col(by_id).cast("string"))),
-        F.when(F.col(by_name) != "", entry("name", F.col(by_name))),
-    )
-    return F.array_compact(options)
 
+def _held() -> Column:
+    has = {f: F.col(f).isNotNull() if f.endswith("_id") else F.coalesce(F.col(f) != "", F.lit(False)) for f in HELD}
+    return sum((F.when(has[f], bit).otherwise(0) for f, bit in HELD.items()), F.lit(0))
 
-def _agreement_keys(rows: DataFrame) -> DataFrame:
-    """Every set of fields a row could agree on: at most 3 x 3 x 2 x 2 keys."""
-    season = F.array_compact(F.array(F.lit(""), F.when(F.col("season") != "", F.col("season"))))
-    out = rows.withColumn("f", F.explode(_variants("from_id", "from_name")))
-    out = out.withColumn("t", F.explode(_variants("to_id", "to_name")))
-    out = out.withColumn("s", F.explode(season))
-    return out.withColumn("b", F.explode(F.array(F.lit(""), F.col("bucket"))))
 
+def agreements(mine: int, theirs: int) -> list[tuple]:
+    """What two rows that hold these fields may agree on: kind of each club side, season, bucket; and the score of that."""
+    both = mine & theirs
 
-def _by_agreement(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Best match per candidate without pairing rows, however many a player has.
+    def side(name: str) -> int:
+        return ID if both & HELD[f"{name}_id"] else NAME if both & HELD[f"{name}_name"] else 0
 
-    Ledger rows are summarised per (agreement key, which fields are present). A candidate
-    looks its own keys up; a hit scores at least what the key says, and the true best row
-    is found under the key of exactly the fields it agrees on.
-    """
-    has = {"fi": F.col("from_id").isNotNull(), "fn": F.coalesce(F.col("from_name") != "", F.lit(False)),
-           "ti": F.col("to_id").isNotNull(), "tn": F.coalesce(F.col("to_name") != "", F.lit(False)),
-           "se": F.coalesce(F.col("season") != "", F.lit(False))}
-    key = ["player_id", "f", "t", "s", "b"]
-    theirs = _agreement_keys(ledger.withColumns({f"l_{k}": v for k, v in has.items()})) \
-        .groupBy(*key, *[f"l_{k}" for k in has]).agg(F.min("ledger_id").alias("ledger_id"))
-    mine = _agreement_keys(candidates.withColumns({f"c_{k}": v for k, v in has.items()})) \
-        .select("candidate_id", *key, *[f"c_{k}" for k in has])
+    origin, target, season = side("from"), side("to"), int(bool(both & HELD["season"]))
+    available = CLUB_POINTS[origin] + CLUB_POINTS[target] + OTHER_POINTS * (season + 1)
+    return [(f, t, s, b, (CLUB_POINTS[f] + CLUB_POINTS[t] + OTHER_POINTS * (s + b)) / available)
+            for f, t, s, b in product({0, origin}, {0, target}, {0, season}, (0, 1))]
+
+
+def _code(theirs: int, f: int, t: int, s: int, b: int) -> int:
+    return (((theirs * 3 + f) * 3 + t) * 2 + s) * 2 + b
+
+
+def _keyed(rows: DataFrame, shapes: list[tuple], *more: str) -> DataFrame:
+    """A row for each shape of its kind (``held``), with the values that the shape compares. At most 32 x 32 x 16 shapes are sent."""
+    names = [*more, "held", "code", "f_kind", "t_kind", "s_kind", "b_kind"]
+    kinds = [f"{n} {'double' if n == 'score' else 'int'}" for n in names]
+    sent = F.broadcast(rows.sparkSession.createDataFrame(shapes, ", ".join(kinds)))
+
+    def club(kind: str, by_id: str, by_name: str) -> Column:
+        return F.when(F.col(kind) == ID, F.col(by_id).cast("string")).when(F.col(kind) == NAME, F.col(by_name)).otherwise("")
+
+    return rows.join(sent, "held").withColumns({
+        "f": club("f_kind", "from_id", "from_name"), "t": club("t_kind", "to_id", "to_name"),
+        "s": F.when(F.col("s_kind") == 1, F.col("season")).otherwise(""), "b": F.when(F.col("b_kind") == 1, F.col("bucket")).otherwise(""),
+    })
+
+
+def look_ups(candidates: DataFrame, plan: list[tuple]) -> DataFrame:
+    """The keys that one wave looks up: one row for each candidate, kind of ledger row and set of fields to agree on."""
+    shapes = [(score, mine, _code(theirs, *kinds), *kinds) for mine, theirs, *kinds, score in plan]
+    return _keyed(candidates, shapes, "score").select("candidate_id", "score", *KEY)
+
+
+def _wave(candidates: DataFrame, ledger: DataFrame, plan: list[tuple]) -> DataFrame:
+    wanted = sorted({(theirs, _code(theirs, *kinds), *kinds) for _, theirs, *kinds, _ in plan})
+    theirs = _keyed(ledger, wanted).groupBy(*KEY).agg(F.min("ledger_id").alias("ledger_id"))
     # merged: exploded keys are far more than the planner expects of their table, too many to broadcast
-    hits = mine.join(theirs.hint("merge"), key)
+    return look_ups(candidates, plan).join(theirs.hint("merge"), KEY).select("candidate_id", "ledger_id", "score")
+
 
-    def side(kind: Column, i: str, n: str) -> tuple[Column, Column, Column]:
-        ids = F.col(f"c_{i}") & F.col(f"l_{i}")
-        names = F.col(f"c_{n}") & F.col(f"l_{n}")
-        usable = (kind == "-") | ((kind == "id") & ids) | ((kind == "name") & ~ids)
-        available = F.when(ids, 35).when(names, 25).otherwise(0)
-        return usable, available, F.when(kind == "id", 35).when(kind == "name", 25).otherwise(0)
+def wave_plans(candidates: DataFrame, ledger: DataFrame) -> list[list[tuple]]:
+    """For each wave its look-ups: kind of candidate, kind of ledger row, fields to agree on, score. There are 32 kinds at most."""
+    mine, theirs = ([r.held for r in rows.select("held").distinct().collect()] for rows in (candidates, ledger))
+    every = [(m, k, *a) for m in sorted(mine) for k in sorted(theirs) for a in agreements(m, k)]
+    highest = [float("inf"), *WAVES]
+    return [[x for x in every if low <= x[-1] < high] for low, high in zip(WAVES, highest, strict=False)]
 
-    from_ok, from_available, from_earned = side(F.col("f.kind"), "fi", "fn")
-    to_ok, to_available, to_earned = side(F.col("t.kind"), "ti", "tn")
-    season_available = F.when(F.col("c_se") & F.col("l_se"), 15).otherwise(0)
-    rest = F.when(F.col("s") != "", 15).otherwise(0) + F.when(F.col("b") != "", 15).otherwise(0)
-    score = (from_earned + to_earned + rest) / (from_available + to_available + season_available + F.lit(15))
-    return _best(hits.filter(from_ok & to_ok).select("candidate_id", "ledger_id", score.alias("score")))
+
+def _by_waves(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Best match per candidate without pairing rows, however many a player has.
+
+    Which fields two rows can be compared on follows from the fields they hold, so a set of agreeing fields has one
+    score. A wave looks up all sets of its scores. A hit scores at least what its set says, and a row that agrees on more
+    would have been met by the same wave or an earlier one: the best hit of the first wave with any is the best match.
+    """
+    total = candidates.agg(F.count(F.lit(1))).first()[0]
+    found, left, hits = None, candidates, 0
+    for number, plan in enumerate(wave_plans(candidates, ledger)):
+        met = _wave(left, ledger, plan)
+        if number == 0:
+            met = met.unionByName(_by_source(candidates, ledger))
+        best = checkpointed(_best(met), "matches")
+        hits += best.agg(F.count(F.lit(1))).first()[0]
+        found = best if found is None else found.unionByName(best)
+        if hits == total or number == len(WAVES) - 1:
+            break
+        left = checkpointed(candidates.join(found, "candidate_id", "left_anti"), "unmatched")
+        # written, so that a player with a large share of the rows is split among tasks
+        ledger = checkpointed(ledger.join(left.select("player_id").distinct(), "player_id", "left_semi"), "fingerprints")
+    return found
 
 
 def _by_source(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -110,16 +149,16 @@ def _by_source(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
 def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per candidate the best match score (3 places), its reasons and the ledger row."""
     # both are read several times below, so they are written to the shared folder first
-    prints = checkpointed(_collapsed(ledger), "fingerprints")
-    cands = checkpointed(fingerprints(candidates, derive_season=True), "candidates")
-    best = _best(_by_agreement(cands, prints).select("candidate_id", "ledger_id", "score").unionByName(_by_source(cands, prints)))
+    prints = checkpointed(_collapsed(ledger).withColumn("held", _held()), "fingerprints")
+    cands = checkpointed(fingerprints(candidates, derive_season=True).withColumn("held", _held()), "candidates")
+    best = _by_waves(cands, prints)
     # reasons are worked out once per candidate, for the winning row only
     joined = cands.join(best, "candidate_id", "left").join(_prefixed(prints, "ledger_id"), "ledger_id", "left")
     reasons = F.when(identity.same_source(F.col("source_id"), F.col("l_source_id")), F.array(F.lit(identity.SAME_SOURCE))) \
         .when(F.col("score") > 0, identity.reasons_of(_evidence())).otherwise(F.array().cast("array<string>"))
     return joined.withColumns({
         "best_score": F.round(F.coalesce("score", F.lit(0.0)), 3), "best_reasons": reasons,
-    }).drop("score", *[f"l_{f}" for f in FIELDS])
+    }).drop("score", "held", *[f"l_{f}" for f in FIELDS])
 
 
 def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None) -> DataFrame:

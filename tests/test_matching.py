@@ -55,6 +55,35 @@ def test_one_player_with_a_third_of_the_rows(spark):
     assert got == compared(cands, heavy)
 
 
+def test_waves_look_up_few_keys(spark):
+    """Most candidates are found by the first wave, which looks up one key for each kind of ledger row."""
+    rng = random.Random(11)
+    moves = [(i, None, rng.randrange(40), rng.randrange(1, 30), rng.randrange(1, 30), "FC A", "b", date(2001, 5, 5), "2000-2001", 2e5)
+             for i in range(400)]
+    ledger = spark.createDataFrame(moves, "transfer_id long, source_id string, " + SCHEMA)
+    cands = ledger.withColumnRenamed("transfer_id", "candidate_id").withColumn(
+        "transfer_fee", F.when(F.col("candidate_id") % 5 == 0, 9e7).otherwise(F.col("transfer_fee")))
+    cands = cands.withColumn("to_club_id", F.when(F.col("candidate_id") % 50 == 0, 77).otherwise(F.col("to_club_id")).cast("long"))
+    got = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in matching.best_match(cands, ledger).collect()}
+    assert got == compared(cands, ledger)
+    prints = matching._collapsed(ledger).withColumn("held", matching._held())
+    left = matching.fingerprints(cands, derive_season=True).withColumn("held", matching._held())
+    asked = 0
+    for plan in matching.wave_plans(left, prints):
+        asked += matching.look_ups(left, plan).count()
+        left = left.join(matching._wave(left, prints, plan), "candidate_id", "left_anti")
+    assert asked < 6 * len(moves)
+
+
+def test_agreements_score_as_the_evidence_does():
+    full = sum(matching.HELD.values())
+    scores = {tuple(kinds): score for *kinds, score in matching.agreements(full, full)}
+    assert scores[1, 1, 1, 1] == 1.0 and scores[1, 1, 0, 1] == 0.85 and scores[0, 0, 0, 0] == 0.0 and len(scores) == 16
+    names = {tuple(kinds): score for *kinds, score in matching.agreements(full, full & ~5)}
+    assert names[2, 2, 1, 0] == 65 / 80 and (1, 1, 1, 1) not in names
+    assert matching.agreements(0, full) == [(0, 0, 0, 0, 0.0), (0, 0, 0, 1, 1.0)]
+
+
 def test_same_source_id_is_the_same_transfer(spark):
     stored = one(spark, source_id="77").withColumnRenamed("candidate_id", "transfer_id")
     other = one(spark, candidate_id=5, source_id="77", from_club_id=9, to_club_id=8, from_club_name="X", to_club_name="Y",
