@@ -1,13 +1,14 @@
-"""String similarity that Spark has no built-in for, as Arrow-batched UDFs."""
+"""String similarity that Spark has no built-in for, as Arrow-batched UDFs, and accent folding by built-ins."""
 
 from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -29,13 +30,26 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _lcs(a, b) / total
 
 
-@F.pandas_udf(StringType())
-def fold_accents(text: pd.Series) -> pd.Series:
-    """NFKD, then ASCII only."""
-    return text.map(
-        lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii"),
-        na_action="ignore",
-    )
+@cache
+def folding_table() -> dict[str, str]:
+    """What NFKD and leaving out all but ASCII make of each character that they don't drop. No character depends on its neighbours:
+    NFKD reorders marks only, and those are not ASCII."""
+    every = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    folded = ((c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")) for c in every)
+    return {c: text for c, text in folded if text}
+
+
+def fold_accents(text):
+    """NFKD, then ASCII only (plain built-ins): long expansions are looked up, single characters translated, the rest is dropped."""
+    single = {c: t for c, t in folding_table().items() if len(t) == 1}
+    longer = {c: t for c, t in folding_table().items() if len(t) > 1}
+    one = f"[{''.join(longer)}]"
+    expansions = F.str_to_map(F.lit("\x02".join(f"{c}\x01{t}" for c, t in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    pieces = F.split(text, f"(?<={one})|(?={one})")
+    spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.when(F.length(p) == 1, F.try_element_at(expansions, p)), p)), "")
+    spelled = F.when(text.rlike(one), spelled).otherwise(text)
+    plain = F.regexp_replace(F.translate(spelled, "".join(single), "".join(single.values())), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 @F.pandas_udf(DoubleType())

@@ -6,13 +6,23 @@
   (key, day) first, so a key never holds more rows than there are calendar days.
 * ``exact_medians``: a mergeable sketch brackets each median, then only the few values
   inside the bracket are counted and ranked.
+* ``select_ranks``: values of given ranks by repeated selection, for brackets that miss the
+  median or hold too many values for one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.session import checkpointed, drop_table
+
 HOT_ROWS = 1_000_000
+#: Values of a bracket that one task ranks at most; a larger bracket is narrowed first.
+MAX_RANKED = 1_000_000
+#: Parts into which a pass of ``select_ranks`` cuts what is left of a group.
+GRID = 1_000
 MAX_HOT_KEYS = 100_000
 
 
@@ -96,13 +106,63 @@ def asof_by_day(probes: DataFrame, points: DataFrame, keys: list[str], probe_day
     return probes.join(found, [*keys, probe_day], "left")
 
 
+def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str], max_ranked: int = MAX_RANKED, accuracy: int = 10_000) -> DataFrame:
+    """``keys, k, value``: the ``k``-th smallest ``v`` (1-based, not above the number of values) of each key, exactly.
+
+    Each pass cuts what is left of a group by a sketch's quantiles, counts below and inside the part that should hold
+    the rank, and keeps that part, or what lies below or above it if the sketch was wrong. A part leaves out at least
+    one value that the group had, so this ends; with a sketch's error of 1 / ``accuracy`` a pass leaves about a
+    three-hundredth. Parts of at most ``max_ranked`` values are ranked.
+    """
+    columns = [*keys, "k", "skipped", "lo", "hi", "inside"]
+    left = checkpointed(targets.select(*keys, F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("skipped"), F.lit(None).cast("double").alias("lo"),
+                                       F.lit(None).cast("double").alias("hi"), F.lit(None).cast("long").alias("inside")), "ranks")
+    rows = values.select(*keys, F.col("v").cast("double").alias("v")).filter("v is not null")
+    within = ((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
+    small, done = [], []
+    while not left.isEmpty():
+        grid = F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], accuracy).alias("grid")
+        cut = rows.join(left, keys).filter(within).groupBy(*columns).agg(grid, F.count(F.lit(1)).alias("n"))
+        part = (F.col("k") - F.col("skipped")) / F.col("n") * GRID
+        cut = cut.withColumns({"a": F.element_at("grid", F.greatest(F.floor(part), F.lit(1)).cast("int")),
+                               "b": F.element_at("grid", F.least(F.ceil(part) + 2, F.lit(GRID + 1)).cast("int"))}).drop("grid", "n")
+        v, a, b = F.col("v"), F.col("a"), F.col("b")
+        counted = rows.join(cut, keys).filter(within).groupBy(*columns, "a", "b").agg(
+            F.count_if(v < a).alias("below"), F.count_if(v <= b).alias("upto"), F.count(F.lit(1)).alias("n"),
+            F.min("v").alias("least"), F.max("v").alias("most"), F.max(F.when(v < a, v)).alias("before"), F.min(F.when(v > b, v)).alias("after"))
+        rank = F.col("k") - F.col("skipped")
+        under, over = rank <= F.col("below"), rank > F.col("upto")
+        narrowed = counted.select(
+            *keys, "k", (F.col("skipped") + F.when(under, 0).when(over, F.col("upto")).otherwise(F.col("below"))).alias("skipped"),
+            F.when(under, F.col("least")).when(over, F.col("after")).otherwise(a).alias("lo"),
+            F.when(under, F.col("before")).when(over, F.col("most")).otherwise(b).alias("hi"),
+            F.when(under, F.col("below")).when(over, F.col("n") - F.col("upto")).otherwise(F.col("upto") - F.col("below")).alias("inside"))
+        narrowed = checkpointed(narrowed, "ranks")
+        drop_table(left)
+        one = F.col("lo") == F.col("hi")
+        done.append(narrowed.filter(one).select(*keys, "k", F.col("lo").alias("value")))
+        small.append(narrowed.filter(~one & (F.col("inside") <= max_ranked)))
+        left = checkpointed(narrowed.filter(~one & (F.col("inside") > max_ranked)), "ranks")
+    if not small:
+        return left.select(*keys, "k", F.col("lo").alias("value"))
+    parts = reduce(DataFrame.unionByName, small)
+    counted = rows.join(parts, keys).filter(within).groupBy(*columns, "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*keys, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.col("skipped") + F.sum("n").over(upto)).filter("upto >= k").groupBy(*keys, "k").agg(F.min("v").alias("value"))
+    return reduce(DataFrame.unionByName, [ranked, *done])
+
+
 def exact_medians(df: DataFrame, keys: list[str], metrics: dict[str, Column], totals: list[Column] = (),
-                  margin: float = 0.0005, accuracy: int = 10_000) -> DataFrame:
+                  margin: float = 0.0005, accuracy: int = 10_000, max_ranked: int = MAX_RANKED) -> DataFrame:
     """Exact medians (NULLs ignored, middle two averaged) and ``totals`` per ``keys``.
 
     The sketch has rank error 1/accuracy, a fifth of ``margin``, and is exact on small groups,
-    so only a thousandth of a group is ranked. A bracket that misses raises instead of guessing.
+    so only a thousandth of a group is ranked. Groups whose bracket misses, or would hold more than
+    ``max_ranked`` values, go to ``select_ranks``. The result is stored, to learn whether there are any.
     """
+    def _wide(total: Column) -> Column:
+        return total * (2 * margin) > max_ranked
+
     names = list(metrics)
     rows = df.withColumns({f"_v_{m}": metrics[m] for m in names})
     sketches = []
@@ -120,7 +180,7 @@ def exact_medians(df: DataFrame, keys: list[str], metrics: dict[str, Column], to
     long = rows.select(*keys, *[f"_v_{m}" for m in names]).join(bounds, keys).select(*keys, F.inline(entries))
     # values below the bracket collapse into one NULL row, values above it are not needed
     counted = (
-        long.filter("v <= hi")
+        long.filter((F.col("v") <= F.col("hi")) & ~_wide(F.col("total")))
         .select(*keys, "metric", "total", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .groupBy(*keys, "metric", "v").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
     )
@@ -138,14 +198,21 @@ def exact_medians(df: DataFrame, keys: list[str], metrics: dict[str, Column], to
         ]
     middle = ranked.groupBy(*keys).agg(*picks)
     out = base.join(middle, keys, "left")
-    medians = {}
+    medians, open_ranks = {}, []
     for m in names:
         n = F.col(f"_n_{m}")
-        missed = (n > 0) & (F.col(f"_high_{m}").isNull()
+        missed = (n > 0) & (_wide(n) | F.col(f"_high_{m}").isNull()
                             | (F.coalesce(f"_below_{m}", F.lit(0)) >= F.floor((n + 1) / 2)))
-        value = (F.col(f"_low_{m}") + F.col(f"_high_{m}")) / 2
-        medians[m] = F.when(missed, F.raise_error(F.lit(f"median bracket missed: {m}")).cast("double")).otherwise(value)
-    return out.withColumns(medians).drop(
-        *[f"{p}{m}" for m in names for p in ("_n_", "_b_", "_below_", "_low_", "_high_")]
-    )
-
+        medians[m] = F.when(~missed, (F.col(f"_low_{m}") + F.col(f"_high_{m}")) / 2)
+        halves = F.array_distinct(F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2)))
+        open_ranks.append(F.struct(F.lit(m).alias("metric"), F.when(missed, halves).alias("ranks")))
+    out = checkpointed(out.withColumns({**medians, "_open": F.filter(F.array(*open_ranks), lambda x: x["ranks"].isNotNull())}).drop(
+        *[f"{p}{m}" for m in names for p in ("_n_", "_b_", "_below_", "_low_", "_high_")]), "medians")
+    again = out.filter(F.size("_open") > 0)
+    if again.isEmpty():
+        return out.drop("_open")
+    targets = again.select(*keys, F.inline("_open")).select(*keys, "metric", F.explode("ranks").alias("k"))
+    values = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_v_{m}").cast("double").alias("v")) for m in names])))
+    picked = select_ranks(values, targets, [*keys, "metric"], max_ranked)
+    late = picked.groupBy(*keys).agg(*[F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(f"_late_{m}") for m in names])
+    return out.join(late, keys, "left").withColumns({m: F.coalesce(m, f"_late_{m}") for m in names}).drop("_open", *[f"_late_{m}" for m in names])

@@ -1,8 +1,11 @@
 import random
+import unicodedata
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from ledgerloom.functions import similarity
 from ledgerloom.functions.similarity import indel_ratio
 from ledgerloom.operators import fuzzy
 
@@ -118,3 +121,13 @@ def test_crowded_keys_inside_blocks(spark, monkeypatch):
     got = fuzzy.similar_texts(spark.createDataFrame(left, "text string, club int"), spark.createDataFrame(right, "text string, club int"), 0.7, ["club"])
     want = [(c, a, b) for a, c in left for b, d in right if c == d and naive(a, b) >= 70 - 1e-9]
     assert rows(got, "club", "left", "right") == sorted(want, key=str)
+
+
+def test_folding_equals_nfkd_for_all_code_points(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k:k + 997]) for k in range(0, len(every), 997)] + ["", "plain", None, "\ufdfa\ufb03\u00bd x", "\ufb03", "e\u0301a\u0323\u0302"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    folded = df.select("i", similarity.fold_accents(F.col("t")).alias("f"))
+    want = {i: t if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii") for i, t in enumerate(texts)}
+    assert {r.i: r.f for r in folded.collect()} == want
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
-from ledgerloom.operators.skew import asof_by_day, chain, exact_medians, hot_keys
+from ledgerloom.operators.skew import asof_by_day, chain, exact_medians, hot_keys, select_ranks
 
 START = date(2000, 1, 1)
 
@@ -58,6 +58,26 @@ def test_medians_of_a_large_group(spark):
     assert got == df.agg(F.expr("median(v)")).first()[0]
 
 
+def test_medians_whose_bracket_misses(spark):
+    """A sketch that is exact for few values only and a bracket without width: the ranks are selected again."""
+    rng = random.Random(8)
+    data = [(g, rng.gauss(0, 100)) for g, n in ((1, 4001), (2, 4000), (3, 7)) for _ in range(n)] + [(4, 5.0)] * 50 + [(5, None)]
+    df = spark.createDataFrame(data, "g long, v double")
+    want = {g: statistics.median(v) if v else None for g in range(1, 6) for v in [[v for k, v in data if k == g and v is not None]]}
+    for limits in ({"margin": 0.0, "accuracy": 3}, {"max_ranked": 2}):
+        assert {r.g: r.m for r in exact_medians(df, ["g"], {"m": F.col("v")}, **limits).collect()} == want
+
+
+def test_ranks_by_repeated_selection(spark):
+    rng = random.Random(9)
+    data = [(1, float(rng.randrange(300))) for _ in range(3000)] + [(2, 1.0), (2, 2.0)]
+    df = spark.createDataFrame(data, "g long, v double")
+    targets = spark.createDataFrame([(1, 1), (1, 77), (1, 3000), (2, 2)], "g long, k long")
+    for accuracy in (10_000, 4):
+        got = {(r.g, r.k): r.value for r in select_ranks(df, targets, ["g"], max_ranked=50, accuracy=accuracy).collect()}
+        assert got == {(g, k): sorted(v for o, v in data if o == g)[k - 1] for g, k in ((1, 1), (1, 77), (1, 3000), (2, 2))}
+
+
 def test_hot_keys_are_few(spark):
     df = ledger(spark)
     assert hot_keys(df, ["player_id"], 10).count() >= 1
