@@ -16,7 +16,8 @@ filter over difference elements, the rarest first, with size and position bounds
 left out, and the pairs inside a group are never listed.
 
 Null, empty and blank texts have an empty set and no links. Repeated rows of one id count as one document when their text is the
-same (the smallest text wins otherwise). An empty table gives an empty result. Other columns are ignored.
+same (otherwise the set with fewest shingles counts, of these the one with the smallest sum of hashes). Rows without an id have
+nothing to be named by: they come back one by one, with their set's size, without a component and kept. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,8 +181,11 @@ def _cross_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document; see the module's text."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, sum_hash long, xor_hash long, registers binary"), "sketches")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = "doc_id long, n_shingles long, sum_hash long, xor_hash long, registers binary"
+    nameless = docs.where("doc_id is null").mapInArrow(_sketch, sketched)
+    docs = docs.where("doc_id is not null")
+    sketches = stored(docs.mapInArrow(_sketch, sketched), "sketches")
     key = ["n_shingles", "sum_hash", "xor_hash"]
     single = sketches.groupBy("doc_id").agg(F.min(F.struct(*key, "registers")).alias("s")).select("doc_id", "s.*")
     classes = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
@@ -199,4 +203,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _verified(cross.where("likely"), docs, "cross").where("linked").select("a", "b")
     final = components(links.unionAll(more))
     out = members.join(final, members.rep == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

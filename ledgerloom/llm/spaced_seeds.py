@@ -13,8 +13,8 @@ get the seeds of these kinds and lengths only if the benchmark has such items.
 The benchmark's seeds, its items and the ids of documents with hits are sent to every task up to ``SENT_SEEDS``, ``SENT_SEEDS`` and
 ``SENT_IDS`` of them; more are joined by a shuffle, with the same result.
 
-Null and empty texts and items have no seeds and match nothing. Repeated rows of an id count together.
-Empty tables give no matches. Other columns are ignored.
+Null and empty texts and items have no seeds and match nothing. Repeated rows of an id count together. Rows without an id are documents
+of their own, one for each different text, and come back without an id. Empty tables give no matches. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,12 +74,21 @@ def _sent(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _name() -> Column:
+    """What hits are gathered by: the id, or a hash of the text of a row without one."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
 def seed_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, equal``: verified overlaps, ``equal`` the most equal words around a hit."""
+    """``doc_id, item_id, equal``: verified overlaps, ``equal`` the most equal words around a hit. Rows without an id have a hash as theirs."""
     items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0)
     whole = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") <= SPAN).distinct().collect())
     seeds = _item_seeds(items, whole)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _documents(docs).select(_name().alias("doc_id"), "text")
     texts = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     hits = _seeds(texts, "words", whole, "doc_id").join(_sent(seeds, SENT_SEEDS), "seed").select("doc_id", "item_id", "at", "item_at")
     # one row for each way an item lies in a document; it has at most as many hits as the item has words
@@ -106,7 +115,10 @@ def seed_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_items, most_equal, contaminated`` for every document."""
     hit = seed_matches(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("equal").alias("most_equal"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return every.join(hit, "doc_id", "left").select(
+    docs = _documents(docs)
+    # two scans: that of the ids needs no texts
+    every = docs.where("doc_id is not null").select("doc_id", F.col("doc_id").alias("name")).distinct().unionByName(
+        docs.where("doc_id is null").select("doc_id", _name().alias("name")).distinct())
+    return every.join(hit.withColumnRenamed("doc_id", "name"), "name", "left").select(
         "doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("most_equal", F.lit(0)).alias("most_equal"),
         F.col("n_items").isNotNull().alias("contaminated"))

@@ -106,3 +106,12 @@ def test_components_of_a_path_and_a_star(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}}
     assert len(got) == 81
+
+
+def test_rows_without_an_id_come_back_kept(spark):
+    rows = made_docs(20, 3)
+    nameless = [(None, rows[0][1], "en", "x", None), (None, rows[0][1], "en", "x", None), (None, None, "en", "x", None)]
+    got = [tuple(r) for r in H.near_duplicates(frame(spark, rows + nameless, clash=True)).collect()]
+    size = len(shingles(rows[0][1]))
+    assert sorted((r for r in got if r[0] is None), key=lambda r: r[1]) == [(None, 0, None, True), (None, size, None, True), (None, size, None, True)]
+    assert {r[0]: r[1:3] for r in got if r[0] is not None} == brute(rows)

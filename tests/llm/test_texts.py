@@ -150,6 +150,15 @@ def test_short_items_are_found(spark, sent, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, own in want.items() for i in own}
 
 
+def test_decontamination_of_rows_without_ids(spark):
+    """A row without an id is judged by its own text, whatever other rows without an id say."""
+    item = "which of the following rivers flows through the largest number of countries in all of europe today"
+    docs = [(None, f"before it {item} after it", "en", "x", None), (None, "a clean text of some words that nobody asks about", "en", "x", None),
+            (None, None, "en", "x", None), (3, "another clean text", "en", "x", None)]
+    got = D.decontaminate(frame(spark, docs, clash=True), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_items, r.contaminated) for r in got) == [("3", 0, False), ("None", 0, False), ("None", 0, False), ("None", 1, True)]
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(frame(spark, []), bench).collect() == []
