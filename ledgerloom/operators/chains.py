@@ -115,12 +115,17 @@ def silent_gaps(transfers: DataFrame, players: DataFrame, clubs: DataFrame, min_
     )
 
 
-def missing_first_origin(transfers: DataFrame) -> DataFrame:
-    """How many rows on a player's first date have no origin."""
+def first_day_gaps(transfers: DataFrame) -> DataFrame:
+    """Per player how many rows on the first date have no origin, as ``missing``."""
     daily = transfers.filter(F.col("transfer_date").isNotNull()).groupBy("player_id", "transfer_date").agg(
         F.count_if(F.col("from_club_id").isNull()).alias("lost"))
-    first = daily.groupBy("player_id").agg(F.min(F.struct("transfer_date", "lost")).alias("first"))
-    return first.agg(F.coalesce(F.sum("first.lost"), F.lit(0)).alias("missing"))
+    return daily.groupBy("player_id").agg(F.min(F.struct("transfer_date", "lost")).alias("first")).select(
+        "player_id", F.col("first.lost").alias("missing"))
+
+
+def missing_first_origin(transfers: DataFrame) -> DataFrame:
+    """How many rows on a player's first date have no origin."""
+    return first_day_gaps(transfers).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))
 
 
 def with_loans(transfers: DataFrame, max_days: int = 730) -> DataFrame:

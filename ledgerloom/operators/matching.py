@@ -55,6 +55,8 @@ CLUB_POINTS = {0: 0, ID: 35, NAME: 25}
 OTHER_POINTS = 15
 #: Least score of each wave of look-ups; a candidate that one wave finds a row for is not looked up by the next.
 WAVES = (1.0, 0.8, 0.5, 0.0)
+#: Up to this many candidates one wave looks up all scores: a wave is four jobs, which cost more than so few look-ups.
+FEW = 50_000
 KEY = ["player_id", "code", "f", "t", "s", "b"]
 
 
@@ -108,12 +110,12 @@ def _wave(candidates: DataFrame, ledger: DataFrame, plan: list[tuple]) -> DataFr
     return look_ups(candidates, plan).join(theirs.hint("merge"), KEY).select("candidate_id", "ledger_id", "score")
 
 
-def wave_plans(candidates: DataFrame, ledger: DataFrame) -> list[list[tuple]]:
+def wave_plans(candidates: DataFrame, ledger: DataFrame, waves: tuple[float, ...] = WAVES) -> list[list[tuple]]:
     """For each wave its look-ups: kind of candidate, kind of ledger row, fields to agree on, score. There are 32 kinds at most."""
     mine, theirs = ([r.held for r in rows.select("held").distinct().collect()] for rows in (candidates, ledger))
     every = [(m, k, *a) for m in sorted(mine) for k in sorted(theirs) for a in agreements(m, k)]
-    highest = [float("inf"), *WAVES]
-    return [[x for x in every if low <= x[-1] < high] for low, high in zip(WAVES, highest, strict=False)]
+    highest = [float("inf"), *waves]
+    return [[x for x in every if low <= x[-1] < high] for low, high in zip(waves, highest, strict=False)]
 
 
 def _by_waves(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -124,15 +126,18 @@ def _by_waves(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     would have been met by the same wave or an earlier one: the best hit of the first wave with any is the best match.
     """
     total = candidates.agg(F.count(F.lit(1))).first()[0]
+    waves = WAVES
+    if total <= FEW:
+        waves, ledger = WAVES[-1:], ledger.join(candidates.select("player_id").distinct(), "player_id", "left_semi")
     found, left, hits = None, candidates, 0
-    for number, plan in enumerate(wave_plans(candidates, ledger)):
+    for number, plan in enumerate(wave_plans(candidates, ledger, waves)):
         met = _wave(left, ledger, plan)
         if number == 0:
             met = met.unionByName(_by_source(candidates, ledger))
         best = checkpointed(_best(met), "matches")
         hits += best.agg(F.count(F.lit(1))).first()[0]
         found = best if found is None else found.unionByName(best)
-        if hits == total or number == len(WAVES) - 1:
+        if hits == total or number == len(waves) - 1:
             break
         left = checkpointed(candidates.join(found, "candidate_id", "left_anti"), "unmatched")
         # written, so that a player with a large share of the rows is split among tasks

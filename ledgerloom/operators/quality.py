@@ -150,6 +150,38 @@ def health(counts: DataFrame) -> DataFrame:
         "graph_health_score", F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3))
 
 
+#: What ``player_state`` counts, and the total of the health score that each sum over players gives.
+STATE = {"edges": "total_edges", "orphans": "orphan_players", "violations": "timeline_violations", "broken": "disconnected_segments",
+         "duplicates": "duplicate_edges", "missing": "missing_continuity", "unpaired": "unpaired"}
+
+
+def player_state(transfers: DataFrame, clubs: DataFrame, min_fee: float = 100_000) -> DataFrame:
+    """Per player (NULL is one) what the health score and the repair loop count.
+
+    Every count depends on the rows of one player only, and all totals are sums over players. So when some players get
+    rows, the totals change by their new state less their old one, and no other player's rows are read.
+    """
+    one = F.lit(1)
+    origins = _known(transfers.select("player_id", "from_club_id"), "from_club_id", clubs.select("club_id").distinct(), "club_id")
+    lost = F.col("player_id").isNotNull() & F.col("from_club_id").isNotNull() & ~F.col("_known")
+    parts = [
+        origins.groupBy("player_id").agg(F.count(one).alias("edges"), F.max(F.when(lost, 1).otherwise(0)).alias("orphans")),
+        chains.sold_before_bought_players(transfers).select("player_id", one.alias("violations")),
+        chains.lag_breaks(transfers).select("player_id", one.alias("broken")),
+        duplicate_transfers(transfers).select("player_id", one.alias("duplicates")),
+        chains.first_day_gaps(transfers),
+        chains.unpaired_sales(transfers, clubs, min_fee).select("player_id", one.alias("unpaired")),
+    ]
+    same = [part.select("player_id", *[(F.col(c) if c in part.columns else F.lit(0)).cast("long").alias(c) for c in STATE]) for part in parts]
+    return reduce(DataFrame.unionByName, same).groupBy("player_id").agg(*[F.sum(c).alias(c) for c in STATE])
+
+
+def state_totals(state: DataFrame) -> dict[str, int]:
+    """Sums over players, under the names of the health score's totals."""
+    row = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in STATE.items()]).first()
+    return row.asDict()
+
+
 def health_report(transfers: DataFrame, players: DataFrame, clubs: DataFrame) -> DataFrame:
     return health(one_row(graph_counts(transfers, players, clubs)))
 

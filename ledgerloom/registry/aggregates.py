@@ -254,21 +254,6 @@ def _(t):
     return quality.health_report(t.transfers, t.players, t.clubs)
 
 
-@query("agg_convergence", """
-    SELECT (SELECT count(*) FROM unpaired) AS unpaired, graph_health_score,
-           CASE WHEN (SELECT count(DISTINCT player_id) FROM unpaired) = 0 THEN 'zero_candidates'
-                WHEN (SELECT count(*) FROM unpaired) <= 10 AND graph_health_score >= 0.95 THEN 'triple_signal_convergence'
-                ELSE 'open' END AS status FROM health""")
-def _(t):
-    unpaired = chains.unpaired_sales(t.transfers, t.clubs)
-    parts = quality.graph_counts(t.transfers, t.players, t.clubs)
-    parts["unpaired"] = unpaired.agg(F.count(F.lit(1)).alias("value"))
-    parts["candidates"] = unpaired.agg(F.count_distinct("player_id").alias("value"))
-    row = quality.health(metrics.one_row(parts))
-    status = quality.convergence(F.col("unpaired"), F.lit(0), F.lit(0), F.col("graph_health_score"), F.col("candidates"))
-    return row.select(F.col("unpaired").cast("bigint").alias("unpaired"), "graph_health_score", status.alias("status"))
-
-
 @query("agg_orphan_clubs", "SELECT cid, name, total_cnt FROM orphans")
 def _(t):
     return quality.orphan_clubs(t.transfers, t.clubs)

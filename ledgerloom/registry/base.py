@@ -480,6 +480,65 @@ BLOCKS = {
 }
 
 
+#: Rounds of the repair loop that the blocks spell out.
+ROUNDS = 3
+PER_LEDGER = ("unpaired", "lagged", "breaks", "impossible", "dup_transfers", "missing_first", "graph_totals", "health")
+PER_OFFER = ("matches0", "matches", "best", "graded", "scored")
+
+
+def of_round(block: str, number: int, sources: dict[str, str]) -> str:
+    """A block over the ledger and offers of a round of the repair loop."""
+    names = {**{name: f"{name}_{number}" for name in (*PER_LEDGER, *PER_OFFER)}, **sources}
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m.group()], BLOCKS[block])
+
+
+def repair_blocks() -> dict[str, str]:
+    """The repair loop round by round, each on the whole ledger: ``ledger_n`` and ``health_n`` before round n, its ``need_n``,
+    ``scored_n`` and ``inserts_n``, and ``tried_n``, the players given up so far."""
+    blocks = {"ledger_1": "SELECT *, CASE WHEN transfer_id % 10 = 0 THEN 'x' || transfer_id END AS source_id FROM transfers"}
+    for n in range(1, ROUNDS + 2):
+        if n > 1:
+            blocks[f"ledger_{n}"] = f"""
+        SELECT transfer_id, player_id, from_club_id, to_club_id, transfer_date, transfer_fee, from_club_name, to_club_name, transfer_season,
+               source_id FROM ledger_{n - 1}
+        UNION ALL SELECT -candidate_id, player_id, from_id, to_id, on_date, fee, raw_from_name, raw_to_name, season, source_id FROM inserts_{n - 1}"""
+        for name in PER_LEDGER:
+            blocks[f"{name}_{n}"] = of_round(name, n, {"transfers": f"ledger_{n}", "transfers0": f"ledger_{n}"})
+        if n > ROUNDS:
+            break
+        given_up = f" WHERE player_id NOT IN (SELECT player_id FROM tried_{n - 1})" if n > 1 else ""
+        blocks[f"need_{n}"] = f"SELECT DISTINCT player_id FROM unpaired_{n}{given_up}"
+        blocks[f"offers_{n}"] = f"SELECT * FROM candidate_prints WHERE player_id IN (SELECT player_id FROM need_{n})"
+        blocks[f"prints_{n}"] = f"""
+        SELECT transfer_id, player_id, from_club_id AS from_id, to_club_id AS to_id, {strip_sql('from_club_name')} AS from_name,
+               {strip_sql('to_club_name')} AS to_name, transfer_season AS season, {bucket_sql('transfer_fee')} AS bucket, source_id
+        FROM ledger_{n} WHERE player_id IN (SELECT player_id FROM need_{n})"""
+        for name in PER_OFFER:
+            blocks[f"{name}_{n}"] = of_round(name, n, {"candidate_prints": f"offers_{n}", "ledger_prints": f"prints_{n}"})
+        blocks[f"inserts_{n}"] = f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, fingerprint_hash ORDER BY candidate_id) AS rn FROM scored_{n}
+          WHERE (decision = 'safe' OR (decision = 'review' AND score >= 0.85)) AND year(on_date) >= 1995) WHERE rn = 1"""
+        earlier = f"SELECT player_id FROM tried_{n - 1} UNION " if n > 1 else ""
+        blocks[f"tried_{n}"] = f"{earlier}(SELECT player_id FROM need_{n} EXCEPT SELECT player_id FROM inserts_{n})"
+    return blocks
+
+
+BLOCKS |= repair_blocks()
+
+
+def iteration_sql(n: int) -> str:
+    """What the loop reports of round ``n``; no row if no player is in need."""
+    previous = f"(SELECT count(*) FROM inserts_{n - 1})" if n > 1 else "NULL::BIGINT"
+    return f"""
+    SELECT *, CASE WHEN unpaired <= 10 AND inserted = 0 AND previous_inserted = 0 AND health >= 0.95 THEN 'triple_signal_convergence'
+                   ELSE 'open' END AS status
+    FROM (SELECT {n} AS iteration, (SELECT count(*) FROM need_{n}) AS players, (SELECT count(*) FROM inserts_{n}) AS inserted,
+                 {previous} AS previous_inserted, count(*) FILTER (WHERE score >= 0.9) AS high,
+                 count(*) FILTER (WHERE score >= 0.7 AND score < 0.9) AS medium, count(*) FILTER (WHERE score < 0.7) AS low,
+                 (SELECT count(*) FROM unpaired_{n + 1}) AS unpaired, (SELECT graph_health_score FROM health_{n + 1}) AS health
+          FROM scored_{n}) WHERE players > 0"""
+
+
 def with_blocks(sql: str) -> str:
     """Prefix the blocks a query needs, in definition order."""
     needed: set[str] = set()

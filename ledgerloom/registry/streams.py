@@ -1,11 +1,13 @@
 """Streaming loads."""
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from ledgerloom.registry.base import query
+from pyspark.sql import DataFrame, functions as F
+
+from ledgerloom.registry.base import ROUNDS, iteration_sql, query
 from ledgerloom.session import new_folder
 from ledgerloom.streaming import ingest
-from ledgerloom.streaming.reconcile import reconcile
+from ledgerloom.streaming.reconcile import ITERATION, reconcile
 
 MOVES = ["player_id", "from_club_id", "to_club_id", "transfer_date"]
 
@@ -66,9 +68,26 @@ def _(t):
     return t.spark.read.parquet(target).select(*MOVES)
 
 
-@query("stream_reconcile")
+INSERTED = ("iteration int, transfer_id long, player_id long, from_club_id long, to_club_id long, from_club_name string, to_club_name string, "
+            "transfer_date date, transfer_season string, transfer_fee double, source_id string, confidence_score double, fingerprint_hash string")
+
+
+def repaired(t):
+    return reconcile(t.sourced, t.candidates, t.players, t.clubs, max_iterations=ROUNDS, min_year=1995)
+
+
+@query("stream_reconcile", " UNION ALL ".join(f"""
+    SELECT {n} AS iteration, -candidate_id AS transfer_id, player_id, from_id AS from_club_id, to_id AS to_club_id, raw_from_name AS from_club_name,
+           raw_to_name AS to_club_name, on_date AS transfer_date, season AS transfer_season, fee AS transfer_fee, source_id,
+           score AS confidence_score, fingerprint_hash FROM inserts_{n}""" for n in range(1, ROUNDS + 1)))
+def _(t):
+    """Repair the ledger from the candidates until nothing changes; the rows that each iteration appended."""
+    none = t.spark.createDataFrame([], INSERTED)
+    parts = [rows.withColumn("iteration", F.lit(number)).select(*none.columns) for number, rows in repaired(t).added]
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+@query("agg_convergence", " UNION ALL ".join(iteration_sql(n) for n in range(1, ROUNDS + 1)))
 def _(t):
-    """Repair the ledger from the candidates until nothing changes; the iterations as rows."""
-    done = reconcile(t.sourced, t.candidates, t.players, t.clubs, max_iterations=3, min_year=1995)
-    return done.ledger.groupBy((F.col("transfer_id") < 0).alias("inserted")).agg(
-        F.count(F.lit(1)).alias("moves"), F.count_distinct("player_id").alias("players"))
+    """The three signals after each iteration of the repair loop: unpaired sales, inserts now and before, health."""
+    return t.spark.createDataFrame(repaired(t).iterations, ITERATION)

@@ -1,6 +1,7 @@
 import random
 from datetime import date
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -41,22 +42,26 @@ def compared(cands, ledger):
     return {k: (round(s, 3), -i, w if s > 0 else ()) for k, (s, i, w) in best.items()}
 
 
-def test_best_match_equals_row_comparison(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_best_match_equals_row_comparison(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW", few)
     for seed in (5, 6):
         cands, ledger = frames(spark, seed)
         got = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in matching.best_match(cands, ledger).collect() if r.ledger_id is not None}
         assert got == compared(cands, ledger)
 
 
-def test_one_player_with_a_third_of_the_rows(spark):
+def test_one_player_with_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 0)
     cands, ledger = frames(spark, 7)
     heavy = ledger.withColumn("player_id", F.when(F.col("transfer_id") % 3 == 0, 1).otherwise(F.col("player_id")).cast("long"))
     got = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in matching.best_match(cands, heavy).collect() if r.ledger_id is not None}
     assert got == compared(cands, heavy)
 
 
-def test_waves_look_up_few_keys(spark):
+def test_waves_look_up_few_keys(spark, monkeypatch):
     """Most candidates are found by the first wave, which looks up one key for each kind of ledger row."""
+    monkeypatch.setattr(matching, "FEW", 0)
     rng = random.Random(11)
     moves = [(i, None, rng.randrange(40), rng.randrange(1, 30), rng.randrange(1, 30), "FC A", "b", date(2001, 5, 5), "2000-2001", 2e5)
              for i in range(400)]
