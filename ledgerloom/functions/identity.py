@@ -81,6 +81,21 @@ def reasons_of(evidence: list[Evidence]) -> Column:
     return F.filter(F.array(*[e.reason for e in evidence]), lambda r: r.isNotNull())
 
 
+SOURCE_BIT = 64
+
+
+def agreed_reasons(agreement: Column, bucket: Column) -> Column:
+    """Reasons from what agrees, in seven bits: source id; origin's id, name; target's id, name; season; bucket."""
+    def has(bit: int) -> Column:
+        return agreement.bitwiseAND(F.lit(bit)) != 0
+
+    found = F.array(
+        F.when(has(32), "from_club_id_match").when(has(16), "from_club_name_match"),
+        F.when(has(8), "to_club_id_match").when(has(4), "to_club_name_match"),
+        F.when(has(2), "season_match"), F.when(has(1), F.concat(F.lit("fee_bucket_match:"), bucket)))
+    return F.when(has(SOURCE_BIT), F.array(F.lit(SAME_SOURCE))).otherwise(F.filter(found, lambda r: r.isNotNull()))
+
+
 def confidence(c, best_score: Column, best_reasons: Column, is_academy: Column) -> Column:
     """struct<score, reasons, decision> of a candidate given its best ledger match.
 

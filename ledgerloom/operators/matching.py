@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom import constants as C
 from ledgerloom.functions import identity, labels, returns
@@ -151,8 +155,116 @@ def _by_source(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     return candidates.join(theirs, ["player_id", "source_id"]).select("candidate_id", "ledger_id", F.lit(1.0).alias("score"))
 
 
-def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per candidate the best match score (3 places), its reasons and the ledger row."""
+#: Rows of one player, on either side, up to which its candidates are compared with all its ledger rows in one task.
+WIDE = 2_000
+#: Rows that are compared at a time, and pairs of rows that a task holds at a time.
+BLOCK_ROWS, BLOCK_PAIRS = 50_000, 1_000_000
+#: Scores are compared as whole numbers: every sum of available points divides this.
+WHOLE = 8_751_600
+#: Bits of a comparison: score, place of the ledger row among the player's (the lowest id is the highest), what agrees.
+SCORE_BIT, PLACE_BIT, LAST_PLACE = 38, 7, 2**31 - 1
+
+
+def player_rows(candidates: DataFrame, ledger: DataFrame) -> tuple[int, DataFrame | None]:
+    """All rows of both sides; and the players (NULL is one) with more than ``WIDE`` of them on either side, if any."""
+    counts = [rows.groupBy("player_id").agg(F.count(F.lit(1)).alias("_n")) for rows in (candidates, ledger)]
+    stored = checkpointed(counts[0].unionByName(counts[1]), "player-rows")
+    total, wide = stored.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > WIDE)).first()
+    return total, stored.filter(F.col("_n") > WIDE).select("player_id").distinct() if wide else None
+
+
+def _split(rows: DataFrame, wide: DataFrame, how: str) -> DataFrame:
+    return rows.join(wide, rows["player_id"].eqNullSafe(wide["player_id"]), how)
+
+
+def _codes(mine: pa.Table, theirs: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of a column, the same on both sides; -1 for NULL and empty text."""
+    values = pa.chunked_array([*mine.column(name).chunks, *theirs.column(f"l_{name}").chunks], mine.schema.field(name).type).combine_chunks()
+    if pa.types.is_string(values.type):
+        values = pc.if_else(pc.equal(values, ""), None, values)
+    codes = pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    return codes[:len(mine)], codes[len(mine):]
+
+
+def _best_of_block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+    """``_best`` (null without a ledger row of the player) and ``ledger_id`` for each candidate of a block of players.
+
+    A comparison is one number, so that the best of a candidate is a maximum, and what agrees is part of it.
+    """
+    if not len(mine):
+        return pa.table({})
+    if not len(theirs):
+        theirs = mine.slice(0, 0).rename_columns([f"l_{c}" for c in mine.column_names]).append_column("ledger_id", pa.array([], pa.int64()))
+    player, owner = _codes(mine, theirs, "player_id")
+    ids = theirs.column("ledger_id").to_numpy()
+    order = np.lexsort((ids, owner))
+    order = order[np.searchsorted(owner[order], 0):]
+    owner, ids = owner[order], ids[order]
+    fields = {f: (a, b[order]) for f, (a, b) in ((f, _codes(mine, theirs, f)) for f in FIELDS)}
+    first = np.searchsorted(owner, player)
+    size = np.where(player >= 0, np.searchsorted(owner, player, "right") - first, 0)
+    best, found = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + BLOCK_PAIRS, "right")))
+        some = start + np.flatnonzero(size[start:stop])
+        start = stop
+        if not len(some):
+            continue
+        offset = np.cumsum(size[some]) - size[some]
+        a = np.repeat(some, size[some])
+        place = np.arange(len(a)) - np.repeat(offset, size[some])
+        b = first[a] + place
+
+        def values(field):
+            return fields[field][0][a], fields[field][1][b]
+
+        def agree(x, y):
+            return (x == y) & (x >= 0)
+
+        available, earned, bits = np.full(len(a), 15), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for side, shift in (("from", 4), ("to", 2)):
+            (x, y), (u, v) = values(f"{side}_id"), values(f"{side}_name")
+            ids_known, names_known = (x >= 0) & (y >= 0), (u >= 0) & (v >= 0)
+            kind = np.where(ids_known, 2 * (x == y), names_known & (u == v))
+            available += np.where(ids_known, 35, 25 * names_known)
+            earned += np.array([0, 25, 35])[kind]
+            bits |= kind << shift
+        x, y = values("season")
+        available += 15 * ((x >= 0) & (y >= 0))
+        for field, bit in (("season", 2), ("bucket", 1)):
+            same = agree(*values(field))
+            earned += 15 * same
+            bits |= bit * same
+        source = agree(*values("source_id"))
+        points = np.where(source, WHOLE, earned * WHOLE // available)
+        key = (points << SCORE_BIT) + ((LAST_PLACE - place) << PLACE_BIT) + (bits | (source * identity.SOURCE_BIT))
+        best[some] = np.maximum.reduceat(key, offset)
+        found[some] = ids[first[some] + LAST_PLACE - ((best[some] >> PLACE_BIT) & LAST_PLACE)]
+    none = size == 0
+    return mine.drop_columns("_block").append_column("_best", pa.array(best, pa.int64(), mask=none)).append_column(
+        "ledger_id", pa.array(found, pa.int64(), mask=none))
+
+
+def _compared(candidates: DataFrame, ledger: DataFrame, total: int) -> DataFrame:
+    """Each candidate against all ledger rows of its player: both sides are dealt by blocks of players once."""
+    block = F.pmod(F.xxhash64("player_id"), F.lit(max(1, -(-total // BLOCK_ROWS)))).alias("_block")
+    # every column has a name of its own: both sides may stem from one table
+    theirs = fingerprints(ledger, derive_season=False).select(
+        block.alias("_of_block"), F.col("transfer_id").alias("ledger_id"), *[F.col(f).alias(f"l_{f}") for f in ("player_id", *FIELDS)])
+    # the candidates' derived columns are worked out after the shuffle
+    mine = fingerprints(candidates.select("*", block).repartition("_block"), derive_season=True)
+    schema = StructType([f for f in mine.schema.fields if f.name != "_block"]).add("_best", "long").add("ledger_id", "long")
+    best = mine.groupBy("_block").cogroup(theirs.groupBy("_of_block")).applyInArrow(_best_of_block, schema)
+    score = F.shiftright("_best", SCORE_BIT) / WHOLE
+    reasons = F.when(score > 0, identity.agreed_reasons(F.col("_best"), F.col("bucket"))).otherwise(F.array().cast("array<string>"))
+    return best.withColumns({"best_score": F.round(F.coalesce(score, F.lit(0.0)), 3), "best_reasons": reasons}).drop("_best")
+
+
+def _looked_up(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The same by look-ups in waves, for players with too many rows to compare all."""
     # both are read several times below, so they are written to the shared folder first
     prints = checkpointed(_collapsed(ledger).withColumn("held", _held()), "fingerprints")
     cands = checkpointed(fingerprints(candidates, derive_season=True).withColumn("held", _held()), "candidates")
@@ -166,6 +278,15 @@ def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     }).drop("score", "held", *[f"l_{f}" for f in FIELDS])
 
 
+def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per candidate the best match score (3 places), its reasons and the ledger row. Candidate ids are unique."""
+    total, wide = player_rows(candidates, ledger)
+    if wide is None:
+        return _compared(candidates, ledger, total)
+    usual = _compared(_split(candidates, wide, "left_anti"), _split(ledger, wide, "left_anti"), total)
+    return usual.unionByName(_looked_up(_split(candidates, wide, "left_semi"), _split(ledger, wide, "left_semi")))
+
+
 def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None) -> DataFrame:
     """Candidates with score, reasons, decision and fingerprint hash."""
     rows = best_match(candidates, ledger)

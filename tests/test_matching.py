@@ -59,6 +59,26 @@ def test_one_player_with_a_third_of_the_rows(spark, monkeypatch):
     assert got == compared(cands, heavy)
 
 
+@pytest.mark.parametrize("wide", [0, 30, 10_000])
+def test_players_with_many_rows_are_looked_up_others_compared(spark, monkeypatch, wide):
+    monkeypatch.setattr(matching, "WIDE", wide)
+    monkeypatch.setattr(matching, "FEW", 0)
+    cands, ledger = frames(spark, 8)
+    nobody = cands.limit(40).withColumns({"candidate_id": F.col("candidate_id") + 1000, "player_id": F.lit(None).cast("long")})
+    got = matching.best_match(cands.unionByName(nobody), ledger.filter("player_id <> 2 OR transfer_id < 20")).collect()
+    assert sorted(r.candidate_id for r in got) == [*range(80), *range(1000, 1040)]
+    found = {r.candidate_id: (r.best_score, r.ledger_id, tuple(r.best_reasons)) for r in got if r.ledger_id is not None}
+    assert found == compared(cands, ledger.filter("player_id <> 2 OR transfer_id < 20"))
+
+
+def test_matching_shuffles_each_side_once(spark):
+    """No keys are exploded: the plan deals candidates and ledger rows by blocks of players, and nothing after that."""
+    rng = random.Random(12)
+    ledger = spark.createDataFrame([(i, None, *r) for i, r in enumerate(some(rng, 50))], "transfer_id long, source_id string, " + SCHEMA)
+    plan = matching.scored(ledger.withColumnRenamed("transfer_id", "candidate_id"), ledger)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_") == 2 and plan.count("Exchange") == 2 and "Generate" not in plan
+
+
 def test_waves_look_up_few_keys(spark, monkeypatch):
     """Most candidates are found by the first wave, which looks up one key for each kind of ledger row."""
     monkeypatch.setattr(matching, "FEW", 0)
