@@ -195,7 +195,11 @@ def _(t):
            'Team ' || l_suppkey % 2 AS team_name, 'Team ' || (1 - l_suppkey % 2) AS opponent_name, CAST(l_linenumber AS BIGINT) AS minute, l_discount AS xg
     FROM lineitem WHERE l_linenumber <> 7""")
 def _(t):
-    """Competitions, matches and events written as JSON folders, one match per supplier, and read back."""
+    """Competitions, matches and events written as JSON folders, one match per supplier, and read back.
+
+    Event lines carry their match: a folder for each match would be as many files as suppliers, times the tasks that write.
+    Compressed files do not split, so their rows are bounded.
+    """
     root = new_folder(t.spark, "events")
     match = F.col("s_suppkey")
     matches = t.raw("supplier").select(
@@ -204,10 +208,10 @@ def _(t):
     seasons = matches.select(
         F.col("competition").alias("competition_id"), F.lit("Cup").alias("competition_name"), F.col("season").alias("season_id"),
         F.concat(F.lit("Season "), F.col("season").cast("string")).alias("season_name")).distinct()
-    events = event_rows(t).select(F.col("team_number").alias("match"), "type", "player", "team", "minute", "location", "shot")
+    events = event_rows(t).select(F.col("team_number").alias("match_id"), "type", "player", "team", "minute", "location", "shot")
     seasons.write.json(f"{root}/competitions.json")
     matches.write.partitionBy("competition", "season").json(f"{root}/matches")
-    events.write.partitionBy("match").json(f"{root}/events")
+    events.write.option("compression", "gzip").option("maxRecordsPerFile", 200_000).json(f"{root}/events")
     shots = documents.shots(documents.read_shot_events(t.spark, root, arrays=False))
     return shots.select("match_id", "competition_id", "season_name", "source_player_id", "team_name", "opponent_name", "minute", "xg")
 

@@ -149,7 +149,8 @@ def read_shot_events(spark: SparkSession, root: str, competitions: tuple[int, ..
 
     Ids come from the paths; partition folders (``match=12``) work as well. With ``arrays``
     each file holds one JSON array and files are the unit of parallelism; otherwise files
-    hold JSON lines and split freely.
+    hold JSON lines and split freely. Lines of events may carry their own ``match_id``, so
+    that a file holds many matches and the files do not grow in number with them.
     """
     def read(path: str, schema: str) -> DataFrame:
         reader = spark.read.schema(schema).option("multiLine", arrays).option("recursiveFileLookup", True)
@@ -161,7 +162,11 @@ def read_shot_events(spark: SparkSession, root: str, competitions: tuple[int, ..
     matches = read("matches", MATCH).withColumns({
         "competition_id": _numbers_in_path(r"matches/(?:competition=)?(\d+)/"),
         "season_id": _numbers_in_path(r"matches/[^/]+/(?:season=)?(\d+)")})
-    events = read("events", EVENT).withColumn("match_id", _numbers_in_path(r"events/(?:match=)?(\d+)"))
+    of_file = _numbers_in_path(r"events/(?:match=)?(\d+)")
+    if arrays:
+        events = read("events", EVENT).withColumn("match_id", of_file)
+    else:
+        events = read("events", f"match_id BIGINT, {EVENT}").withColumn("match_id", F.coalesce("match_id", of_file))
     return events.join(matches, "match_id").join(seasons, ["competition_id", "season_id"])
 
 

@@ -90,6 +90,22 @@ def test_shot_files(spark, tmp_path):
     assert rows(got, "match_id", "season_name", "opponent_name", "xg", "location_y", "end_location_y") == [(71, "18/19", "A", 0.5, 2.0, None)]
 
 
+def test_one_file_of_event_lines_holds_many_matches(spark, tmp_path):
+    def lines(path, *records):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("\n".join(json.dumps(r) for r in records))
+
+    def shot(player, **more):
+        return {**more, "type": {"name": "Shot"}, "player": {"id": player}, "team": {"name": "A"}}
+
+    lines("competitions.json", {"competition_id": 3, "season_id": 4, "season_name": "18/19"})
+    lines("matches/competition=3/season=4/part.json", *[{"match_id": i} for i in (71, 72, 73)])
+    lines("events/part-0.json", shot(1, match_id=71), shot(2, match_id=72), shot(3, match_id=72), shot(4, match_id=99))
+    lines("events/match=73/part.json", shot(5))
+    got = documents.shots(documents.read_shot_events(spark, str(tmp_path), arrays=False))
+    assert rows(got, "match_id", "source_player_id") == [(71, 1), (72, 2), (72, 3), (73, 5)]
+
+
 def test_partition_replace_and_upsert(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, p string")
