@@ -180,7 +180,7 @@ def _split(rows: DataFrame, wide: DataFrame, how: str) -> DataFrame:
 def _codes(mine: pa.Table, theirs: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers for the values of a column, the same on both sides; -1 for NULL and empty text."""
     values = pa.chunked_array([*mine.column(name).chunks, *theirs.column(f"l_{name}").chunks], mine.schema.field(name).type).combine_chunks()
-    if pa.types.is_string(values.type):
+    if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
         values = pc.if_else(pc.equal(values, ""), None, values)
     codes = pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
     return codes[:len(mine)], codes[len(mine):]
