@@ -289,7 +289,25 @@ def best_match(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None = None) -> DataFrame:
     """Candidates with score, reasons, decision and fingerprint hash."""
-    rows = best_match(candidates, ledger)
+    return _decided(best_match(candidates, ledger), candidates.columns, academy)
+
+
+def rescored(earlier: DataFrame, added: DataFrame, columns: list[str]) -> DataFrame:
+    """``scored`` candidates (of these ``columns``) after the ledger grew, without reading the rows they were compared with.
+
+    A ledger only grows, so a best score only rises: it is the earlier one or the best among the ``added`` rows. One that
+    makes a duplicate is final; such candidates need not come again (see ``settled``).
+    """
+    rows = best_match(earlier.select(*columns, F.col("best_score").alias("_earlier")), added)
+    return _decided(rows.withColumn("best_score", F.greatest("best_score", "_earlier")).drop("_earlier"), columns)
+
+
+def settled() -> Column:
+    """The candidate is a duplicate of a ledger row, and stays one whatever the ledger gets."""
+    return F.col("best_score") >= C.INSERT_THRESHOLD
+
+
+def _decided(rows: DataFrame, columns: list[str], academy: DataFrame | None = None) -> DataFrame:
     is_academy = F.lit(False)
     if academy is not None:
         rows = rows.join(academy.select("player_id").distinct().withColumn("_academy", F.lit(True)), "player_id", "left")
@@ -299,7 +317,7 @@ def scored(candidates: DataFrame, ledger: DataFrame, academy: DataFrame | None =
     hashed = identity.fingerprint_hash(F.col("player_id"), F.col("source_id"), F.col("from_id"), F.col("to_id"),
                                        F.col("season"), F.col("bucket"))
     return rows.withColumn("_c", result).select(
-        "candidate_id", *candidates.drop("candidate_id").columns, "season", "bucket", "best_score",
+        "candidate_id", *[c for c in columns if c != "candidate_id"], "season", "bucket", "best_score",
         F.col("_c.score").alias("score"), F.col("_c.reasons").alias("reasons"),
         F.col("_c.decision").alias("decision"), hashed.alias("fingerprint_hash"))
 

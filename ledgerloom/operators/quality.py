@@ -161,21 +161,40 @@ def player_state(transfers: DataFrame, clubs: DataFrame, min_fee: float = 100_00
     Every count depends on the rows of one player only, and all totals are sums over players. So when some players get
     rows, the totals change by their new state less their old one, and no other player's rows are read.
     """
-    one = F.lit(1)
-    origins = _known(transfers.select("player_id", "from_club_id"), "from_club_id", clubs.select("club_id").distinct(), "club_id")
-    lost = F.col("player_id").isNotNull() & F.col("from_club_id").isNotNull() & ~F.col("_known")
-    parts = [
-        origins.groupBy("player_id").agg(F.count(one).alias("edges"), F.max(F.when(lost, 1).otherwise(0)).alias("orphans")),
-        chains.sold_before_bought_players(transfers).select("player_id", one.alias("violations")),
-        chains.lag_breaks(transfers).select("player_id", one.alias("broken")),
-        duplicate_transfers(transfers).select("player_id", one.alias("duplicates")),
-        chains.first_day_gaps(transfers),
-        chains.unpaired_sales(transfers, clubs, min_fee).select("player_id", one.alias("unpaired")),
-    ]
+    parts = [_club_state(transfers, clubs, min_fee), chains.lag_breaks(transfers).select("player_id", F.lit(1).alias("broken")), _day_state(transfers)]
     same = [part.select("player_id", *[(F.col(c) if c in part.columns else F.lit(0)).cast("long").alias(c) for c in STATE]) for part in parts]
     return reduce(DataFrame.unionByName, same).groupBy("player_id").agg(*[F.sum(c).alias(c) for c in STATE])
 
 
+def _club_state(transfers: DataFrame, clubs: DataFrame, min_fee: float) -> DataFrame:
+    """What follows from the two ends of each move: both are reduced to one row per player and club, once."""
+    paid, on, sale = F.col("transfer_fee") > min_fee, F.col("transfer_date"), F.col("sale")
+    ends = F.array(F.struct(F.col("from_club_id").cast("long").alias("club_id"), F.lit(True).alias("sale")),
+                   F.struct(F.col("to_club_id").cast("long").alias("club_id"), F.lit(False).alias("sale")))
+    at_club = transfers.select("player_id", on, F.coalesce(paid, F.lit(False)).alias("paid"), F.inline(ends)).groupBy("player_id", "club_id").agg(
+        F.count_if(~sale).alias("buys"), F.count_if(sale).alias("sales"), F.count_if(sale & F.col("paid")).alias("paid_sales"),
+        F.min(F.when(sale & F.col("paid"), on)).alias("paid_sale"), F.min(F.when(sale, on)).alias("any_sale"),
+        F.max(F.when(~sale & F.col("paid"), on)).alias("paid_buy"), F.max(F.when(~sale, on)).alias("any_buy"))
+    rows = _known(at_club, "club_id", clubs.select("club_id").distinct(), "club_id")
+    club, player = F.col("club_id").isNotNull(), F.col("player_id").isNotNull()
+    lost = player & club & ~F.col("_known") & (F.col("sales") > 0)
+    # sales of rows without a player have no purchases
+    open_sales = club & F.col("_known") & ~F.col("club_id").isin(*C.NON_REAL_CLUBS) & (~player | (F.col("buys") == 0))
+    return rows.groupBy("player_id").agg(
+        F.sum("buys").alias("edges"), F.max(F.when(lost, 1).otherwise(0)).alias("orphans"),
+        F.max(F.when(club & F.expr("paid_sale < any_buy OR any_sale < paid_buy"), 1).otherwise(0)).alias("violations"),
+        F.sum(F.when(open_sales, F.col("paid_sales")).otherwise(0)).alias("unpaired"))
+
+
+def _day_state(transfers: DataFrame) -> DataFrame:
+    """Repeated moves, and rows of the first date without an origin."""
+    days = transfers.groupBy(*TRANSFER_KEY).agg(F.count(F.lit(1)).alias("n")).groupBy("player_id", "transfer_date").agg(
+        F.sum(F.when(F.col("from_club_id").isNull(), F.col("n")).otherwise(0)).alias("lost"), F.count_if(F.col("n") > 1).alias("repeated"))
+    first = F.min(F.when(F.col("transfer_date").isNotNull(), F.struct("transfer_date", "lost")))
+    return days.groupBy("player_id").agg(
+        F.sum(F.when(F.col("player_id").isNotNull(), F.col("repeated")).otherwise(0)).alias("duplicates"), F.coalesce(first["lost"], F.lit(0)).alias("missing"))
+
+
 def state_totals(state: DataFrame) -> dict[str, int]:
     """Sums over players, under the names of the health score's totals."""
     row = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in STATE.items()]).first()

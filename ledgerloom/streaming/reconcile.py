@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom import constants as C
 from ledgerloom.operators import chains, quality
 from ledgerloom.operators.gems import confidence_bands
-from ledgerloom.operators.matching import scored, to_insert
+from ledgerloom.operators.matching import rescored, scored, settled, to_insert
 from ledgerloom.plans.analytics import all_pairs, club_scores
 from ledgerloom.session import checkpointed, drop_table
 
@@ -55,6 +55,10 @@ def reconcile(ledger: DataFrame, candidates: DataFrame, players: DataFrame, club
     Later iterations read the rows of the players that changed last; inserts are stored as tables of their own, and
     the repaired ledger is the union of the given one and those. Only a few totals reach the driver.
 
+    Candidates are compared with a ledger row once: later iterations compare with the last inserts those that are no
+    duplicates yet, and only count the duplicates. Players never come back into need, so both are found in the scored
+    table of the iteration before.
+
     With ``valuations`` the club scores are worked out once, after the last insert. A dry run scores and counts, and
     stops before anything is appended.
     """
@@ -75,23 +79,28 @@ def reconcile(ledger: DataFrame, candidates: DataFrame, players: DataFrame, club
     rows = ledger
     need = in_need()
     rows = checkpointed(_of(ledger, need), "open")
-    previous = None
+    previous, graded, duplicates = None, None, []
     for number in range(1, max_iterations + 1):
         open_players = need.count()
         if open_players == 0:
             done.status = "zero_candidates"
             break
-        graded = checkpointed(scored(_of(candidates, need), rows), "scored")
-        bands = confidence_bands(graded).first()
+        if graded is None:
+            graded = checkpointed(scored(_of(candidates, need), rows), "scored")
+        else:
+            duplicates.append(checkpointed(graded.filter(settled()).groupBy("player_id").agg(F.count(F.lit(1)).alias("n")), "duplicates"))
+            before, graded = graded, checkpointed(rescored(_of(graded.filter(~settled()), need), added, candidates.columns), "scored")
+            drop_table(before)
+        bands = confidence_bands(graded).first().asDict()
+        bands["low"] += sum(_of(known, need).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for known in duplicates)
         inserts = checkpointed(to_insert(graded, players, threshold, min_year), "inserts")
-        drop_table(graded)
         inserted = inserts.count()
-        row = {"iteration": number, "players": open_players, "inserted": inserted, "previous_inserted": previous, **bands.asDict()}
+        row = {"iteration": number, "players": open_players, "inserted": inserted, "previous_inserted": previous, **bands}
         if dry_run:
             done.iterations.append(row)
             break
+        added = inserts.withColumn("transfer_id", -F.col("candidate_id")).drop("candidate_id")
         if inserted:
-            added = inserts.withColumn("transfer_id", -F.col("candidate_id")).drop("candidate_id")
             touched = inserts.select("player_id").distinct()
             done.added.append((number, added))
             done.ledger = done.ledger.unionByName(added, allowMissingColumns=True)
@@ -117,7 +126,7 @@ def reconcile(ledger: DataFrame, candidates: DataFrame, players: DataFrame, club
         previous = inserted
         drop_table(need)
         need = in_need()
-    for table in (rows, state, need):
+    for table in (rows, state, need, *duplicates, *([] if graded is None else [graded])):
         drop_table(table)
     if valuations is not None and done.added:
         done.scores = club_scores(all_pairs(done.ledger, valuations, players))

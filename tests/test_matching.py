@@ -157,3 +157,24 @@ def test_club_name_prefixes(spark):
     names = spark.createDataFrame([(" FC Club Brugge ",), ("F.C. Sc X",), ("",), (None,), ("fcabc",)], "n string")
     got = [r[0] for r in names.select(identity.normal_club_name(F.col("n"))).collect()]
     assert got == ["brugge", "x", None, None, "fcabc"]
+
+
+def test_rescored_equals_scored_on_the_grown_ledger(spark, monkeypatch):
+    """Only the added rows are compared; earlier scores stand."""
+    schema = ("transfer_id long, player_id long, from_club_id long, to_club_id long, transfer_date date, transfer_fee double, "
+              "from_club_name string, to_club_name string, transfer_season string, source_id string")
+
+    def move(i, club, day):
+        return (i, i % 3, club, club + 1, date(2001, 8, day), 2e5, f"Club {club}", f"Club {club + 1}", "2001-2002", None)
+
+    ledger = spark.createDataFrame([move(i, i % 4, 1) for i in range(12)], schema)
+    added = spark.createDataFrame([move(100 + i, 5 + i % 2, 2) for i in range(4)], schema)
+    offers = spark.createDataFrame([move(200 + i, i % 9, 3) for i in range(30)], schema).withColumnRenamed("transfer_id", "candidate_id")
+    seen, best = [], matching.best_match
+    monkeypatch.setattr(matching, "best_match", lambda c, rows: seen.append(rows.count()) or best(c, rows))
+    first = matching.scored(offers, ledger)
+    again = matching.rescored(first.filter(~matching.settled()), added, offers.columns).unionByName(first.filter(matching.settled()))
+    whole = matching.scored(offers, ledger.unionByName(added))
+    shown = ["candidate_id", "best_score", "score", "decision", "fingerprint_hash"]
+    assert rows(again, *shown) == rows(whole, *shown) and seen == [12, 4, 16]
+    assert 0 < first.filter(matching.settled()).count() < whole.filter(matching.settled()).count() < 30
