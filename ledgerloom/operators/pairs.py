@@ -86,6 +86,36 @@ def on_transfers(transfers: DataFrame, pairs: DataFrame) -> DataFrame:
     return transfers.join(pairs.select(F.col("buy_transfer_id").alias("transfer_id"), *kept), "transfer_id", "left")
 
 
+def paired_transfers(transfers: DataFrame, valuations: DataFrame, players: DataFrame, min_fee: float = C.MIN_BUY_FEE) -> DataFrame:
+    """The ledger with player name and age, and the columns of ``on_transfers`` for all pairs of the ledger.
+
+    Each row meets the last sale of its player and club and then its player's row, so the ledger is shuffled twice, and
+    never joined with its own pairs by id.
+    """
+    sales = latest_sales(fee_bearing(transfers)).select("player_id", F.col("club_id").alias("to_club_id"), "sell_date", F.col("sell_fee").alias("_sell_fee"))
+    info = players.select("player_id", F.col("name").alias("player_name"), F.col("position").alias("_position"), "date_of_birth")
+    about = info.join(peak_values(valuations).withColumnRenamed("peak_value", "_peak"), "player_id", "full")
+    rows = transfers.join(sales, ["player_id", "to_club_id"], "left").join(about, "player_id", "left")
+    fee, day = F.col("transfer_fee"), F.col("transfer_date")
+    is_pair = (fee > 0) & (fee >= min_fee) & (F.col("sell_date") > day)
+
+    def of_pair(value: Column) -> Column:
+        return F.when(is_pair, value)
+
+    buy, sell, years = F.col("buy_fee"), F.col("sell_fee"), F.col("tenure_years")
+    return (
+        rows.withColumns({
+            "age_at_transfer": returns.age_years(F.col("date_of_birth"), day), "buy_fee": of_pair(fee), "sell_fee": of_pair(F.col("_sell_fee")),
+            "tenure_days": of_pair(returns.tenure_days(day, F.col("sell_date"))), "tenure_years": of_pair(returns.tenure_years(day, F.col("sell_date"))),
+            "peak_value": of_pair(F.col("_peak")), "player_position": of_pair(F.col("_position"))})
+        .withColumns({
+            "profit": of_pair(returns.profit(buy, sell)), "roi_pct": of_pair(returns.roi_pct(buy, sell)),
+            "annualized_roi_pct": of_pair(returns.annualized_roi_pct(buy, sell, years)),
+            "value_creation_pct": of_pair(returns.value_creation_pct(buy, F.col("peak_value")))})
+        .drop("sell_date", "_sell_fee", "_position", "_peak", "date_of_birth")
+    )
+
+
 def buy_year_window(pairs: DataFrame, year: int) -> DataFrame:
     return pairs.filter(F.col("buy_date") >= F.make_date(F.lit(year), F.lit(1), F.lit(1)))
 

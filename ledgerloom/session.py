@@ -22,6 +22,21 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows of the largest table for each shuffle partition that a query starts with.
+ROWS_PER_PARTITION = 250_000
+START_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_shuffles(spark: SparkSession, rows: int) -> None:
+    """Start shuffles with partitions in proportion to the rows, so that a task's share, and what it holds, doesn't grow with the table.
+
+    The number is only ever raised. The adaptive planner merges small partitions, but splits none that is joined or windowed.
+    """
+    wanted = -(-rows // ROWS_PER_PARTITION)
+    if wanted > int(spark.conf.get(START_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(START_PARTITIONS, str(wanted))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

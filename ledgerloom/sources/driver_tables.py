@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators import gems, pairs
 from ledgerloom.operators.skew import HOT_ROWS, chain
-from ledgerloom.session import new_folder, shared_folder
+from ledgerloom.session import new_folder, shared_folder, size_shuffles
 
 POSITIONS = [
     "Centre-Forward", "Second Striker", "Attack", "Left Winger", "Left Midfield", "Right Winger",
@@ -22,6 +22,7 @@ CITIZENSHIPS = ["Brazil", "France, Senegal", "Japan", "England", "Atlantis", Non
 FEET = ["left", "Right", "both", None]
 ID_SPAN = 100_000_000
 SCHEMAS: dict[str, StructType] = {}
+LINES: dict[str, int] = {}
 STORED: dict[tuple[str, str, str, str], tuple[str, StructType]] = {}
 WINDOWS = (1996, 1998, 2000)
 MIN_DEALS = 3
@@ -59,7 +60,12 @@ class DriverTables:
         path = f"{self.folder}/{name}.parquet"
         if path not in SCHEMAS:
             SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(SCHEMAS[path]).parquet(path)
+        rows = self.spark.read.schema(SCHEMAS[path]).parquet(path)
+        if name == "lineitem":  # the largest table; its rows are counted from the file footers, once per process
+            if path not in LINES:
+                LINES[path] = rows.count()
+            size_shuffles(self.spark, LINES[path])
+        return rows
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table, written to the shared folder once per application and folder.
@@ -80,19 +86,24 @@ class DriverTables:
         return self.stored("transfers", self.build_transfers)
 
     def build_transfers(self) -> DataFrame:
+        # what the flags and the tax say is worked out before the shuffle
         lines = self.raw("lineitem").select(
-            "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag",
-            "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+            "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_tax") == 0).alias("broken"),
+            F.col("l_shipdate").cast("date").alias("l_shipdate"),
+            ledger_fee(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_extendedprice")).alias("fee"))
         order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
         moves = chain(lines, "l_partkey", order, {"prev": "l_suppkey"}, F.col("l_shipdate"), self.hot_rows)
-        origin = (F.when(F.col("seq") == 1, None).when(F.col("l_tax") == 0, F.col("l_linenumber").cast("bigint"))
+        origin = (F.when(F.col("seq") == 1, None).when(F.col("broken"), F.col("l_linenumber").cast("bigint"))
                   .otherwise(F.col("prev")))
-        fee = ledger_fee(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_extendedprice"))
         rows = moves.select(
             (F.col("l_partkey") * ID_SPAN + F.col("seq")).alias("transfer_id"),
             F.col("l_partkey").alias("player_id"), origin.alias("from_club_id"), F.col("l_suppkey").alias("to_club_id"),
-            F.col("l_shipdate").alias("transfer_date"), fee.alias("transfer_fee"))
-        return rows.withColumns({
+            F.col("l_shipdate").alias("transfer_date"), F.col("fee").alias("transfer_fee"))
+        return self.named(rows)
+
+    @staticmethod
+    def named(moves: DataFrame) -> DataFrame:
+        return moves.withColumns({
             "from_club_name": club_name(F.col("from_club_id")), "to_club_name": club_name(F.col("to_club_id")),
             "transfer_season": labels.season(F.col("transfer_date"))})
 
@@ -179,7 +190,9 @@ class DriverTables:
 
     def build_paired(self) -> DataFrame:
         """The ledger with pair columns, gem columns and training eligibility."""
-        rows = pairs.on_transfers(self.ledger, self.pairs)
+        # club names and season follow from the other columns, so they are added after the shuffles
+        moves = self.transfers.select("transfer_id", "player_id", "from_club_id", "to_club_id", "transfer_date", "transfer_fee")
+        rows = self.named(pairs.paired_transfers(moves, self.valuations, self.players))
         roi = F.col("roi_pct")
         return rows.withColumns({
             "is_gem": F.when(roi.isNotNull(), labels.is_gem(roi)),

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import returns
 from ledgerloom.operators import chains, metrics, pairs, quality
 
 DAY = date(2005, 1, 1)
@@ -123,3 +124,34 @@ def test_negative_fee_counts_as_free_on_one_side(spark):
         "transfer_id long, player_id long, from_club_id long, to_club_id long, transfer_date date, transfer_fee double")
     assert rows(chains.swapped_loans(moves), "transfer_id") == [(1,), (2,), (6,), (7,)]
     assert chains.with_loans(moves).count() == 9
+
+
+def test_paired_transfers_equal_the_join_by_id_with_one_shuffle_less(spark):
+    schema = "transfer_id long, player_id long, from_club_id long, to_club_id long, transfer_date date, transfer_fee double"
+    moves = [(i, None if i % 19 == 0 else i % 7, None if i % 5 == 0 else i % 4, None if i % 11 == 0 else (i * 7) % 4,
+              None if i % 13 == 0 else date(2000 + i % 9, 1 + i % 12, 1), [None, 0.0, 5e4, 2e5, 3e6][i % 5 if i % 2 else 4]) for i in range(1, 150)]
+    ledger = spark.createDataFrame(moves, schema)
+    players = spark.createDataFrame([(p, f"P{p}", "Defender", date(1980, 1, 1 + p)) for p in range(5)],
+                                    "player_id long, name string, position string, date_of_birth date")
+    values = spark.createDataFrame([(p, 1e6 * p) for p in range(1, 7)], "player_id long, market_value_in_eur double")
+    found = pairs.with_returns(pairs.min_buy_fee(pairs.match_buy_sell(pairs.fee_bearing(ledger))))
+    found = pairs.with_player_info(pairs.with_peak_value(found, values), players)
+    named = ledger.join(players.select("player_id", F.col("name").alias("player_name"), "date_of_birth"), "player_id", "left")
+    want = pairs.on_transfers(named.withColumn("age_at_transfer", returns.age_years(F.col("date_of_birth"), F.col("transfer_date"))).drop("date_of_birth"), found)
+    got = pairs.paired_transfers(ledger, values, players)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got, *want.columns) == rows(want) and 0 < want.filter("roi_pct is not null").count() < 149
+
+
+def test_shuffles_start_with_partitions_in_proportion_to_the_lines(spark, monkeypatch):
+    from ledgerloom import session
+    from ledgerloom.sources.driver_tables import DriverTables
+    before = spark.conf.get(session.START_PARTITIONS, None)
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 100)
+    try:
+        lines = DriverTables(spark, "/root/testdata/sf0.001").raw("lineitem").count()
+        assert spark.conf.get(session.START_PARTITIONS, None) == str(-(-lines // 100)) and lines > 1000
+        session.size_shuffles(spark, 10)
+        assert spark.conf.get(session.START_PARTITIONS) == str(-(-lines // 100))
+    finally:
+        spark.conf.unset(session.START_PARTITIONS) if before is None else spark.conf.set(session.START_PARTITIONS, before)
