@@ -77,6 +77,9 @@ NO_FEE_WORDS = (
 
 # --- fixed values: accepted date formats, tried in this order -----------------------------
 DATE_FORMATS = ("MMM d, yyyy", "yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d MMM yyyy", "yyyy/M/d")
+#: What a text must look like at least for each format to fit: a pattern that fails costs far more than a look at the separators.
+DATE_SHAPES = (r"^[^ ]+ [^ ]+, [^ ]{4,}$", r"^[^-]{4,}-[^-]+-[^-]+$", r"^[^/]+/[^/]+/[^/]{4,}$", r"^[^/]+/[^/]+/[^/]{4,}$", r"^[^ ]+ [^ ]+ [^ ]{4,}$",
+               r"^[^/]{4,}/[^/]+/[^/]+$")
 
 # --- fixed values: text that a CSV reader treats as missing -------------------------------
 CSV_MISSING = (

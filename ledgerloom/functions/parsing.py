@@ -25,7 +25,8 @@ def parse_int(text: Column) -> Column:
 def parse_date(text: Column) -> Column:
     cleaned = F.initcap(F.trim(text))
     return F.coalesce(
-        *[F.try_to_timestamp(cleaned, F.lit(fmt)).cast("date") for fmt in C.DATE_FORMATS]
+        *[F.when(cleaned.rlike(shape), F.try_to_timestamp(cleaned, F.lit(fmt)).cast("date"))
+          for fmt, shape in zip(C.DATE_FORMATS, C.DATE_SHAPES, strict=True)]
     )
 
 

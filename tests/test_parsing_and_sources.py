@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ledgerloom import constants as C
 from ledgerloom.functions import labels, parsing
 from ledgerloom.operators import sets, views
 from ledgerloom.sources import documents, sinks, tables
@@ -137,3 +138,16 @@ def test_page_bounds(spark):
     assert rows(views.page(df, [F.col("id").asc()], 2, 3)) == [(3,), (4,), (5,)]
     with pytest.raises(ValueError):
         views.page(df, [F.col("id").asc()], 0)
+
+
+def test_dates_are_tried_by_fitting_formats_only(spark):
+    """The same dates as by trying all formats, but a text meets three of the six at most."""
+    odd = ["Jan 1, 2020", "jan 01, 2020", " JAN 1, 2020 ", "Jan 1,2020", "2020-1-2", "2020-01-02", "20-01-02", "+12020-01-02", "12020-01-02", "0013/02/2020",
+           "13/02/2020", "02/13/2020", "1/2/2020", "1/2/20", "1/2/12020", "3 Mar 2020", "03 mar 2020", "3 Mar 20", "2020/04/05", "2020/4/5", "2020/13/05",
+           "20/4/5", "2020/04/2020", "Sept 1, 2020", "1 2 2020", "2020-02-30", "31/02/2020", "", " ", "-", "//", "soon", None]
+    text = F.initcap(F.trim("s"))
+    every = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in C.DATE_FORMATS])
+    tried = sum((F.coalesce(text.rlike(shape).cast("int"), F.lit(0)) for shape in C.DATE_SHAPES), F.lit(0))
+    got = spark.createDataFrame([(x,) for x in odd], "s string").select("s", parsing.parse_date(F.col("s")).cast("string").alias("got"), every.cast("string").alias("want"), tried.alias("n")).collect()
+    assert [(r.s, r.got) for r in got] == [(r.s, r.want) for r in got]
+    assert {r.s: r.n for r in got}["2020/04/05"] == 1 and max(r.n for r in got) <= 3 and sum(r.got is not None for r in got) > 12
