@@ -48,6 +48,8 @@ def append_new(target: str, keys: list[str], day: str | None = None) -> Callable
                 months = [r[0] for r in batch.select(MONTH).distinct().collect()]
                 existing = existing.filter(F.col(MONTH).isin(months))
         fresh = new_rows(batch, existing.select(*columns), keys)
+        if day is not None:  # one task, or a few for a large month, writes a month: files don't grow with tasks times months
+            fresh = fresh.hint("rebalance", MONTH)
         writer = fresh.write.mode("overwrite")
         (writer.partitionBy(MONTH) if day is not None else writer).parquet(f"{target}/{LOAD}={batch_id}")
         batch.unpersist()

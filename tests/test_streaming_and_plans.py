@@ -38,6 +38,19 @@ def test_a_batch_reads_only_its_months(spark, tmp_path):
     assert "PartitionFilters: [month" in plan.replace("#", "").replace("isnotnull(month", "month") or "month" in plan.split("PartitionFilters")[1][:60]
 
 
+def test_a_load_writes_a_file_for_each_month_and_not_for_each_task(spark, tmp_path):
+    days = [(i, date(2001, 1 + i % 12, 1 + i % 28)) for i in range(400)]
+    batch = spark.createDataFrame(days, "player_id long, day date").repartition(4)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        ingest.append_new(str(tmp_path / "f"), ["player_id", "day"], "day")(batch, 0)
+    finally:
+        spark.conf.unset(merging)
+    assert len(list((tmp_path / "f").rglob("*.parquet"))) == 12
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 400
+
+
 def test_state_of_dedup_expires(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for month in (1, 2, 3, 4):
