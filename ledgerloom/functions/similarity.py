@@ -58,11 +58,31 @@ def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _common(a: str, b: str) -> int:
+    """Characters in common blocks: the longest one (the earliest in ``a``, then in ``b``), and so on left and right of it."""
+    start = size = 0
+    for i in range(len(a)):
+        while i + size < len(a) and a[i:i + size + 1] in b:
+            start, size = i, size + 1
+    if not size:
+        return 0
+    at = b.index(a[start:start + size])
+    left = _common(a[:start], b[:at]) if start and at else 0
+    return left + size + _common(a[start + size:], b[at + size:])
+
+
+def gestalt_ratio(a: str, b: str) -> float:
+    """What ``SequenceMatcher(None, a, b).ratio()`` gives. From 200 characters on that leaves out frequent ones, so it is asked itself."""
+    if len(b) >= 200:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, 0-1."""
     return pd.Series(
-        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
+        [None if x is None or y is None else gestalt_ratio(x, y) for x, y in zip(a, b)],
         dtype="float64",
     )
 

@@ -131,3 +131,14 @@ def test_folding_equals_nfkd_for_all_code_points(spark):
     want = {i: t if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii") for i, t in enumerate(texts)}
     assert {r.i: r.f for r in folded.collect()} == want
     assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gestalt_ratio_equals_the_library():
+    from difflib import SequenceMatcher
+
+    from ledgerloom.functions.similarity import gestalt_ratio
+    rng = random.Random(3)
+    texts = ["", "a", "supplier#000000437", "suplier#000014073", "ab" * 120, *("".join(rng.choices("abcä ", k=rng.randint(1, n))) for n in (3, 8, 30, 250) for _ in range(30))]
+    for a in texts:
+        for b in texts:
+            assert gestalt_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
