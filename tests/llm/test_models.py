@@ -111,6 +111,16 @@ def test_perplexity_bands_part_junk_from_prose(spark):
     assert kept == set(range(120))
 
 
+def test_rare_n_grams_count_too(spark, monkeypatch):
+    rows = made_docs(60) + ODD + [(2000 + k, " ".join(f"z{k}{j}qü" for j in range(60)), None if k == 1 else "de", "s", None) for k in range(3)]
+    told = []
+    for share in (0.0, 1e-3, 0.2):  # all are sent; few are; hardly any
+        monkeypatch.setattr(K, "LEAST_SHARE", share)
+        monkeypatch.setattr(K, "BUCKET_BYTES", 500)
+        told.append(sorted((r.doc_id, r.n_words, -1.0 if r.log_perplexity is None else round(r.log_perplexity, 9), r.kept) for r in K.quality_rules(frame(spark, rows)).collect()))
+    assert len(told[0]) == len(rows) and told[0] == told[1] == told[2]
+
+
 def test_model_of_characters_equals_the_formula(spark):
     words = spark.createDataFrame([("en", 1, "ab", 3), ("en", 2, "abc", 2), ("en", 3, "b", 1)], "key string, hash long, word string, n long")
     model = K.sorted_arrays(K.model_rows(words).toPandas())["en"]
