@@ -197,6 +197,8 @@ def link_players(external: DataFrame, players: DataFrame, threshold: float = 85.
                 sorted_tokens(normal_text(F.coalesce("current_club_name", F.lit("")))).alias("club_text"), "player_id")
         .groupBy("text", "club_text").agg(F.min("player_id").alias("player_id"))
     )
+    # both sides are read in many places, so the outside rows, of which there may be far more than names, are read once for all
+    ours, theirs = checkpointed(ours, "outside-names"), checkpointed(theirs, "known-names")
     by_name = theirs.groupBy("text").agg(F.min("player_id").alias("player_id")).withColumnRenamed("text", "right")
     rank = F.struct("score", (-F.col("player_id")).alias("neg_id"))
 
@@ -206,8 +208,8 @@ def link_players(external: DataFrame, players: DataFrame, threshold: float = 85.
 
     teams = ours.filter("team_text <> ''").select(F.col("team_text").alias("text"))
     clubs = theirs.filter("club_text <> ''").select(F.col("club_text").alias("text"))
-    alike = similar_texts(teams, clubs, team_ratio / 100).select(
-        F.col("left").alias("team_text"), F.col("right").alias("club_text"))
+    alike = checkpointed(similar_texts(teams, clubs, team_ratio / 100).select(
+        F.col("left").alias("team_text"), F.col("right").alias("club_text")), "alike-clubs")
     at_club = ours.join(alike, "team_text").select("club_text", "text", "team_text").distinct()
     near = similar_texts(at_club, theirs, borderline / 100, ["club_text"]).filter(F.col("score") < threshold)
     lifted = F.greatest(F.col("score"), F.least(F.col("score") + boost, F.lit(cap)))

@@ -96,6 +96,19 @@ def test_linkage_equals_full_comparison(spark):
     assert sorted(found, key=str) == sorted(want, key=str)
 
 
+def test_outside_rows_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(name):
+        seen.add(1)
+        return name
+
+    rows = spark.createDataFrame([(f"green river {k % 4}", "Stone Club") for k in range(40)], "name string, team string")
+    players = spark.createDataFrame([(k, f"green river {k}", "Stone Club") for k in range(3)], "player_id long, name string, current_club_name string")
+    links = fuzzy.link_players(rows.withColumn("name", F.udf(noted, "string")("name")), players)
+    assert len(links.collect()) == 4 and seen.value == 40
+
+
 def test_best_club_needs_the_threshold(spark):
     targets = spark.createDataFrame([(1, "Real Madrid"), (2, "Zzz")], "target_id long, name string")
     results = spark.createDataFrame([(1, 10, "Real Madrid CF"), (1, 11, "Atletico"), (2, 12, "Ajax")],
