@@ -49,6 +49,61 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 
 
+def whole_tree_scores(rows):
+    """Scores by a tree of all contexts of the training texts, held in dictionaries."""
+    texts = [(doc_id, [*ascii_words(text), "\n"]) for doc_id, text, *_ in rows]
+    count, after = Counter(), {}
+    for doc_id, words in texts:
+        if fold(doc_id, 7) != 2:
+            count.update(words)
+            for size in range(1, T.DEPTH + 1):
+                for k in range(size, len(words)):
+                    after.setdefault(tuple(words[k - size:k]), Counter())[words[k]] += 1
+    root = T.Root(sum(count.values()), len(count), sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values()))
+    states = {}
+
+    def chance(context, word):
+        if not context:
+            return float(root.chance(np.array([count[word]]))[0])
+        lower = chance(context[1:], word)
+        if context not in states:
+            return lower
+        own, total = after[context], sum(after[context].values())
+        return max(own[word] - T.DISCOUNT, 0) / total + T.DISCOUNT * len(own) / total * lower
+
+    for size in range(1, T.DEPTH + 1):
+        for context, own in after.items():
+            if len(context) == size:
+                total, free = sum(own.values()), max(len(own) - 1, 1)
+                if 2 * sum(n * math.log(n / total / chance(context[1:], w)) for w, n in own.items()) > free + T.DEVIATIONS * math.sqrt(2 * free):
+                    states[context] = True
+    return sorted((doc_id, round(sum(math.log10(chance(next((tuple(words[max(0, k - size):k]) for size in range(min(k, T.DEPTH), 0, -1)), ()), w))
+                                     for k, w in enumerate(words)), 4)) for doc_id, words in texts)
+
+
+def rare_rows():
+    """12,000 common tokens, and texts of words that occur once or twice."""
+    rows = made_docs(150, seed=5) + ODD
+    rare = [(5000 + k, " ".join(f"q{k // 2}x{j}" for j in range(30)), "en", "s", None) for k in range(20)]
+    return rows + [(2000 + k, "the river walks over the stone and " * 6, "en", "s", None) for k in range(60)] + rare
+
+
+def test_scores_know_every_context_however_rare(spark):
+    rows = rare_rows()
+    got = sorted((r.doc_id, round(r.score, 4)) for r in T.suffix_tree_scores(frame(spark, rows, clash=True)).collect())
+    want = whole_tree_scores(rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-4)
+
+
+def test_contexts_dealt_into_many_parts_give_the_same_scores(spark, monkeypatch):
+    rows = rare_rows()
+    monkeypatch.setattr(T, "HOT", 20)
+    monkeypatch.setattr(T, "PART_TOKENS", 500)
+    monkeypatch.setattr(T, "BLOCK_BYTES", 4000)
+    got = sorted((r.doc_id, round(r.score, 4)) for r in T.suffix_tree_scores(frame(spark, rows).repartition(3)).collect())
+    assert np.allclose([g[1] for g in got], [w[1] for w in whole_tree_scores(rows)], atol=2e-4)
+
+
 def test_empty_table_and_no_training_text(spark):
     assert T.suffix_tree_scores(frame(spark, [])).collect() == []
     only = next(k for k in range(100) if fold(k, 7) == 2)
