@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import constants as C
 from ledgerloom.functions import labels, returns
@@ -86,16 +86,33 @@ def on_transfers(transfers: DataFrame, pairs: DataFrame) -> DataFrame:
     return transfers.join(pairs.select(F.col("buy_transfer_id").alias("transfer_id"), *kept), "transfer_id", "left")
 
 
-def paired_transfers(transfers: DataFrame, valuations: DataFrame, players: DataFrame, min_fee: float = C.MIN_BUY_FEE) -> DataFrame:
+def with_last_sale(transfers: DataFrame) -> DataFrame:
+    """The ledger with date and fee of the ``latest_sales`` row of each row's player and buying club (``sell_date``, ``_sell_fee``).
+
+    ``transfers`` is clustered by player, so nothing is shuffled: a paid sale stands once more, at the club that sold, and
+    the rows of a player and club are looked through together.
+    """
+    is_sale = (F.col("transfer_fee") > 0) & F.col("player_id").isNotNull() & F.col("from_club_id").isNotNull() & F.col("transfer_date").isNotNull()
+    sale = F.when(is_sale, F.struct("transfer_date", "transfer_id", "transfer_fee"))
+    as_buy = F.struct(F.col("to_club_id").alias("_club"), F.when(F.lit(False), sale).alias("_sale"))
+    as_sale = F.when(is_sale, F.struct(F.col("from_club_id").alias("_club"), sale.alias("_sale")))
+    last = F.max("_sale").over(Window.partitionBy("player_id", "_club"))
+    seen = transfers.select("*", F.inline(F.array_compact(F.array(as_buy, as_sale)))).withColumn("_last", last)
+    return seen.filter(F.col("_sale").isNull()).withColumns({
+        "sell_date": F.col("_last.transfer_date"), "_sell_fee": F.col("_last.transfer_fee")}).drop("_club", "_sale", "_last")
+
+
+def paired_transfers(transfers: DataFrame, valuations: DataFrame, players: DataFrame, min_fee: float = C.MIN_BUY_FEE,
+                     clustered: bool = False) -> DataFrame:
     """The ledger with player name and age, and the columns of ``on_transfers`` for all pairs of the ledger.
 
-    Each row meets the last sale of its player and club and then its player's row, so the ledger is shuffled twice, and
-    never joined with its own pairs by id.
+    The ledger is shuffled once, by player, or not at all if its rows are ``clustered`` by player already. There it meets its
+    last sales, its player's row and peak value; it is never joined with its own pairs by id.
     """
-    sales = latest_sales(fee_bearing(transfers)).select("player_id", F.col("club_id").alias("to_club_id"), "sell_date", F.col("sell_fee").alias("_sell_fee"))
     info = players.select("player_id", F.col("name").alias("player_name"), F.col("position").alias("_position"), "date_of_birth")
-    about = info.join(peak_values(valuations).withColumnRenamed("peak_value", "_peak"), "player_id", "full")
-    rows = transfers.join(sales, ["player_id", "to_club_id"], "left").join(about, "player_id", "left")
+    peaks = peak_values(valuations).withColumnRenamed("peak_value", "_peak")
+    rows = with_last_sale(transfers if clustered else transfers.repartition("player_id"))
+    rows = rows.join(info, "player_id", "left").join(peaks, "player_id", "left")
     fee, day = F.col("transfer_fee"), F.col("transfer_date")
     is_pair = (fee > 0) & (fee >= min_fee) & (F.col("sell_date") > day)
 
@@ -128,14 +145,20 @@ def _filled(sales: DataFrame, wants: Column, source: str, columns: list[str]) ->
 
 def propagate_profit_asof(ledger: DataFrame, columns: list[str] = PAIR_COLUMNS) -> DataFrame:
     """Paid sales without a profit of their own take the pair columns of the club's latest
-    earlier buy of that player that has a profit. Club id 0 means no club."""
+    earlier buy of that player that has a profit. Club id 0 means no club.
+
+    Only sales that may take some, and buys that may give some, are shuffled; all other rows come through as they are.
+    """
+    wants = F.col("profit").isNull() & (F.col("transfer_fee") > 0)
+    known = F.col("player_id").isNotNull() & (F.col("from_club_id") != 0) & F.col("transfer_date").isNotNull()
+    asks = F.coalesce(wants & known, F.lit(False))
     buys = ledger.filter((F.col("transfer_fee") > 0) & F.col("profit").isNotNull() & (F.col("to_club_id") != 0))
     points = buys.select("player_id", F.col("to_club_id").alias("from_club_id"),
                          F.col("transfer_date").alias("buy_day"), "transfer_id", *columns)
-    found = asof_by_day(ledger, points, ["player_id", "from_club_id"], "transfer_date", "buy_day",
+    found = asof_by_day(ledger.filter(asks), points, ["player_id", "from_club_id"], "transfer_date", "buy_day",
                         columns, ["transfer_id"])
-    wants = F.col("profit").isNull() & (F.col("transfer_fee") > 0)
-    return _filled(found, wants, "_asof", columns).drop("_asof")
+    filled = _filled(found, wants, "_asof", columns).select(*ledger.columns)
+    return filled.union(ledger.filter(~asks))
 
 
 def propagate_profit_last_buy(ledger: DataFrame, columns: list[str] = PAIR_COLUMNS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 * ``chain``: row number and previous row per key. Keys above ``hot_rows`` are cut into
   ordered chunks that run as separate tasks; only one summary row per chunk is stitched.
+* ``plain_chain``: the same by one window, for tables without hot keys.
 * ``asof_by_day``: latest earlier fact per key. Facts and probes collapse to one row per
   (key, day) first, so a key never holds more rows than there are calendar days.
 * ``exact_medians``: a mergeable sketch brackets each median, then only the few values
@@ -26,13 +27,14 @@ GRID = 1_000
 MAX_HOT_KEYS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and at least 1 / ``MAX_HOT_KEYS`` of all rows.
 
-    So there are never more than ``MAX_HOT_KEYS`` of them, whatever the table holds.
+    So there are never more than ``MAX_HOT_KEYS`` of them, whatever the table holds. ``rows`` is the number
+    of all rows, if it is known; else the counts are added up in a second pass.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    every = counts.agg(F.sum("_n").alias("n")).scalar()
+    every = counts.agg(F.sum("_n").alias("n")).scalar() if rows is None else F.lit(rows)
     return counts.filter((F.col("_n") > hot_rows) & (F.col("_n") * MAX_HOT_KEYS >= every)) \
         .select(*keys, F.lit(True).alias("_hot"))
 
@@ -77,26 +79,25 @@ def chain(df: DataFrame, key: str, order: list[str], previous: dict[str, str], c
     )
 
 
+def plain_chain(df: DataFrame, key: str, order: list[str], previous: dict[str, str]) -> DataFrame:
+    """As ``chain``, where no key is hot: one shuffle by ``key``, by which the rows stay clustered."""
+    within = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("seq", F.row_number().over(within).cast("bigint")).withColumns(
+        {out: F.lag(col).over(within) for out, col in previous.items()})
+
+
 def asof_by_day(probes: DataFrame, points: DataFrame, keys: list[str], probe_day: str, point_day: str,
                 values: list[str], tie: list[str]) -> DataFrame:
     """Per probe the ``values`` of the latest point strictly before its day, in ``_asof``.
 
-    Points of one day are reduced to the greatest by ``tie`` before the shuffle.
+    Points of one day are reduced to the greatest by ``tie``, and probes of one day to one row, before one shuffle of both.
     """
-    daily = (
-        points.filter(F.col(point_day).isNotNull())
-        .groupBy(*keys, F.col(point_day).alias("_day"))
-        .agg(F.max_by(F.struct(*values), F.struct(*tie)).alias("_point"))
-        .withColumn("_probe", F.lit(False))
-    )
-    wanted = (
-        probes.select(*keys, F.col(probe_day).alias("_day")).distinct()
-        .withColumn("_point", F.lit(None).cast(daily.schema["_point"].dataType))
-        .withColumn("_probe", F.lit(True))
-    )
+    dated = points.filter(F.col(point_day).isNotNull()).select(
+        *keys, F.col(point_day).alias("_day"), F.struct(*values).alias("_point"), F.struct(*tie).alias("_tie"), F.lit(False).alias("_probe"))
+    wanted = probes.select(*keys, F.col(probe_day).alias("_day"), F.lit(True).alias("_probe"))
     timeline = (
-        daily.unionByName(wanted).groupBy(*keys, "_day")
-        .agg(F.max("_point").alias("_point"), F.max("_probe").alias("_probe"))
+        dated.unionByName(wanted, allowMissingColumns=True).groupBy(*keys, "_day")
+        .agg(F.max_by("_point", "_tie").alias("_point"), F.max("_probe").alias("_probe"))
     )
     earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     found = (

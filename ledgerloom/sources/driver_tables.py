@@ -10,8 +10,8 @@ from pyspark.sql.types import StructType
 
 from ledgerloom.functions import labels, returns
 from ledgerloom.operators import gems, pairs
-from ledgerloom.operators.skew import HOT_ROWS, chain
-from ledgerloom.session import new_folder, shared_folder, size_shuffles
+from ledgerloom.operators.skew import HOT_ROWS, chain, hot_keys, plain_chain
+from ledgerloom.session import checkpointed, new_folder, shared_folder, size_shuffles
 
 POSITIONS = [
     "Centre-Forward", "Second Striker", "Attack", "Left Winger", "Left Midfield", "Right Winger",
@@ -55,9 +55,15 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS):
         self.spark, self.folder, self.hot_rows = spark, folder, hot_rows
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def stored_key(self, name: str) -> tuple[str, str, str, str]:
+        return self.spark.sparkContext.applicationId, shared_folder(self.spark), self.folder, name
+
     def raw(self, name: str) -> DataFrame:
         """One driver table; its schema is read from the file footer once per process."""
-        path = f"{self.folder}/{name}.parquet"
+        path = self.path(name)
         if path not in SCHEMAS:
             SCHEMAS[path] = self.spark.read.parquet(path).schema
         rows = self.spark.read.schema(SCHEMAS[path]).parquet(path)
@@ -73,7 +79,7 @@ class DriverTables:
         Queries then scan it like any stored ledger: pruned columns, pushed filters, short
         plans.
         """
-        key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.folder, name)
+        key = self.stored_key(name)
         if key not in STORED:
             path, rows = new_folder(self.spark, name), build()
             rows.write.parquet(path)
@@ -83,23 +89,34 @@ class DriverTables:
 
     @cached_property
     def transfers(self) -> DataFrame:
-        return self.stored("transfers", self.build_transfers)
+        # club names and season follow from the other columns, so they are not stored
+        return self.named(self.stored("transfers", lambda: self.build_moves()[0]))
 
     def build_transfers(self) -> DataFrame:
-        # what the flags and the tax say is worked out before the shuffle
+        return self.named(self.build_moves()[0])
+
+    def build_moves(self) -> tuple[DataFrame, bool]:
+        """The ledger without names, and whether its rows are clustered by player (they are, unless a player is hot)."""
+        # what the flags and the tax say is worked out before the shuffle, and the fee from it and the price after it
+        priced = ledger_fee(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(1.0)) > 0
         lines = self.raw("lineitem").select(
             "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_tax") == 0).alias("broken"),
-            F.col("l_shipdate").cast("date").alias("l_shipdate"),
-            ledger_fee(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_extendedprice")).alias("fee"))
+            priced.alias("priced"), F.col("l_shipdate").cast("date").alias("l_shipdate"))
         order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-        moves = chain(lines, "l_partkey", order, {"prev": "l_suppkey"}, F.col("l_shipdate"), self.hot_rows)
+        hot = checkpointed(hot_keys(lines, ["l_partkey"], self.hot_rows, LINES[self.path("lineitem")]), "hot-players")
+        clustered = hot.isEmpty()
+        if clustered:
+            moves = plain_chain(lines, "l_partkey", order, {"prev": "l_suppkey"})
+        else:
+            moves = chain(lines, "l_partkey", order, {"prev": "l_suppkey"}, F.col("l_shipdate"), self.hot_rows, hot)
         origin = (F.when(F.col("seq") == 1, None).when(F.col("broken"), F.col("l_linenumber").cast("bigint"))
                   .otherwise(F.col("prev")))
+        fee = F.when(F.col("priced"), F.round(F.col("l_extendedprice") * 100)).when(~F.col("priced"), 0.0)
         rows = moves.select(
             (F.col("l_partkey") * ID_SPAN + F.col("seq")).alias("transfer_id"),
             F.col("l_partkey").alias("player_id"), origin.alias("from_club_id"), F.col("l_suppkey").alias("to_club_id"),
-            F.col("l_shipdate").alias("transfer_date"), F.col("fee").alias("transfer_fee"))
-        return self.named(rows)
+            F.col("l_shipdate").alias("transfer_date"), fee.alias("transfer_fee"))
+        return rows, clustered
 
     @staticmethod
     def named(moves: DataFrame) -> DataFrame:
@@ -157,14 +174,14 @@ class DriverTables:
 
     @cached_property
     def player_xg(self) -> DataFrame:
-        year = F.year("l_shipdate")
-        return self.raw("lineitem").groupBy(
-            F.col("l_partkey").alias("player_id"),
-            F.concat(year.cast("string"), F.lit("/"), (year + 1).cast("string")).alias("season"),
-            F.col("l_linestatus").alias("competition_id"),
+        year = F.col("_year")
+        rows = self.raw("lineitem").groupBy(
+            F.col("l_partkey").alias("player_id"), F.year("l_shipdate").alias("_year"), F.col("l_linestatus").alias("competition_id"),
         ).agg(F.sum((F.col("l_quantity") * 2).cast("bigint")).alias("minutes"),
               F.round(F.sum("l_discount") * 10, 2).alias("xg"), F.round(F.sum("l_tax") * 10, 2).alias("xa"),
               F.sum((F.col("l_linenumber") % 3).cast("bigint")).alias("goals"))
+        season = F.concat(year.cast("string"), F.lit("/"), (year + 1).cast("string"))
+        return rows.select("player_id", season.alias("season"), "competition_id", "minutes", "xg", "xa", "goals")
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -186,13 +203,18 @@ class DriverTables:
 
     @cached_property
     def paired(self) -> DataFrame:
-        return self.stored("paired", self.build_paired)
+        return self.named(self.stored("paired", self.build_paired))
 
     def build_paired(self) -> DataFrame:
-        """The ledger with pair columns, gem columns and training eligibility."""
-        # club names and season follow from the other columns, so they are added after the shuffles
-        moves = self.transfers.select("transfer_id", "player_id", "from_club_id", "to_club_id", "transfer_date", "transfer_fee")
-        rows = self.named(pairs.paired_transfers(moves, self.valuations, self.players))
+        """The ledger without names, with pair columns, gem columns and training eligibility.
+
+        A ledger that is stored already is read; else it is worked out here, where its rows are clustered by player.
+        """
+        if self.stored_key("transfers") in STORED:
+            moves, clustered = self.stored("transfers", lambda: self.build_moves()[0]), False
+        else:
+            moves, clustered = self.build_moves()
+        rows = pairs.paired_transfers(moves, self.valuations, self.players, clustered=clustered)
         roi = F.col("roi_pct")
         return rows.withColumns({
             "is_gem": F.when(roi.isNotNull(), labels.is_gem(roi)),

@@ -155,3 +155,86 @@ def test_shuffles_start_with_partitions_in_proportion_to_the_lines(spark, monkey
         assert spark.conf.get(session.START_PARTITIONS) == str(-(-lines // 100))
     finally:
         spark.conf.unset(session.START_PARTITIONS) if before is None else spark.conf.set(session.START_PARTITIONS, before)
+
+
+def odd_ledger(spark, seed):
+    rng = random.Random(seed)
+    moves = [(i, rng.choice([None, 1, 1, 2, 3]), rng.choice([None, 0, 1, 2]), rng.choice([None, 0, 1, 2]),
+              None if rng.random() < 0.1 else DAY + timedelta(days=rng.randrange(60)), rng.choice([None, 0.0, 2e5, 3e6])) for i in range(200)]
+    return spark.createDataFrame(moves + moves[:20], "transfer_id long, player_id long, from_club_id long, to_club_id long, transfer_date date, transfer_fee double")
+
+
+def odd_people(spark):
+    players = spark.createDataFrame([(p, f"P{p}", "Defender", date(1980, 1, 1 + p)) for p in (1, 2, 2)],
+                                    "player_id long, name string, position string, date_of_birth date")
+    return players, spark.createDataFrame([(None, 9e6), (1, 1e6), (3, 5e6), (3, None)], "player_id long, market_value_in_eur double")
+
+
+def shuffles(spark, df):
+    """What the plan's shuffles are clustered by, where nothing is broadcast."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return sorted(" ".join(c.split("#")[0] for c in line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1])
+                  for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+
+
+def test_paired_ledger_moves_once_by_player(spark):
+    ledger, (players, values) = odd_ledger(spark, 21), odd_people(spark)
+    sales = {}
+    moves = [tuple(r) for r in ledger.collect()]
+    for i, player, club, _, on, fee in moves:
+        if None not in (player, club, on) and (fee or 0) > 0:
+            sales[player, club] = max(sales.get((player, club), (on, i, fee)), (on, i, fee))
+    want = []
+    for i, player, _, club, on, fee in moves:
+        sale = sales.get((player, club), (None, None, None))
+        pair = on is not None and (fee or 0) >= 1e5 and sale[0] is not None and sale[0] > on
+        want += [(i, sale[2] - fee if pair else None, {1: 1e6, 3: 5e6}.get(player) if pair else None)] * (2 if player == 2 else 1)
+    got = pairs.paired_transfers(ledger, values, players)
+    assert rows(got, "transfer_id", "profit", "peak_value") == sorted(want, key=str) and any(w[2] for w in want)
+    # the ledger, the players and the peaks, each once by player
+    assert shuffles(spark, got) == ["player_id"] * 3
+
+
+def test_asof_profit_shuffles_asking_sales_only(spark):
+    ledger, (players, values) = odd_ledger(spark, 22), odd_people(spark)
+    ledger = pairs.paired_transfers(ledger, values, players).distinct().localCheckpoint()
+    moves = [r.asDict() for r in ledger.collect()]
+    want = []
+    for m in moves:
+        gives = [b for b in moves if m["profit"] is None and (m["transfer_fee"] or 0) > 0 and m["player_id"] is not None and m["from_club_id"] and m["transfer_date"]
+                 and (b["player_id"], b["to_club_id"]) == (m["player_id"], m["from_club_id"]) and b["profit"] is not None and b["transfer_fee"] > 0
+                 and b["transfer_date"] < m["transfer_date"]]
+        best = max(gives, key=lambda b: (b["transfer_date"], b["transfer_id"]), default=m)
+        want.append((m["transfer_id"], m["player_name"], best["buy_fee"], best["sell_fee"], best["profit"], best["roi_pct"]))
+    got = pairs.propagate_profit_asof(ledger)
+    assert sorted(got.columns) == sorted(ledger.columns)
+    assert rows(got, "transfer_id", "player_name", "buy_fee", "sell_fee", "profit", "roi_pct") == sorted(want, key=str)
+    assert sum(w[4] is not None for w in want) > sum(m["profit"] is not None for m in moves) > 0
+    # points and asking sales by day, the same by key, and the join of what was found with the asking sales
+    assert len(shuffles(spark, got)) == 4
+
+
+def test_paired_ledger_is_stored_without_names_and_without_the_bare_ledger(spark):
+    from ledgerloom.sources import driver_tables
+    folder = "/root/testdata/sf0.001"
+    kept, hot = dict(driver_tables.STORED), driver_tables.DriverTables(spark, folder, hot_rows=20)
+    try:
+        driver_tables.STORED.clear()
+        plain = driver_tables.DriverTables(spark, folder)
+        found = plain.paired
+        assert [k[-1] for k in driver_tables.STORED] == ["paired"]
+        assert "from_club_name" in found.columns and "from_club_name" not in driver_tables.STORED[plain.stored_key("paired")][1].names
+        again = rows(found)
+        driver_tables.STORED.clear()
+        plain.transfers
+        assert rows(driver_tables.DriverTables(spark, folder).paired, *found.columns) == again
+        # hot players by chunks
+        assert not hot.build_moves()[1] and rows(hot.build_transfers()) == rows(plain.build_transfers())
+    finally:
+        driver_tables.STORED.clear()
+        driver_tables.STORED.update(kept)
