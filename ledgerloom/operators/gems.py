@@ -88,10 +88,14 @@ def gem_agents(paired: DataFrame, players: DataFrame, min_gems: int = 3, limit:
 
 
 def league_gem_rate(paired: DataFrame, clubs: DataFrame, min_deals: int = 5, before: str = "2030-01-01") -> DataFrame:
-    dated = paired.filter(F.col("transfer_date") < F.lit(before).cast("date"))
+    """Counted by selling club before the clubs are joined, so that no buys are shuffled."""
+    dated = paired.filter((F.col("transfer_date") < F.lit(before).cast("date")) & F.col("roi_pct").isNotNull())
+    by_club = dated.groupBy("from_club_id").agg(_deals().alias("_deals"), _gems().alias("_gems"))
+    leagues = clubs.filter(F.col("domestic_competition_id").isNotNull()).select(
+        F.col("club_id").alias("from_club_id"), F.col("domestic_competition_id").alias("league_id"))
     return (
-        _from_known_league(dated, clubs).groupBy(F.col("league").alias("league_id"))
-        .agg(_deals().alias("total_deals"), _gems().alias("gems"))
+        by_club.join(leagues, "from_club_id").groupBy("league_id")
+        .agg(F.sum("_deals").alias("total_deals"), F.sum("_gems").alias("gems"))
         .filter(F.col("total_deals") >= min_deals)
         .withColumn("gem_rate", _percent(F.col("gems"), F.col("total_deals")))
     )

@@ -11,6 +11,10 @@ from ledgerloom.operators import features, fuzzy, gems, matching, metrics, pairs
 from ledgerloom.session import checkpointed
 
 
+#: Clubs that are sent to all tasks at most.
+MAX_SENT_CLUBS = 500_000
+
+
 def all_pairs(transfers: DataFrame, valuations: DataFrame, players: DataFrame,
               min_fee: float = C.MIN_BUY_FEE) -> DataFrame:
     """Ledger to pairs with returns, peak value and player info, as one lazy plan."""
@@ -57,9 +61,13 @@ def league_tiers(paired: DataFrame, clubs: DataFrame, cuts: tuple[float, float,
 
 def feature_table(paired: DataFrame, players: DataFrame, tiered_clubs: DataFrame, appearances: DataFrame,
                   valuations: DataFrame, player_xg: DataFrame) -> DataFrame:
-    """The buys are written to the shared folder once; three sections look facts up by them."""
-    base = checkpointed(features.training_base(paired, players, tiered_clubs), "feature-base")
-    return features.feature_matrix(base, appearances, valuations, player_xg)
+    """Facts are looked up for buys without names, which so stay narrow in the shuffles; players and clubs are joined last.
+
+    Clubs are stored and counted; up to ``MAX_SENT_CLUBS`` are sent to all tasks, more are joined by shuffles.
+    """
+    rows = features.with_facts(features.training_rows(paired), appearances, valuations, player_xg)
+    clubs = checkpointed(tiered_clubs, "tiered-clubs")
+    return features.matrix(features.with_profiles(rows, players, F.broadcast(clubs) if clubs.count() <= MAX_SENT_CLUBS else clubs))
 
 
 def reconcile_once(candidates: DataFrame, ledger: DataFrame, players: DataFrame,
